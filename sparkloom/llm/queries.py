@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .chat import op2_chat_format
+from .decontam import OP1_SQL, op1_decontaminate
+from .pii import op8_pii
 from .rules import op5_quality_rules
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op8_pii": op8_pii,
+    "op9_warc": op9_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_warc": OP9_SQL}
