@@ -5,15 +5,19 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .chat import op2_chat_format
 from .decontam import OP1_SQL, op1_decontaminate
+from .langid import op6_language_id
 from .pii import op8_pii
+from .quality import op3_quality_classifier
 from .rules import op5_quality_rules
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
 }
