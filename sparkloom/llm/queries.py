@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .chat import op2_chat_format
 from .decontam import OP1_SQL, op1_decontaminate
+from .jaccard import op10_ngram_join
 from .langid import op6_language_id
 from .pii import op8_pii
 from .quality import op3_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_warc": OP9_SQL}
