@@ -10,6 +10,7 @@ from .langid import op6_language_id
 from .pii import op8_pii
 from .quality import op3_quality_classifier
 from .rules import op5_quality_rules
+from .suffix import op7_suffix_dedup
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_ngram_join": op10_ngram_join,
