@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import trim
 
@@ -16,7 +15,7 @@ EXTENSIONS = ("ts", "tsx", "js", "jsx", "py", "go", "php", "phtml", "ctp", "rs",
 EXCLUDED = ("node_modules", ".git", "dist", "out", "build", "__pycache__", ".codeatlas", ".cache", "venv", ".venv")
 MOST_BYTES = 500_000
 
-ANALYSIS = T.StructType.fromDDL(
+ANALYSIS = (
     "graph struct<nodes:array<struct<id:string,label:string,type:string,filePath:string,line:long,color:string>>,links:array<struct<source:string,target:string,type:string>>>, insights array<string>, entityCounts map<string,long>, totalFilesAnalyzed long, totalFilesSkipped long"
 )
 
