@@ -60,6 +60,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[65:91] += 32
+_KIND[0] = 65  # a number that no byte has any more
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 
 
