@@ -7,10 +7,13 @@
    their prefixes, the first |x| - ceil(t |x|) + 1 elements in that order.
    Frequencies are counted over all documents; the most frequent shingles are
    a bounded list. The order only decides how much work there is.
-3. Documents with the same prefix and size are collapsed into one group. Groups
-   that share a prefix element and whose sizes allow the threshold are chained,
-   a row for each group and element, never a pair for each two of them; the
-   chains' components are what has to be compared.
+3. Documents with the same prefix and size are collapsed into one group. Pairs
+   of groups that share a rare prefix element are filtered by their sizes and by
+   how much of the prefixes is common. Groups that share a frequent element are
+   chained if their sizes, and the element's places in both orders, allow the
+   threshold: a row for each group, never a pair for each two of them. Frequent
+   elements stand late, where hardly a size is allowed. The components of pairs
+   and chains are what has to be compared.
 4. Groups are expanded, and the members of a component are verified on their
    whole sets, in one task if they are few. A large component is first compared
    with its smallest member; what that leaves is compared with all others in
@@ -34,8 +37,12 @@ from ._shared import written
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 80
-#: Prefix elements of more documents than this come last in the order, up to so many of them: the list takes 2 MB.
-FREQUENT, FREQUENT_MOST = 32, 1 << 18
+#: Prefix elements counted more often than this come last in the order, up to so many of them: the list takes 2 MB.
+FREQUENT, FREQUENT_MOST = 1, 1 << 18
+#: Groups that an element may have for their pairs to be looked at; those of other elements are chained.
+PAIRED = 8
+#: Elements that a task counts at a time (32 MB).
+COUNTED = 4 << 20
 #: Members, and elements of their sets, that one task compares in a component; members and elements of a block of larger ones.
 TOGETHER, TOGETHER_ELEMENTS = 1_500, 1_500_000
 BLOCK, BLOCK_ELEMENTS = 1_000, 1_000_000
@@ -125,21 +132,46 @@ def prefix_size(n: int, threshold: int) -> int:
 
 
 def _frequent(documents: DataFrame, threshold: int) -> np.ndarray:
-    """The most frequent elements, sorted; counted over the stretch of each set from which prefixes come (twice their size)."""
+    """The most frequent elements, sorted; counted over the stretch of each set from which prefixes come (twice their size).
 
-    def stretch(batches):
-        for batch in batches:
-            parts = [s[: 2 * prefix_size(len(s), threshold)] for _, s in sets_of(batch.column(0))]
-            if parts:
-                e, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(c.astype(np.int32))], names=["e", "c"])
+    All documents are counted. What a task meets once among COUNTED elements is
+    not sent: an element with many occurrences is met twice by some tasks, and
+    the order is right whatever the counts are. Of the counts a histogram with
+    a few hundred rows comes to the driver, and then a list of bounded length.
+    """
 
-    counts = documents.select("text").mapInArrow(stretch, "e long, c int").groupBy("e").agg(F.sum("c").alias("c"))
-    most = counts.where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "e").limit(FREQUENT_MOST).select("e")
-    return np.sort(most.toPandas()["e"].to_numpy(np.int64).view(np.uint64))
+    def stretch(batches):
+        held, size = [], 0
 
+        def twice():
+            e, c = np.unique(np.concatenate(held), return_counts=True)
+            more = c > 1
+            return pa.RecordBatch.from_arrays([pa.array(e[more].view(np.int64)), pa.array(c[more].astype(np.int64))], names=["e", "c"])
 
-SETS = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"
+        for batch in batches:
+            for _, s in sets_of(batch.column(0)):
+                held.append(s[: 2 * prefix_size(len(s), threshold)])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield twice()
+                    held, size = [], 0
+        if held:
+            yield twice()
+
+    counts = documents.select("text").mapInArrow(stretch, "e long, c long").groupBy("e").agg(F.sum("c").alias("c"))
+    counts = written(counts.where(F.col("c") > FREQUENT).withColumn("step", F.floor(F.log2("c") * 8)), "frequent")
+    room, least = FREQUENT_MOST, None
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.where(F.col("step") >= least).select("e").toPandas()["e"].to_numpy(np.int64).view(np.uint64))
+
+
+SETS = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, last_often boolean, last long, prefix array<long>"
 
 
 def _sums(x: np.ndarray) -> tuple[int, int]:
@@ -149,7 +181,7 @@ def _sums(x: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_sets(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """A row per row of documents: doc_id, n, digests of the set and of its prefix, and the prefix."""
+    """A row per row of documents: doc_id, n, digests of the set and of its prefix, where the prefix ends in the global order, and the prefix."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(_frequent(documents, threshold))
 
@@ -166,33 +198,85 @@ def shingle_sets(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                     prefix = np.concatenate([s[~often], s[often]])[:size]
                 else:
                     prefix = s[:size]
-                rows.append((n, *_sums(s), *_sums(prefix), prefix.view(np.int64)))
+                end = int(prefix[-1]) if n else 0
+                last_often = bool(n and len(frequent) and frequent[min(np.searchsorted(frequent, prefix[-1]), len(frequent) - 1)] == prefix[-1])
+                rows.append((n, *_sums(s), *_sums(prefix), last_often, end - (1 << 63), prefix.view(np.int64)))
             if rows:
                 *numbers, prefixes = zip(*rows)
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in numbers), listed], names=[x.split()[0] for x in SETS.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in numbers), listed], names=[x.split()[0] for x in SETS.split(", ")])
 
     return documents.select("doc_id", "text").mapInArrow(run, SETS)
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Drops pairs of groups that can't link, going by how many elements of their prefixes are common.
+
+    All common elements up to the end of the prefix that ends first, in the
+    global order, are counted in common. So of the set with that prefix no more
+    can be common than those and what follows its prefix. Chained pairs stay, as
+    they stand for others as well; so do those of ids with several texts.
+    """
+    end = F.struct("n", "last_often", "last", F.size("prefix").alias("size"))
+    ends = sets.groupBy(F.col("doc_id").alias("id")).agg(F.min(end).alias("end"), (F.min(end) != F.max(end)).alias("several"))
+    named = lambda g, end, several: ends.select(F.col("id").alias(g), F.col("end").alias(end), F.col("several").alias(several))
+    both = pairs.join(named("a", "x", "x_several"), "a").join(named("b", "y", "y_several"), "b")
+    at = lambda end: F.struct(end["last_often"].alias("often"), end["last"].alias("last"))
+    x, y = F.col("x"), F.col("y")
+    ends_first = F.when(at(x) <= at(y), x["n"] - x["size"]).otherwise(y["n"] - y["size"])
+    needed = threshold * (x["n"] + y["n"])  # of (100 + threshold) * the number of common elements
+    fits = (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * threshold) & ((F.col("common") + ends_first) * (100 + threshold) >= needed)
+    return both.where(F.col("chained") | F.col("x_several") | F.col("y_several") | fits)
+
+
 def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     """doc_id, n, comp: the documents (one of each set) that have to be compared with others, by component."""
+    one = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
     # equal prefixes and sizes are one group, named after its smallest member
-    groups = sets.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("g"), F.count("*").alias("members"))
-    named = sets.join(groups, ["n", "p1", "p2"]).select("doc_id", "n", "g", "members", F.when(F.col("doc_id") == F.col("g"), F.col("prefix")).alias("prefix"))
-    named = written(named, "groups")
-    heads = named.where("prefix is not null").select("g", "n", F.explode("prefix").alias("e"))
-    # by element and size: a chain breaks where the next size is too large for the threshold
+    groups = one.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("g"), F.count("*").alias("members"))
+    named = written(one.join(groups, ["n", "p1", "p2"]).select("doc_id", "n", "g", "members"), "groups")
+    heads = sets.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix")).select("g", "n", F.posexplode("prefix").alias("i", "e"))
+    # of two sets whose first common element is at i and j, each can only link with sizes up to its own largest: what comes before i has no partner
+    heads = heads.withColumn("largest", F.floor(((100 + threshold) * (F.col("n") - F.col("i")) - threshold * F.col("n")) / threshold)).drop("i")
+    # by element and size: a chain breaks where no smaller set can link with the next size
     by_size = Window.partitionBy("e").orderBy("n", "g")
-    apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * threshold, F.lit(True))
-    hubs = heads.withColumn("_new", F.when(apart, F.col("g"))).withColumn("hub", F.last("_new", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = hubs.where("hub <> g").select(F.col("g").alias("a"), F.col("hub").alias("b")).distinct()
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.max("largest").over(before) < F.col("n"), F.lit(True))
+    first = F.when(apart, F.struct(F.col("g").alias("hub"), F.col("n").alias("hub_n")))
+    hubs = heads.withColumn("_new", first).withColumn("_run", F.last("_new", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    hubs = hubs.withColumn("many", F.count("*").over(Window.partitionBy("e")) > PAIRED)
+    hubs = hubs.withColumn("_others", F.collect_list("g").over(by_size.rowsBetween(1 - PAIRED, -1)))
+    # its hub, or all others before it; a pair counts once for each common element
+    partners = F.when(~F.col("many"), F.col("_others")).when((F.col("_run.hub") != F.col("g")) & (F.col("largest") >= F.col("_run.hub_n")), F.array("_run.hub"))
+    pairs = hubs.select(F.col("g").alias("a"), "many", F.explode(partners).alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"), F.max("many").alias("chained"))
+    edges = _possible(pairs, sets, threshold).select("a", "b")
     comps = components(edges)
-    joined = named.select("doc_id", "n", "g", "members").join(comps, F.col("g") == F.col("node"), "left")
+    joined = named.join(comps, F.col("g") == F.col("node"), "left")
     return joined.where(F.col("component").isNotNull() | (F.col("members") > 1)).select("doc_id", "n", F.coalesce("component", "g").alias("comp"))
 
 
+def _packed(documents: DataFrame) -> DataFrame:
+    """doc_id and z: texts compressed, for the shuffles."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = pa.array([pack((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z], names=["doc_id", "z"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+
+
+def _unpacked(z) -> pa.Array:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x).decode() for x in z.to_pylist()], pa.large_string())
+
+
 def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     a, b = len(x), len(y)
     if min(a, b) * 100 < max(a, b) * threshold:
@@ -267,14 +351,14 @@ def _link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _verify_runs(threshold: int):
-    """Over rows of key, doc_id, text, side, sorted by key: links within each key (side null), or from side 0 to all."""
+    """Over rows of key, doc_id, z, side, sorted by key: links within each key (side null), or from side 0 to all."""
 
     def run(batches):
         for table in _blocks_of_rows(batches, 0):
             keys = table.column("key").to_numpy()
             ids = table.column("doc_id").to_numpy()
             sides = table.column("side").to_numpy()
-            sets = [s for _, s in sets_of(table.column("text").combine_chunks())]
+            sets = [s for _, s in sets_of(_unpacked(table.column("z")))]
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             out: list[tuple[int, int]] = []
             for a, b in zip(starts, [*starts[1:], len(keys)]):
@@ -288,16 +372,16 @@ def _verify_runs(threshold: int):
 
 
 def _with_hub(threshold: int):
-    """Over rows of doc_id, text, hub, hub_text: doc_id, hub and whether they link."""
+    """Over rows of doc_id, z, hub, hub_z: doc_id, hub and whether they link."""
 
     def run(batches):
         for batch in batches:
             out, known = [], {}
             hubs = batch.column(2).to_pylist()
             hub_texts = batch.column(3)
-            for (i, s), hub in zip(sets_of(batch.column(1)), hubs):
+            for (i, s), hub in zip(sets_of(_unpacked(batch.column(1))), hubs):
                 if hub not in known:
-                    known = {hub: next(x for _, x in sets_of(hub_texts.slice(i, 1)))}
+                    known = {hub: next(x for _, x in sets_of(_unpacked(hub_texts.slice(i, 1))))}
                 out.append(_similar(s, known[hub], threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], names=["doc_id", "hub", "linked"])
 
@@ -309,24 +393,27 @@ def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataF
     sizes = candidates.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("elements")).where("m > 1")
     large = (F.col("m") > TOGETHER) | (F.col("elements") > TOGETHER_ELEMENTS)
     sized = written(candidates.join(sizes, "comp").withColumn("large", large), "candidates")
-    texts = sized.join(documents.select("doc_id", "text"), "doc_id")
-    few = texts.where("not large").select(F.col("comp").alias("key"), "doc_id", "text", F.lit(-1).alias("side"))
+    texts = _packed(documents).join(sized, "doc_id")
+    some_large = not sized.where("large").isEmpty()
+    if some_large:  # they are read by several steps
+        texts = written(texts, "texts")
+    few = texts.where("not large").select(F.col("comp").alias("key"), "doc_id", "z", F.lit(-1).alias("side"))
     few = few.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_runs(threshold), LINKS)
-    if sized.where("large").isEmpty():
+    if not some_large:
         return few
-    many = written(texts.where("large").select("comp", "m", "elements", "n", "doc_id", "text"), "large")
-    hubs = many.groupBy("comp").agg(F.min_by("text", "doc_id").alias("hub_text"), F.min("doc_id").alias("hub"))
-    tried = many.join(hubs, "comp").select("doc_id", "text", "hub", "hub_text").mapInArrow(_with_hub(threshold), "doc_id long, hub long, linked boolean")
+    many = texts.where("large")
+    hubs = many.groupBy("comp").agg(F.min_by("z", "doc_id").alias("hub_z"), F.min("doc_id").alias("hub"))
+    tried = many.join(hubs, "comp").select("doc_id", "z", "hub", "hub_z").mapInArrow(_with_hub(threshold), "doc_id long, hub long, linked boolean")
     tried = written(tried, "hubs")
     rest = many.join(tried.where("not linked").select("doc_id"), "doc_id", "left_semi")
     parts = lambda members, elements: F.ceil(F.greatest(members / BLOCK, elements / BLOCK_ELEMENTS)).cast("int")
     counts = rest.groupBy("comp").agg(parts(F.count("*"), F.sum("n")).alias("rows"))
     all_blocks = many.join(counts, "comp").withColumn("cols", parts(F.col("m"), F.col("elements")))
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    right = all_blocks.select("comp", "doc_id", "text", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), block("cols").alias("c"))
+    right = all_blocks.select("comp", "doc_id", "z", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), block("cols").alias("c"))
     left = all_blocks.join(rest.select("doc_id"), "doc_id", "left_semi")
-    left = left.select("comp", "doc_id", "text", F.lit(0).alias("side"), block("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
-    pairs = right.unionByName(left).select(F.xxhash64("comp", "r", "c").alias("key"), "doc_id", "text", "side")
+    left = left.select("comp", "doc_id", "z", F.lit(0).alias("side"), block("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
+    pairs = right.unionByName(left).select(F.xxhash64("comp", "r", "c").alias("key"), "doc_id", "z", "side")
     pairs = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_runs(threshold), LINKS)
     return few.unionByName(pairs.where("a <> b")).unionByName(tried.where("linked and doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
 
@@ -346,8 +433,7 @@ def jaccard_components(documents: DataFrame, threshold: int = THRESHOLD) -> Data
     some = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     same = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     equal = some.join(same.where("copies > 1"), ["n", "s1", "s2"]).where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    one = some.join(same, ["n", "s1", "s2"]).where(F.col("doc_id") == F.col("first")).dropDuplicates(["n", "s1", "s2"]).select("doc_id", "n", "p1", "p2", "prefix")
-    links = _links(documents.where(F.col("doc_id").isNotNull()), _candidates(one, threshold), threshold)
+    links = _links(documents.where(F.col("doc_id").isNotNull()), _candidates(some, threshold), threshold)
     found = components(links.unionByName(equal))
     return sets.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -77,7 +77,7 @@ def near_copies(n=400, seed=2):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_on_families(spark, monkeypatch, small, seed):
     if small:  # all components go through hubs and blocks
-        for name, value in (("TOGETHER", 3), ("BLOCK", 7), ("FREQUENT", 2)):
+        for name, value in (("TOGETHER", 3), ("BLOCK", 7), ("FREQUENT", 2), ("PAIRED", 2)):
             monkeypatch.setattr(jaccard, name, value)
     made = near_copies(seed=seed)
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
