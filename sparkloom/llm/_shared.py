@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def ascii_lower(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: What operators keep between tasks in a Python worker, and how it is let go.
+KEPT_IN_WORKER: dict[str, Callable[[], None]] = {}
+
+
+def worker_of(owner: str) -> None:
+    """Lets go of what other operators have kept in this worker; workers outlive a query's steps, and their memory counts together."""
+    for name, let_go in KEPT_IN_WORKER.items():
+        if name != owner:
+            let_go()

@@ -22,15 +22,18 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._shared import KEPT_IN_WORKER, worker_of
+
 #: How byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker's store of encoded words is emptied beyond this many; it only saves time.
-STORE = 700_000
+STORE = 300_000
 
 #: A space beside other white space, or at either end of a text.
 TOUCH = re.compile(r" \s|\s |^ | $|\s\Z| \Z").search
 
 _LOADED: dict[str, "Bpe"] = {}
+KEPT_IN_WORKER["bpe"] = _LOADED.clear
 
 
 def byte_letters() -> dict[str, int]:
@@ -233,6 +236,7 @@ def encode_decode(documents: DataFrame, tokenizer: str, keep: bool = True) -> Da
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        worker_of("bpe")
         bpe = load(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import written
+from ._shared import KEPT_IN_WORKER, worker_of, written
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -41,22 +41,26 @@ SHINGLE, THRESHOLD = 5, 80
 FREQUENT, FREQUENT_MOST = 1, 1 << 18
 #: Groups that an element may have for their pairs to be looked at; those of other elements are chained.
 PAIRED = 8
-#: Elements that a task counts at a time (32 MB).
-COUNTED = 4 << 20
+#: Elements that a task counts at a time (16 MB).
+COUNTED = 2 << 20
 #: Members, and elements of their sets, that one task compares in a component; members and elements of a block of larger ones.
 TOGETHER, TOGETHER_ELEMENTS = 1_500, 1_500_000
 BLOCK, BLOCK_ELEMENTS = 1_000, 1_000_000
 
 BASE = 0x9E3779B97F4A7C15
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
-def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    if len(cache.get("p", ())) < n:
+_POWERS: dict[str, np.ndarray] = {}
+KEPT_IN_WORKER["hashes"] = _POWERS.clear
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get("p", ())) < n:
         size = max(n, SLICE + (1 << 17))
-        cache["p"] = np.cumprod(np.full(size, BASE, np.uint64))
-        cache["i"] = np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), np.uint64))
-    return cache["p"][:n], cache["i"][:n]
+        _POWERS["p"] = np.cumprod(np.full(size, BASE, np.uint64))
+        _POWERS["i"] = np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), np.uint64))
+    return _POWERS["p"][:n], _POWERS["i"][:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -141,6 +145,7 @@ def _frequent(documents: DataFrame, threshold: int) -> np.ndarray:
     """
 
     def stretch(batches):
+        worker_of("hashes")
         held, size = [], 0
 
         def twice():
@@ -186,6 +191,7 @@ def shingle_sets(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     shared = spark.sparkContext.broadcast(_frequent(documents, threshold))
 
     def run(batches):
+        worker_of("hashes")
         frequent = shared.value
         for batch in batches:
             rows = []
@@ -354,6 +360,7 @@ def _verify_runs(threshold: int):
     """Over rows of key, doc_id, z, side, sorted by key: links within each key (side null), or from side 0 to all."""
 
     def run(batches):
+        worker_of("hashes")
         for table in _blocks_of_rows(batches, 0):
             keys = table.column("key").to_numpy()
             ids = table.column("doc_id").to_numpy()
@@ -375,6 +382,7 @@ def _with_hub(threshold: int):
     """Over rows of doc_id, z, hub, hub_z: doc_id, hub and whether they link."""
 
     def run(batches):
+        worker_of("hashes")
         for batch in batches:
             out, known = [], {}
             hubs = batch.column(2).to_pylist()
@@ -432,7 +440,8 @@ def jaccard_components(documents: DataFrame, threshold: int = THRESHOLD) -> Data
     sets = written(shingle_sets(documents, threshold), "sets")
     some = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     same = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    equal = some.join(same.where("copies > 1"), ["n", "s1", "s2"]).where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    same = written(same.where("copies > 1"), "copies")  # as a table, so that Spark can split the join at sets with many copies
+    equal = some.join(same, ["n", "s1", "s2"]).where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     links = _links(documents.where(F.col("doc_id").isNotNull()), _candidates(some, threshold), threshold)
     found = components(links.unionByName(equal))
     return sets.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -31,7 +31,7 @@ from .jaccard import _blocks_of_rows, _mix, _powers
 
 SPAN, GRAM, COVER = 200, 48, 32
 HOT = 20_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -235,7 +235,8 @@ def _hot_spans(contexts: DataFrame, span: int) -> DataFrame:
 def repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int = COVER, hot: int = HOT) -> DataFrame:
     """k, t, start, stop: byte ranges, overlapping ones too, that strings of span bytes with another occurrence cover."""
     found = written(_anchor_rows(documents, span, gram), "anchors")
-    counted = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # as a table, so that Spark can split the join at frequent anchors
+    counted = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counted")
     shared = found.join(counted, "h").withColumn("hot", F.col("n") > hot)
     lists = shared.groupBy("k", "t").agg(F.collect_list(F.struct("h", "place", "first", "last", "hot")).alias("at"))
     joined = written(_packed(documents).join(lists, ["k", "t"]).select("k", "t", "z", "at"), "cut")
