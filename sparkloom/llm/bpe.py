@@ -27,7 +27,7 @@ from ._shared import KEPT_IN_WORKER, worker_of
 #: How byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker's store of encoded words is emptied beyond this many; it only saves time.
-STORE = 300_000
+STORE = 700_000
 
 #: A space beside other white space, or at either end of a text.
 TOUCH = re.compile(r" \s|\s |^ | $|\s\Z| \Z").search
