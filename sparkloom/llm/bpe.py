@@ -5,7 +5,8 @@ the longest vocabulary entry that ends the prefix and may stand after the last
 token of what is left. Whether b may follow a is a matter of the two alone (the
 merges must turn a's and b's bytes into just a and b). So the distinct words of
 a batch go into a trie, a depth-first walk gives each node its last token once,
-and words with a common start share that work. Encodings are read off backwards.
+and words with a common start share that work. The vocabulary is an automaton: its
+state after a prefix lists the entries that end there.
 
 Words never cross documents, so documents are encoded where they lie, without a
 shuffle; a worker keeps a bounded store of words that it has met.
@@ -17,6 +18,7 @@ import gc
 import hashlib
 import json
 import re
+import struct
 from array import array
 
 import pyarrow as pa
@@ -27,7 +29,9 @@ from ._shared import KEPT_IN_WORKER, worker_of
 #: How byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker's store of encoded words is emptied beyond this many; it only saves time.
-STORE = 700_000
+STORE = 400_000
+#: Words of more characters don't go into the trie.
+LONG = 256
 
 #: A space beside other white space, or at either end of a text.
 TOUCH = re.compile(r" \s|\s |^ | $|\s\Z| \Z").search
@@ -53,91 +57,108 @@ class Bpe:
             data = json.load(f)
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
-        self.ids = {as_bytes(s): i for s, i in data["model"]["vocab"].items()}
+        ids = {as_bytes(s): i for s, i in data["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.rank = {}
+        bytes_of = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.bytes_of = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+        self.packed = [struct.pack("<I", i) for i in range(len(self.bytes_of))]
+        #: Of a pair of tokens (one number), the rank of its merge; of a token, the pair that it is first made of.
+        self.rank: dict[int, int] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
+        made = {}
         for n, pair in enumerate(data["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank.setdefault((self.ids[as_bytes(a)], self.ids[as_bytes(b)]), (n, self.ids[as_bytes(a) + as_bytes(b)]))
-        reachable = {self.ids[bytes([b])] for b in range(256)} | {token for _, token in self.rank.values()}
-        #: The vocabulary by last byte first; key -1 holds the token that ends there.
-        self.suffixes: dict = {}
-        for b, i in self.ids.items():
-            if i in reachable and self.merge(b) == [i]:
-                node = self.suffixes
-                for x in reversed(b):
-                    node = node.setdefault(x, {})
-                node[-1] = i
+            x, y = map(as_bytes, pair if isinstance(pair, list) else pair.split(" "))
+            key = ids[x] << 20 | ids[y]
+            if key not in self.rank:
+                self.rank[key], made[key] = n, ids[x + y]
+                self.parts.setdefault(made[key], (ids[x], ids[y]))
+        singles = [ids[bytes([b])] for b in range(256)]
+        reachable = set(singles) | set(self.parts)
+        self._automaton({b: i for b, i in ids.items() if i in reachable and self._merge([singles[x] for x in b], made) == [i]})
         self.words = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.may_follow: dict[int, bool] = {}
+        #: Encodings of words of texts that are cut by the pattern.
         self.store: dict[str, bytes] = {}
         #: Encodings of a space and what stands up to the next one.
         self.spaced: dict[str, bytes] = {}
-        parts = {token: (a, b) for (a, b), (_, token) in reversed(self.rank.items())}
-        self.cross = {a << 20 | b: n for (a, b), (n, _) in self.rank.items()}
-        self.right = {i: self._spine(i, parts, 1) for i in self.bytes_of if i in reachable}
-        self.left = {i: self._spine(i, parts, 0) for i in self.bytes_of if i in reachable}
 
-    def merge(self, data: bytes) -> list[int]:
+    def _merge(self, out: list[int], made: dict[int, int]) -> list[int]:
         """Plain ranked merging, for short strings."""
-        out = [self.ids[data[i : i + 1]] for i in range(len(data))]
         while len(out) > 1:
-            best = min(((self.rank[p][0], i) for i, p in enumerate(zip(out, out[1:])) if p in self.rank), default=None)
+            keys = [x << 20 | y for x, y in zip(out, out[1:])]
+            best = min((self.rank[k], i) for i, k in enumerate(keys) if k in self.rank) if not made.keys().isdisjoint(keys) else None
             if best is None:
                 break
-            i = best[1]
-            out[i : i + 2] = [self.rank[out[i], out[i + 1]][1]]
+            out[best[1] : best[1] + 2] = [made[keys[best[1]]]]
         return out
 
-    def _spine(self, token: int, parts: dict, side: int) -> list[tuple[int, int]]:
+    def _automaton(self, tokens: dict[bytes, int]) -> None:
+        """States are the starts of tokens; of each, the tokens that end there (with their lengths), the longest first."""
+        self.go: dict[int, int] = {}
+        self.back, self.ending = [0], [()]
+        level = [(0, t) for t in sorted(tokens)]
+        depth = 0
+        while level:
+            nxt = []
+            for state, t in level:
+                x = t[depth]
+                to = self.go.get(state << 8 | x)
+                if to is None:
+                    to = len(self.back)
+                    self.back.append(self.step(self.back[state], x) if state else 0)
+                    self.go[state << 8 | x] = to
+                    self.ending.append(self.ending[self.back[to]])
+                if len(t) == depth + 1:
+                    self.ending[to] = ((tokens[t], depth + 1), *self.ending[to])
+                else:
+                    nxt.append((to, t))
+            level, depth = nxt, depth + 1
+
+    def step(self, state: int, x: int) -> int:
+        """The state of the longest start of a token that ends with x, after state."""
+        while (to := self.go.get(state << 8 | x)) is None and state:
+            state = self.back[state]
+        return to or 0
+
+    def _end(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one end of token while it is built, each with the rank of the merge that ends it."""
-        out, until = [], 1 << 60
-        while True:
-            out.append((token, until))
-            if token not in parts:
-                return out
-            until = self.rank[parts[token]][0]
-            token = parts[token][side]
+        out = self.ends.get((token, side))
+        if out is None:
+            out, until, at = [(token, 1 << 60)], 1 << 60, token
+            while at in self.parts:
+                x, y = self.parts[at]
+                until = self.rank[x << 20 | y]
+                at = (x, y)[side]
+                out.append((at, until))
+            self.ends[token, side] = out
+        return out
 
     def follows(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b leaves them apart: no merge across the border comes before those that close either side.
 
         Of equal merges the left one goes first, so the left side needs a lower rank to be taken, the right side none that is higher.
         """
-        key = a << 20 | b
-        known = self.may_follow.get(key)
-        if known is None:
-            if len(self.may_follow) > STORE:
-                self.may_follow.clear()
-            known, cross, left = True, self.cross, self.left[b]
-            for x, x_until in self.right[a]:
-                for y, y_until in left:
-                    n = cross.get(x << 20 | y)
-                    if n is not None and n < x_until and n <= y_until:
-                        known = False
-            self.may_follow[key] = known
+        if len(self.may_follow) > STORE:
+            self.may_follow.clear()
+        known, rank, left = True, self.rank, self._end(b, 0)
+        for x, x_until in self._end(a, 1):
+            for y, y_until in left:
+                n = rank.get(x << 20 | y)
+                if n is not None and n < x_until and n <= y_until:
+                    known = False
+        self.may_follow[a << 20 | b] = known
         return known
 
-    def last_token(self, word: list[int], last: list[int], end: int) -> int:
-        """Of the prefix word[:end]; last holds those of the shorter prefixes."""
-        node, found = self.suffixes, []
-        for start in range(end - 1, -1, -1):
-            node = node.get(word[start])
-            if node is None:
-                break
-            if -1 in node:
-                found.append((start, node[-1]))
-        for start, token in reversed(found):
-            if not start or self.follows(last[start], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
-    def learn(self, words: set[str]) -> None:
-        """Puts the encodings of words into the store, by a walk over their trie."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Encodings of words, by a walk over their trie. Long ones are paths of their own, which need no nodes."""
+        out: dict[str, bytes] = {}
         trie: dict = {}
         for word in words:
+            if len(word) > LONG:
+                out[word] = self.walk(word.encode())
+                continue
             node = trie
             for x in word.encode():
                 nxt = node.get(x)
@@ -145,28 +166,54 @@ class Bpe:
                     nxt = node[x] = {}
                 node = nxt
             node[-1] = word
-        path, last, lengths = [], [0], {}
-        stack = [(0, x, child) for x, child in trie.items()]
-        bytes_of = self.bytes_of
+        # of the prefix of each length on the path: its last token and its encoding
+        last, coded = [0] * (4 * LONG + 1), [b""] * (4 * LONG + 1)
+        go, step, ending, known, follows, packed = self.go.get, self.step, self.ending, self.may_follow.get, self.follows, self.packed
+        stack = [(1, x, child, 0) for x, child in trie.items()]
+        push, pop = stack.append, stack.pop
         while stack:
-            depth, x, node = stack.pop()
-            del path[depth:], last[depth + 1 :]
-            path.append(x)
-            last.append(self.last_token(path, last, depth + 1))
+            end, x, node, state = pop()
+            state = go(state << 8 | x) or step(state, x)
+            for token, size in ending[state]:
+                before = last[end - size]
+                if end == size:
+                    break
+                fits = known(before << 20 | token)
+                if follows(before, token) if fits is None else fits:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last[end] = token
+            coded[end] = code = coded[end - size] + packed[token]
             for y, child in node.items():
-                if y == -1:
-                    at, out = depth + 1, []
-                    while at:
-                        token = last[at]
-                        out.append(token)
-                        size = lengths.get(token)
-                        if size is None:
-                            size = lengths[token] = len(bytes_of[token])
-                        at -= size
-                    out.reverse()
-                    self.store[child] = array("I", out).tobytes()
+                if y < 0:
+                    out[child] = code
                 else:
-                    stack.append((depth + 1, y, child))
+                    push((end + 1, y, child, state))
+        return out
+
+    def walk(self, data: bytes) -> bytes:
+        """The encoding of one long word."""
+        last, sizes, state = [0], [0], 0
+        for end, x in enumerate(data, 1):
+            state = self.step(state, x)
+            for token, size in self.ending[state]:
+                before = last[end - size]
+                if end == size:
+                    break
+                fits = self.may_follow.get(before << 20 | token)
+                if self.follows(before, token) if fits is None else fits:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+            sizes.append(size)
+        at, out = len(data), array("I")
+        while at:
+            out.append(last[at])
+            at -= sizes[at]
+        out.reverse()
+        return out.tobytes()
 
     def pieces(self, text: str) -> list:
         """Words as strings, special tokens as their bytes."""
@@ -183,31 +230,27 @@ class Bpe:
         Where no other white space touches a space, text can be cut before each
         space, and what follows is looked up whole; other texts are cut by the pattern.
         """
-        if len(self.store) > STORE or len(self.spaced) > STORE:
+        if len(self.store) + len(self.spaced) > STORE:
             self.store.clear()
             self.spaced.clear()
+        store, spaced = self.store, self.spaced
         plain = [not TOUCH(t) and not any(s in t for s in self.special) for t in texts]
         cut = [t.split(" ") if p else self.pieces(t) for t, p in zip(texts, plain)]
-        spaced, unseen = self.spaced, {}
-        for words, p in zip(cut, plain):
-            if p:
-                for w in words:
-                    if w not in spaced and w not in unseen:
-                        unseen[w] = self.words(" " + w)
         heads = [self.words(words[0]) if p else () for words, p in zip(cut, plain)]
-        new = {w for words, p in zip(cut, plain) if not p for w in words if type(w) is str}
-        new = {w for words in ([new], unseen.values(), heads) for ws in words for w in ws if w not in self.store}
+        unseen = set().union(*(words for words, p in zip(cut, plain) if p)).difference(spaced)
+        unseen = {w: self.words(" " + w) for w in unseen}
+        kept = {w for words, p in zip(cut, plain) if not p for w in words if type(w) is str}.union(*heads).difference(store)
+        new = kept.union(*unseen.values())
         if new:
-            gc.disable()  # a trie is many small dicts without cycles
-            self.learn(new)
-            gc.enable()
-        store = self.store
-        for w, words in unseen.items():
-            spaced[w] = b"".join([store[x] for x in words])
+            found = self.learn(new)
+            for w in kept:
+                store[w] = found[w]
+            for w, words in unseen.items():
+                spaced[w] = found[words[0]] if len(words) == 1 else b"".join([found[x] for x in words])
         out = []
         for words, p, head in zip(cut, plain, heads):
             if p:
-                parts = [spaced[w] for w in words]
+                parts = list(map(spaced.__getitem__, words))
                 parts[0] = b"".join([store[x] for x in head])
             else:
                 parts = [store[w] if type(w) is str else w for w in words]
@@ -241,7 +284,9 @@ def encode_decode(documents: DataFrame, tokenizer: str, keep: bool = True) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                gc.disable()  # a trie is many small dicts without cycles
                 ids = bpe.encode_batch([t or "" for t in part.column(1).to_pylist()])
+                gc.enable()
                 decoded = [bpe.decode(x) for x in ids]
                 columns = [
                     part.column(0),
