@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +42,15 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: What operators keep between tasks in a Python worker, and how it is let go.
-KEPT_IN_WORKER: dict[str, Callable[[], None]] = {}
+#: What operators keep between tasks in a Python worker.
+KEPT_IN_WORKER: dict[str, dict] = {}
 
 
 def worker_of(owner: str) -> None:
     """Lets go of what other operators have kept in this worker; workers outlive a query's steps, and their memory counts together."""
-    for name, let_go in KEPT_IN_WORKER.items():
-        if name != owner:
-            let_go()
+    others = [kept for name, kept in KEPT_IN_WORKER.items() if name != owner and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()

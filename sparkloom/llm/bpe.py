@@ -37,7 +37,7 @@ LONG = 256
 TOUCH = re.compile(r" \s|\s |^ | $|\s\Z| \Z").search
 
 _LOADED: dict[str, "Bpe"] = {}
-KEPT_IN_WORKER["bpe"] = _LOADED.clear
+KEPT_IN_WORKER["bpe"] = _LOADED
 
 
 def byte_letters() -> dict[str, int]:

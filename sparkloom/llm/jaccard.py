@@ -52,7 +52,7 @@ SLICE = 1 << 20
 
 
 _POWERS: dict[str, np.ndarray] = {}
-KEPT_IN_WORKER["hashes"] = _POWERS.clear
+KEPT_IN_WORKER["hashes"] = _POWERS
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
