@@ -220,19 +220,24 @@ def _possible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Drops pairs of groups that can't link, going by how many elements of their prefixes are common.
 
     All common elements up to the end of the prefix that ends first, in the
-    global order, are counted in common. So of the set with that prefix no more
-    can be common than those and what follows its prefix. Chained pairs stay, as
-    they stand for others as well; so do those of ids with several texts.
+    global order, are counted in common, save those of more than PAIRED groups:
+    of these no more can be common than either prefix has, which a row of the
+    group without a partner says. So of the set with that prefix no more can be
+    common than those and what follows its prefix. Chained pairs stay, as they
+    stand for others as well; so do those of ids with several texts.
     """
+    many = pairs.where(F.col("b").isNull()).select(F.col("a").alias("id"), F.col("common").alias("many"))
+    pairs = pairs.where(F.col("b").isNotNull())
     end = F.struct("n", "last_often", "last", F.size("prefix").alias("size"))
     ends = sets.groupBy(F.col("doc_id").alias("id")).agg(F.min(end).alias("end"), (F.min(end) != F.max(end)).alias("several"))
-    named = lambda g, end, several: ends.select(F.col("id").alias(g), F.col("end").alias(end), F.col("several").alias(several))
-    both = pairs.join(named("a", "x", "x_several"), "a").join(named("b", "y", "y_several"), "b")
+    ends = ends.join(many, "id", "left").withColumn("many", F.coalesce("many", F.lit(0)))
+    named = lambda g, end: ends.select(F.col("id").alias(g), F.col("end").alias(end), F.col("several").alias(f"{end}_several"), F.col("many").alias(f"{end}_many"))
+    both = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b")
     at = lambda end: F.struct(end["last_often"].alias("often"), end["last"].alias("last"))
     x, y = F.col("x"), F.col("y")
     ends_first = F.when(at(x) <= at(y), x["n"] - x["size"]).otherwise(y["n"] - y["size"])
     needed = threshold * (x["n"] + y["n"])  # of (100 + threshold) * the number of common elements
-    fits = (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * threshold) & ((F.col("common") + ends_first) * (100 + threshold) >= needed)
+    fits = (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * threshold) & ((F.col("common") + F.least("x_many", "y_many") + ends_first) * (100 + threshold) >= needed)
     return both.where(F.col("chained") | F.col("x_several") | F.col("y_several") | fits)
 
 
@@ -253,9 +258,12 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     hubs = heads.withColumn("_new", first).withColumn("_run", F.last("_new", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     hubs = hubs.withColumn("many", F.count("*").over(Window.partitionBy("e")) > PAIRED)
     hubs = hubs.withColumn("_others", F.collect_list("g").over(by_size.rowsBetween(1 - PAIRED, -1)))
-    # its hub, or all others before it; a pair counts once for each common element
-    partners = F.when(~F.col("many"), F.col("_others")).when((F.col("_run.hub") != F.col("g")) & (F.col("largest") >= F.col("_run.hub_n")), F.array("_run.hub"))
+    # all others before it, or its hub and a row that counts the element for the group alone; a pair counts once for each common element
+    alone = F.array(F.lit(None).cast("long"))
+    chained = (F.col("_run.hub") != F.col("g")) & (F.col("largest") >= F.col("_run.hub_n"))
+    partners = F.when(~F.col("many"), F.col("_others")).when(chained, F.concat(F.array("_run.hub"), alone)).otherwise(alone)
     pairs = hubs.select(F.col("g").alias("a"), "many", F.explode(partners).alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"), F.max("many").alias("chained"))
+    pairs = written(pairs, "pairs")
     edges = _possible(pairs, sets, threshold).select("a", "b")
     comps = components(edges)
     joined = named.join(comps, F.col("g") == F.col("node"), "left")

@@ -84,6 +84,16 @@ def test_jaccard_on_families(spark, monkeypatch, small, seed):
     assert rows(jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(made)
 
 
+def test_jaccard_of_pairs_around_frequent_passages(spark):
+    """Sets that share a passage of many others, and with one only a few rare elements, which come first in the order."""
+    base = " ".join(f"base{i}" for i in range(46))
+    side = lambda own, first: [(first + i, f"{base} " + " ".join(f"f{i}x{n}" for n in range(4)) + " " + " ".join(f"{own}{i}x{n}" for n in range(4))) for i in range(200)]
+    a, b = side("a", 0), side("b", 1000)
+    df = [spark.createDataFrame(x, "doc_id long, text string").coalesce(1) for x in (a, b)]
+    got = rows(jaccard_components(df[0].union(df[1])), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(a + b) and sum(i != c for i, _, c in got) == 200
+
+
 def test_components(spark):
     dice = random.Random(4)
     edges = [(dice.randrange(300), dice.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 6000 + i) for i in range(200)] + [(None, 3), (4, 4)]
