@@ -34,7 +34,38 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that join_counted() broadcasts at most, and rows that a key may have without being one of them.
+HEAVY, LIGHT = 50_000, 1_000
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined with side, which has one row a key and in column n how many of rows have it.
+
+    A key of more than total / HEAVY rows is one of at most HEAVY keys, so that
+    these travel as a broadcast of bounded size and their rows stay where they
+    are; all others meet in a shuffle, with a bounded share of the rows a key.
+    """
+    total, most = side.agg(F.sum(n), F.max(n)).first()
+    limit = max((total or 0) // HEAVY, LIGHT)
+    if (most or 0) <= limit:
+        return rows.join(side, keys)
+    heavy = side.where(F.col(n) > limit)
+    spread = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.where(F.col(n) <= limit), keys)
+    return spread.unionByName(rest)
 
 
 def ascii_lower(column):

@@ -10,7 +10,7 @@
 3. Documents with the same prefix and size are collapsed into one group. Pairs
    of groups that share a rare prefix element are filtered by their sizes and by
    how much of the prefixes is common. Groups that share a frequent element are
-   chained if their sizes, and the element's places in both orders, allow the
+   chained by classes of sizes if the element's place in their order allows the
    threshold: a row for each group, never a pair for each two of them. Frequent
    elements stand late, where hardly a size is allowed. The components of pairs
    and chains are what has to be compared.
@@ -31,9 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._shared import KEPT_IN_WORKER, worker_of, written
+from ._shared import KEPT_IN_WORKER, join_counted, worker_of, written
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -216,29 +215,45 @@ def shingle_sets(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, SETS)
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _possible(pairs: DataFrame, many: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Drops pairs of groups that can't link, going by how many elements of their prefixes are common.
 
     All common elements up to the end of the prefix that ends first, in the
     global order, are counted in common, save those of more than PAIRED groups:
-    of these no more can be common than either prefix has, which a row of the
-    group without a partner says. So of the set with that prefix no more can be
-    common than those and what follows its prefix. Chained pairs stay, as they
-    stand for others as well; so do those of ids with several texts.
+    of these no more can be common than either prefix has, which is in many. So
+    of the set with that prefix no more can be common than those and what
+    follows its prefix. Pairs with ids of several texts stay.
     """
-    many = pairs.where(F.col("b").isNull()).select(F.col("a").alias("id"), F.col("common").alias("many"))
-    pairs = pairs.where(F.col("b").isNotNull())
     end = F.struct("n", "last_often", "last", F.size("prefix").alias("size"))
-    ends = sets.groupBy(F.col("doc_id").alias("id")).agg(F.min(end).alias("end"), (F.min(end) != F.max(end)).alias("several"))
-    ends = ends.join(many, "id", "left").withColumn("many", F.coalesce("many", F.lit(0)))
-    named = lambda g, end: ends.select(F.col("id").alias(g), F.col("end").alias(end), F.col("several").alias(f"{end}_several"), F.col("many").alias(f"{end}_many"))
+    ends = sets.groupBy(F.col("doc_id").alias("g")).agg(F.min(end).alias("end"), (F.min(end) != F.max(end)).alias("several"))
+    ends = ends.join(many, "g", "left").withColumn("many", F.coalesce("many", F.lit(0)))
+    named = lambda g, end: ends.select(F.col("g").alias(g), F.col("end").alias(end), F.col("several").alias(f"{end}_several"), F.col("many").alias(f"{end}_many"))
     both = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b")
     at = lambda end: F.struct(end["last_often"].alias("often"), end["last"].alias("last"))
     x, y = F.col("x"), F.col("y")
     ends_first = F.when(at(x) <= at(y), x["n"] - x["size"]).otherwise(y["n"] - y["size"])
     needed = threshold * (x["n"] + y["n"])  # of (100 + threshold) * the number of common elements
     fits = (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * threshold) & ((F.col("common") + F.least("x_many", "y_many") + ends_first) * (100 + threshold) >= needed)
-    return both.where(F.col("chained") | F.col("x_several") | F.col("y_several") | fits)
+    return both.where(F.col("x_several") | F.col("y_several") | fits)
+
+
+def _chains(heads: DataFrame, threshold: int) -> DataFrame:
+    """a, b: chains of the groups that share an element of many groups and might link, going by their sizes.
+
+    If it is the first common element of two sets, each can link only with
+    sizes up to its own largest, and one that has no size left links with none.
+    Sizes that link lie in one class or in neighbouring ones: each group is
+    chained to the first of its class, and that to the first of the next class
+    if a size of the class reaches it.
+    """
+    ratio = math.log(100 / threshold) if threshold < 100 else 1e-9
+    some = heads.where(F.col("largest") * 100 >= F.col("n") * threshold).select("e", "g", "n", "largest", F.floor(F.log("n") / ratio).alias("class"))
+    hubs = some.groupBy("e", "class").agg(F.min("g").alias("hub"), F.max("largest").alias("top"), F.min("n").alias("low"), F.count("*").alias("c"))
+    hubs = written(hubs, "hubs")
+    within = join_counted(some.select("e", "class", "g"), hubs.where("c > 1").select("e", "class", "hub", "c"), ["e", "class"], "c").where("g <> hub").select(F.col("g").alias("a"), F.col("hub").alias("b"))
+    following = hubs.select("e", (F.col("class") - 1).alias("class"), F.col("hub").alias("b"), F.col("low").alias("next_low"))
+    across = hubs.join(following, ["e", "class"]).where("top >= next_low and hub <> b").select(F.col("hub").alias("a"), "b")
+    return within.unionByName(across)
 
 
 def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
@@ -246,25 +261,23 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     one = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
     # equal prefixes and sizes are one group, named after its smallest member
     groups = one.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("g"), F.count("*").alias("members"))
-    named = written(one.join(groups, ["n", "p1", "p2"]).select("doc_id", "n", "g", "members"), "groups")
+    groups = written(groups, "groups")
+    single = groups.where("members = 1").select(F.col("g").alias("doc_id"), "n", "g", "members")
+    named = join_counted(one.select("doc_id", "n", "p1", "p2"), groups.where("members > 1"), ["n", "p1", "p2"], "members").select("doc_id", "n", "g", "members")
+    named = written(named.unionByName(single), "named")
     heads = sets.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix")).select("g", "n", F.posexplode("prefix").alias("i", "e"))
     # of two sets whose first common element is at i and j, each can only link with sizes up to its own largest: what comes before i has no partner
-    heads = heads.withColumn("largest", F.floor(((100 + threshold) * (F.col("n") - F.col("i")) - threshold * F.col("n")) / threshold)).drop("i")
-    # by element and size: a chain breaks where no smaller set can link with the next size
-    by_size = Window.partitionBy("e").orderBy("n", "g")
-    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
-    apart = F.coalesce(F.max("largest").over(before) < F.col("n"), F.lit(True))
-    first = F.when(apart, F.struct(F.col("g").alias("hub"), F.col("n").alias("hub_n")))
-    hubs = heads.withColumn("_new", first).withColumn("_run", F.last("_new", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    hubs = hubs.withColumn("many", F.count("*").over(Window.partitionBy("e")) > PAIRED)
-    hubs = hubs.withColumn("_others", F.collect_list("g").over(by_size.rowsBetween(1 - PAIRED, -1)))
-    # all others before it, or its hub and a row that counts the element for the group alone; a pair counts once for each common element
-    alone = F.array(F.lit(None).cast("long"))
-    chained = (F.col("_run.hub") != F.col("g")) & (F.col("largest") >= F.col("_run.hub_n"))
-    partners = F.when(~F.col("many"), F.col("_others")).when(chained, F.concat(F.array("_run.hub"), alone)).otherwise(alone)
-    pairs = hubs.select(F.col("g").alias("a"), "many", F.explode(partners).alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"), F.max("many").alias("chained"))
-    pairs = written(pairs, "pairs")
-    edges = _possible(pairs, sets, threshold).select("a", "b")
+    heads = heads.select("e", "g", "n", F.floor(((100 + threshold) * (F.col("n") - F.col("i")) - threshold * F.col("n")) / threshold).alias("largest"))
+    heads = written(heads, "heads")
+    counts = written(heads.groupBy("e").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    shared = written(join_counted(heads, counts, ["e"], "c"), "shared")
+    # all pairs of the groups of a rare element; a pair counts once for each common element
+    rare = shared.where(F.col("c") <= PAIRED).groupBy("e").agg(F.array_sort(F.collect_list("g")).alias("g"))
+    pairs = rare.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", 1, F.col("i"))).alias("b")).where("a <> b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
+    frequent = shared.where(F.col("c") > PAIRED)
+    many = frequent.groupBy("g").agg(F.count("*").alias("many"))
+    edges = _possible(pairs, many, sets, threshold).select("a", "b").unionByName(_chains(frequent, threshold))
     comps = components(edges)
     joined = named.join(comps, F.col("g") == F.col("node"), "left")
     return joined.where(F.col("component").isNotNull() | (F.col("members") > 1)).select("doc_id", "n", F.coalesce("component", "g").alias("comp"))
@@ -406,9 +419,10 @@ def _with_hub(threshold: int):
 
 def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataFrame:
     """Links between the candidates, as a spanning forest of each component."""
-    sizes = candidates.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("elements")).where("m > 1")
+    candidates = written(candidates, "compared")
+    sizes = written(candidates.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("elements")).where("m > 1"), "sizes")
     large = (F.col("m") > TOGETHER) | (F.col("elements") > TOGETHER_ELEMENTS)
-    sized = written(candidates.join(sizes, "comp").withColumn("large", large), "candidates")
+    sized = written(join_counted(candidates, sizes, ["comp"], "m").withColumn("large", large), "candidates")
     texts = _packed(documents).join(sized, "doc_id")
     some_large = not sized.where("large").isEmpty()
     if some_large:  # they are read by several steps
@@ -418,16 +432,20 @@ def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataF
     if not some_large:
         return few
     many = texts.where("large")
-    hubs = many.groupBy("comp").agg(F.min_by("z", "doc_id").alias("hub_z"), F.min("doc_id").alias("hub"))
-    tried = many.join(hubs, "comp").select("doc_id", "z", "hub", "hub_z").mapInArrow(_with_hub(threshold), "doc_id long, hub long, linked boolean")
-    tried = written(tried, "hubs")
-    rest = many.join(tried.where("not linked").select("doc_id"), "doc_id", "left_semi")
     parts = lambda members, elements: F.ceil(F.greatest(members / BLOCK, elements / BLOCK_ELEMENTS)).cast("int")
-    counts = rest.groupBy("comp").agg(parts(F.count("*"), F.sum("n")).alias("rows"))
-    all_blocks = many.join(counts, "comp").withColumn("cols", parts(F.col("m"), F.col("elements")))
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    right = all_blocks.select("comp", "doc_id", "z", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), block("cols").alias("c"))
-    left = all_blocks.join(rest.select("doc_id"), "doc_id", "left_semi")
+    many = many.withColumn("cols", parts(F.col("m"), F.col("elements"))).withColumn("c", block("cols"))
+    # the smallest member goes to each block of its component
+    first = sized.where("large").groupBy("comp").agg(F.min("doc_id").alias("doc_id"))
+    hubs = many.join(first.select("doc_id"), "doc_id", "left_semi").select("comp", F.col("doc_id").alias("hub"), F.col("z").alias("hub_z"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
+    hubs = hubs.dropDuplicates(["comp", "hub", "hub_z", "c"])
+    tried = many.join(hubs, ["comp", "c"]).select("doc_id", "z", "hub", "hub_z").mapInArrow(_with_hub(threshold), "doc_id long, hub long, linked boolean")
+    tried = written(tried, "hubs")
+    rest = many.join(tried.where("not linked").select("doc_id").distinct(), "doc_id", "left_semi")
+    counts = written(rest.groupBy("comp").agg(parts(F.count("*"), F.sum("n")).alias("rows"), F.first("m").alias("m")), "rest")
+    all_blocks = join_counted(many.drop("m"), counts, ["comp"], "m")
+    right = all_blocks.select("comp", "doc_id", "z", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "c")
+    left = all_blocks.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
     left = left.select("comp", "doc_id", "z", F.lit(0).alias("side"), block("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
     pairs = right.unionByName(left).select(F.xxhash64("comp", "r", "c").alias("key"), "doc_id", "z", "side")
     pairs = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_runs(threshold), LINKS)
@@ -448,8 +466,8 @@ def jaccard_components(documents: DataFrame, threshold: int = THRESHOLD) -> Data
     sets = written(shingle_sets(documents, threshold), "sets")
     some = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     same = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    same = written(same.where("copies > 1"), "copies")  # as a table, so that Spark can split the join at sets with many copies
-    equal = some.join(same, ["n", "s1", "s2"]).where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    same = written(same.where("copies > 1"), "copies")
+    equal = join_counted(some.select("n", "s1", "s2", "doc_id"), same, ["n", "s1", "s2"], "copies").where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     links = _links(documents.where(F.col("doc_id").isNotNull()), _candidates(some, threshold), threshold)
     found = components(links.unionByName(equal))
     return sets.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -94,7 +94,27 @@ def test_jaccard_of_pairs_around_frequent_passages(spark):
     assert got == brute_components(a + b) and sum(i != c for i, _, c in got) == 200
 
 
-def test_components(spark):
+@pytest.mark.parametrize("seed,passage,shared,own", [(1, 80, 13, 11), (2, 40, 12, 6), (3, 160, 13, 21)])
+def test_jaccard_of_pairs_around_one_passage(spark, seed, passage, shared, own):
+    """All texts share a passage; each two share some words more, which lifts just those two over the threshold."""
+    dice = random.Random(seed)
+    words = lambda n: [f"w{dice.randrange(10**9)}" for _ in range(n)]
+    common, made = words(passage), []
+    for pair in range(60):
+        both, order = words(shared), dice.random() < 0.5
+        for side in range(2):
+            start = words(own)
+            made.append((2 * pair + side, " ".join(start + (common + both if order else both + common))))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = rows(jaccard_components(df), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(made) and sum(i != c for i, _, c in got) == 60
+
+
+@pytest.mark.parametrize("together", [1 << 20, 0])
+def test_components(spark, monkeypatch, together):
+    from sparkloom.llm import graph
+
+    monkeypatch.setattr(graph, "TOGETHER", together)
     dice = random.Random(4)
     edges = [(dice.randrange(300), dice.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 6000 + i) for i in range(200)] + [(None, 3), (4, 4)]
     up = list(range(7000))
