@@ -1,19 +1,24 @@
 """Removal of repeated strings by blockwise suffix sorting with a difference cover.
 
-Only suffixes count that may be repeated over SPAN bytes. A window of SPAN bytes
-is put into the suffix bucket of its anchor, the smallest hash among its GRAM-
-byte substrings (the leftmost of equal ones): equal windows have the same anchor
-at the same place. Buckets with one anchor are settled by a count. The others
-are brought together with the bytes that their windows cover, and sorted one
-block of buckets at a time. Within a block, suffixes at every COVER-th place from
-the anchor are ranked once by the next SPAN - COVER bytes; a window whose cover
-sample has no equal is done. Long ties are settled by that rank and the COVER
-bytes before and behind the sample, so that no comparison reads SPAN bytes.
-
-A bucket of more than HOT anchors (of a passage that a large part of the corpus
-has) isn't brought together: digests of its windows are counted by a shuffle
-with partial aggregation instead, so that no task grows with a passage's copies.
-
+1. Candidates. Of each window of SPAN bytes the smallest hash among its substrings
+   of gram bytes (the leftmost of equal ones) is its anchor; equal windows have
+   equal anchors at equal places. The windows of one anchor cover one stretch of
+   a text, its context. Contexts are counted by two 64-bit hashes: what occurs
+   twice as a whole is repeated as a whole and need not be sorted, and an anchor
+   with one context has no repeats.
+2. Suffix buckets. What is left, one of each context, is brought together by
+   anchor, which is a string that all suffixes of the bucket share. A bucket of
+   more than TOGETHER contexts is split by a longer common string: its contexts
+   are cut anew with gram halfway nearer to SPAN. At gram = SPAN each window is
+   a context, and counting settles all, so that no bucket grows with its copies.
+3. Blocks. A task sorts the suffixes of one block of buckets at a time. First the
+   suffixes at the places of a difference cover modulo v are ranked (by v bytes,
+   then by doubling). Suffixes are ordered by their first v bytes, and ties by the
+   ranks at the distance, below v, at which both have a place of the cover.
+   Neighbours in that order that agree over SPAN bytes are repeated.
+
+A cover of the whole corpus would mean to move each of its samples with v bytes
+on both sides, many times the text; so it is laid over blocks of candidates.
 Texts move twice, compressed: to be cut at anchors, and to lose what is repeated.
 """
 
@@ -26,22 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import join_counted, worker_of, written
 from .jaccard import _blocks_of_rows, _mix, _powers
 
-SPAN, GRAM, COVER = 200, 48, 32
-HOT = 20_000
+#: Bytes of a repeated string, bytes of the first anchors, and the root of the cover's modulus (a multiple of 4).
+SPAN, GRAM, ROOT = 200, 48, 4
+#: Contexts of a bucket that is not split any more, and bytes of contexts that are sorted at a time, a bucket at least.
+TOGETHER, BLOCK = 4_000, 1 << 20
+#: Windows of a text that are looked at together; longer texts are cut into such pieces.
 SLICE = 1 << 20
-PLACE = np.uint64((1 << 26) - 1)
+PLACE = np.uint64((1 << 22) - 1)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(hash, text, place, first, last): each anchor of the texts in data, and the first and last window that it is the anchor of.
+    """(hash, context's hash, piece, first, last): each anchor of the pieces in data, and the first and last window that it is the anchor of.
 
-    ends are the texts' ends in data; places are counted from a text's begin.
+    ends are the pieces' ends in data; places are counted from a piece's begin.
     """
     n, w = len(data), span - gram + 1
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if n < span:
         return none
     power, inverse = _powers(n)
@@ -57,46 +65,56 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int) -> tuple[n
     windows = n - span + 1
     chosen = (np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows]) & PLACE).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
-    text = np.repeat(np.arange(len(ends)), ends - starts)[:windows]
-    valid = np.flatnonzero(np.arange(windows) + span <= ends[text])
+    piece = np.repeat(np.arange(len(ends)), ends - starts)[:windows]
+    valid = np.flatnonzero(np.arange(windows) + span <= ends[piece])
     if not len(valid):
         return none
-    chosen, text = chosen[valid], text[valid]
-    new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])])
+    chosen, piece = chosen[valid], piece[valid]
+    new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (piece[1:] != piece[:-1])])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(valid)]]) - 1
-    owner = text[first]
-    begin = starts[owner]
-    return h[chosen[first]], owner, chosen[first] - begin, valid[first] - begin, valid[last] - begin
+    owner, a, b = piece[first], valid[first], valid[last]
+    context = _mix((sums[b + span] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+    return h[chosen[first]], context, owner, a - starts[owner], b - starts[owner]
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
     """k and t tell rows apart by id and text; rows that share both are the same text and get the same answer."""
-    return documents.select(
-        F.coalesce("doc_id", F.lit(0)).cast("long").alias("k"), F.hash("text", F.col("doc_id").isNull()).alias("t"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    )
+    text_key = F.xxhash64("text", F.col("doc_id").isNull())
+    return documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("k"), text_key.alias("t"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-ANCHORS = "h long, k long, t int, place int, first int, last int"
+ANCHORS = "h long, c long, k long, t long, first int, last int"
 
 
 def _anchor_rows(documents: DataFrame, span: int, gram: int) -> DataFrame:
+    def pieces(texts):
+        """(row, place, bytes) of pieces of at most SLICE windows, in lists of about SLICE bytes."""
+        held, size = [], 0
+        for row, text in enumerate(texts):
+            data = text.as_py().encode()
+            for place in range(0, max(1, len(data) - span + 1), SLICE):
+                held.append((row, place, data[place : place + SLICE + span - 1]))
+                size += len(held[-1][2])
+                if size >= SLICE:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
     def run(batches):
+        worker_of("hashes")
         for batch in batches:
             k, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2)
-            at = 0
-            while at < batch.num_rows:
-                parts, size, upto = [], 0, at
-                while upto < batch.num_rows and (size < SLICE or not parts):
-                    parts.append(texts[upto].as_py().encode())
-                    size += len(parts[-1])
-                    upto += 1
-                found = anchors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), span, gram)
-                own = found[1] + at
-                columns = [pa.array(found[0].view(np.int64)), pa.array(k[own]), pa.array(t[own]), *(pa.array(x.astype(np.int32)) for x in found[2:])]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ANCHORS.split(", ")])
-                at = upto
+            for some in pieces(batch.column(2)):
+                row, place = np.array([p[0] for p in some]), np.array([p[1] for p in some])
+                h, c, own, first, last = anchors(np.frombuffer(b"".join(p[2] for p in some), np.uint8), np.cumsum([len(p[2]) for p in some]), span, gram)
+                columns = [h.view(np.int64), c.view(np.int64), k[row[own]], t[row[own]], (first + place[own]).astype(np.int32), (last + place[own]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_names(ANCHORS))
 
     return _keyed(documents).select("k", "t", "text").mapInArrow(run, ANCHORS)
 
@@ -112,14 +130,14 @@ def _packed(documents: DataFrame) -> DataFrame:
             z = pa.array([pack(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=["k", "t", "doc_id", "z"])
 
-    return _keyed(documents).mapInArrow(run, "k long, t int, doc_id long, z binary")
+    return _keyed(documents).mapInArrow(run, "k long, t long, doc_id long, z binary")
 
 
-CONTEXTS = "h long, k long, t int, first int, last int, place int, bytes binary"
+CONTEXTS = "h long, m long, k long, t long, first int, last int, bytes binary"
 
 
 def _contexts(joined: DataFrame, span: int) -> DataFrame:
-    """The bytes that an anchor's windows cover, for rows of k, t, z, at (a list of h, place, first, last)."""
+    """The bytes that an anchor's windows cover, for rows of k, t, z, at (a list of h, m, first, last)."""
 
     def run(batches):
         import zstandard
@@ -128,123 +146,198 @@ def _contexts(joined: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             k, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
-            fields = {f: lists.flatten().field(f).to_numpy() for f in ("h", "place", "first", "last")}
+            fields = {f: lists.flatten().field(f).to_numpy() for f in ("h", "m", "first", "last")}
             cut = np.asarray(lists.offsets.to_numpy()) - lists.offsets[0].as_py()
             for i, z in enumerate(batch.column(2)):
                 data = unpack(z.as_py())
                 a, b = cut[i], cut[i + 1]
                 first, last = fields["first"][a:b], fields["last"][a:b]
                 parts = [data[x : y + span] for x, y in zip(first, last)]
-                columns = [fields["h"][a:b], np.full(b - a, k[i]), np.full(b - a, t[i]), first, last, fields["place"][a:b]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=[x.split()[0] for x in CONTEXTS.split(", ")])
+                columns = [fields["h"][a:b], fields["m"][a:b], np.full(b - a, k[i]), np.full(b - a, t[i]), first, last]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=_names(CONTEXTS))
 
     return joined.select("k", "t", "z", "at").mapInArrow(run, CONTEXTS)
 
 
-def classes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of 64-bit words: each row's class of equal rows, and the classes' sizes. Sorted by a hash, told apart by the words."""
-    n, k = words.shape
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = (h ^ words[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    order = np.argsort(h, kind="stable")
-    ordered = words[order]
-    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])
-    if (new[1:] & (h[order][1:] == h[order][:-1])).any():  # unequal rows with one hash may lie mixed
-        _, ids, counts = np.unique(words, axis=0, return_inverse=True, return_counts=True)
-        return ids.ravel(), counts
-    ids = np.empty(n, np.int64)
-    ids[order] = np.cumsum(new) - 1
-    return ids, np.bincount(ids)
-
-
-def repeated_windows(bucket: np.ndarray, start: np.ndarray, count: np.ndarray, parts: list[bytes], span: int, cover: int, width: int) -> np.ndarray:
-    """Marks (row, column) where the window from that column on occurs in another row of the bucket.
-
-    A row holds parts[i] from column start[i] on and has count[i] windows from
-    there; anchors stand in one column, so that equal windows do as well.
+CUT = "h long, c long, k long, t long, first int, last int, bytes binary"
+
+
+def _cut_anew(contexts: DataFrame, span: int, gram: int) -> DataFrame:
+    """Contexts cut at anchors of another length; the bytes go with them."""
+
+    def run(batches):
+        worker_of("hashes")
+        for batch in batches:
+            k, t, begin = (batch.column(i).to_numpy() for i in range(3))
+            parts = batch.column(3).to_pylist()
+            h, c, own, first, last = anchors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), span, gram)
+            cut = pa.array([parts[o][a : b + span] for o, a, b in zip(own, first, last)], pa.binary())
+            columns = [h.view(np.int64), c.view(np.int64), k[own], t[own], (first + begin[own]).astype(np.int32), (last + begin[own]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), cut], names=_names(CUT))
+
+    return contexts.select("k", "t", "first", "bytes").mapInArrow(run, CUT)
+
+
+def difference_cover(root: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which residues modulo root * root are in the cover, and for each two residues the smallest distance at which both reach it."""
+    v = root * root
+    inside = np.zeros(v, bool)
+    inside[:root] = inside[::root] = True
+    after = np.array([np.roll(inside, -d) for d in range(v)])  # by distance and residue
+    return inside, (after[:, :, None] & after[:, None, :]).argmax(axis=0)
+
+
+def _ranked(keys: list[np.ndarray]) -> np.ndarray:
+    """Ranks from 1 by the keys, the first the weightiest; equal rows have equal ranks."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        ordered = key[order]
+        new[1:] |= ordered[1:] != ordered[:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) + 1
+    return rank
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, span: int, root: int = ROOT) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of data that begin at the places at, in order, and whether each agrees with the one before over span bytes; span is a multiple of 8."""
+    v, n = root * root, len(data)
+    inside, distance = difference_cover(root)
+    padded = np.concatenate([data, np.zeros(span + v + 8, np.uint8)]).astype(np.uint64)
+    word = padded[: n + span + v].copy()
+    for i in range(1, 8):
+        word = (word << np.uint64(8)) | padded[i : i + n + span + v]
+    leading = range(0, v, 8)
+    # ranks of the cover's samples: by v bytes, then by twice as many until no two are equal
+    sample = np.flatnonzero(inside[np.arange(n) % v])
+    rank = np.zeros(n + span + v, np.int64)
+    rank[sample] = _ranked([word[sample + i] for i in leading])
+    depth = v
+    while depth < n and rank.max() < len(sample):
+        beyond = np.where(sample + depth < n, rank[np.minimum(sample + depth, n)], 0)
+        rank[sample] = _ranked([rank[sample] * np.int64(n + 2) + beyond])
+        depth *= 2
+    # all suffixes by v bytes
+    order = np.lexsort([word[at + i] for i in reversed(leading)])
+    at = at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = False
+    for i in leading:
+        own = word[at + i]
+        new[1:] |= own[1:] != own[:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(at)))
+    # ties by merging runs, in which each suffix finds its place among the other run's by bisection
+    begin, size = np.repeat(begin, size), np.repeat(size, size)
+    run = 1
+    residue = at % v
+    while len(active := np.flatnonzero(size > run)):
+        start, full, x, rx = begin[active], size[active], at[active], residue[active]
+        local = active - start
+        own = local // run
+        other = (own ^ 1) * run
+        low, high = other.copy(), np.minimum(other + run, full)
+        right = (own & 1).astype(bool)
+        for _ in range(run.bit_length()):
+            middle = np.minimum((low + high) >> 1, full - 1)
+            y = at[start + middle]
+            d = distance[rx, y % v]
+            a, b = rank[y + d], rank[x + d]
+            before = (low < high) & ((a < b) | (right & (a == b)))
+            high = np.where((low < high) & ~before, middle, high)
+            low = np.where(before, middle + 1, low)
+        place = start + (own >> 1) * (2 * run) + (local - own * run) + np.where(other < full, low - other, 0)
+        at[place], residue[place] = x, rx
+        run *= 2
+    alike = np.flatnonzero(~new)
+    for i in range(v, span, 8):
+        alike = alike[word[at[alike] + i] == word[at[alike - 1] + i]]
+    same = np.zeros(len(at), bool)
+    same[alike] = True
+    return at, same
+
+
+def repeated_windows(parts: list[bytes], count: np.ndarray, span: int, root: int = ROOT) -> np.ndarray:
+    """Marks the windows, count[i] from the begin of parts[i] on, of which there is an equal one; all in one array.
+
+    A number follows each part, so that suffixes differ soon after its end.
     """
-    n = len(parts)
-    grid = np.zeros((n, width + span + cover), np.uint8)
-    lengths = count + span - 1
-    flat = np.frombuffer(b"".join(parts), np.uint8)
-    rows = np.repeat(np.arange(n), lengths)
-    grid[rows, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(start, lengths)] = flat
-    out = np.zeros((n, width), bool)
-    stop = start + count
-    for low in range(0, width, cover):
-        sample = low + cover - 1  # of the windows from low to here on
-        here = np.flatnonzero((start <= sample) & (stop > low))
-        if len(here) < 2:
-            continue
-        body = np.ascontiguousarray(grid[here, sample : sample + span - cover]).view(np.uint64)
-        rank, sizes = classes(np.concatenate([bucket[here, None].view(np.uint64), body], axis=1))
-        tied = sizes[rank] > 1
-        here, rank = here[tied], rank[tied]
-        for j in range(low, min(low + cover, width)):
-            valid = (start[here] <= j) & (stop[here] > j)
-            own = here[valid]
-            if len(own) < 2:
-                continue
-            around = np.concatenate([np.arange(j, sample), np.arange(sample + span - cover, j + span)])
-            key = np.zeros((len(own), cover // 8 + 1), np.uint64)
-            key[:, 0] = rank[valid].astype(np.uint64)
-            key[:, 1:] = np.ascontiguousarray(grid[own[:, None], around]).view(np.uint64)
-            ids, sizes_j = classes(key)
-            out[own, j] = sizes_j[ids] > 1
-    return out
+    lengths = count + span - 1 + 8
+    offset = np.cumsum(lengths) - lengths
+    upto = np.cumsum(count)
+    at = np.repeat(offset - (upto - count), count) + np.arange(upto[-1])
+    data = np.frombuffer(b"".join([p + i.to_bytes(8, "big") for i, p in enumerate(parts)]), np.uint8)
+    ordered, same = suffix_order(data, at, span, root)
+    marks = np.zeros(len(data), bool)
+    marks[ordered[same]] = True
+    marks[ordered[np.flatnonzero(same) - 1]] = True
+    return marks[at]
+
 
+SPANS = "k long, t long, start int, stop int"
 
-SPANS = "k long, t int, start int, stop int"
 
+def _sort_blocks(span: int, root: int, block: int):
+    """Over rows of CONTEXTS, sorted by h: the repeated spans of each bucket."""
 
-def _sort_blocks(span: int, gram: int, cover: int):
     def run(batches):
-        width = span - gram + 1
         for table in _blocks_of_rows(batches, 0):
-            h, k, t, first, last, place = (table.column(i).to_numpy() for i in range(6))
+            h, k, t, first, last = (table.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
             parts = table.column(6).to_pylist()
-            begin = (width - 1) - (place - first)
-            marks = repeated_windows(h, begin.astype(np.int64), (last - first + 1).astype(np.int64), parts, span, cover, width)
-            edge = np.diff(np.pad(marks, ((0, 0), (1, 1))).view(np.int8), axis=1)
-            row, a = np.nonzero(edge == 1)
-            _, b = np.nonzero(edge == -1)
-            move = first[row] - begin[row]
-            yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(t[row]), pa.array((a + move).astype(np.int32)), pa.array((b - 1 + move + span).astype(np.int32))], names=[x.split()[0] for x in SPANS.split(", ")])
+            size = np.cumsum([len(p) for p in parts])
+            bucket = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+            a = 0
+            while a < len(h):
+                fit = int(np.searchsorted(size, (size[a - 1] if a else 0) + block, "right"))
+                ends = bucket[(bucket > a) & (bucket <= max(fit, a + 1))]
+                b = int(ends[-1] if len(ends) else bucket[bucket > a][0])
+                count = (last[a:b] - first[a:b] + 1).astype(np.int64)
+                marks = repeated_windows(parts[a:b], count, span, root)
+                upto = np.cumsum(count)
+                edge = np.diff(np.concatenate([[0], marks.view(np.int8), [0]]))
+                # runs of marks end where a context does
+                cut = np.zeros(len(marks) + 1, bool)
+                cut[upto] = True
+                inner = np.flatnonzero(cut[:-1] & np.concatenate([[False], marks[:-1]]) & marks)
+                x = np.sort(np.concatenate([np.flatnonzero(edge == 1), inner]))
+                y = np.sort(np.concatenate([np.flatnonzero(edge == -1), inner]))
+                row = np.searchsorted(upto, x, "right")
+                move = first[a:b][row] - (upto[row] - count[row])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k[a:b][row]), pa.array(t[a:b][row]), pa.array((x + move).astype(np.int32)), pa.array((y - 1 + move + span).astype(np.int32))], names=_names(SPANS)
+                )
+                a = b
 
     return run
 
 
-def _hot_spans(contexts: DataFrame, span: int) -> DataFrame:
-    """Repeated windows of large buckets, a row for each window on the way."""
-
-    def digests(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for _, k, t, first, last, _, data in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(hashlib.blake2b(data[i : i + span], digest_size=16).digest(), k, t, first + i) for i in range(last - first + 1)]
-            types = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, p) for c, p in zip(list(zip(*out)) or [()] * 4, types)], names=["d", "k", "t", "start"])
-
-    windows = written(contexts.mapInArrow(digests, "d binary, k long, t int, start int"), "windows")
-    twice = windows.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
-    return windows.join(twice, "d").select("k", "t", "start", (F.col("start") + span).alias("stop"))
-
-
-def repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int = COVER, hot: int = HOT) -> DataFrame:
+def repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM, root: int = ROOT, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
     """k, t, start, stop: byte ranges, overlapping ones too, that strings of span bytes with another occurrence cover."""
-    found = written(_anchor_rows(documents, span, gram), "anchors")
-    # as a table, so that Spark can split the join at frequent anchors
-    counted = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counted")
-    shared = found.join(counted, "h").withColumn("hot", F.col("n") > hot)
-    lists = shared.groupBy("k", "t").agg(F.collect_list(F.struct("h", "place", "first", "last", "hot")).alias("at"))
-    joined = written(_packed(documents).join(lists, ["k", "t"]).select("k", "t", "z", "at"), "cut")
-    some = lambda keep: _contexts(joined.withColumn("at", F.filter("at", keep)).where("size(at) > 0"), span)
-    cold = some(lambda x: ~x["hot"]).repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks(span, gram, cover), SPANS)
-    if joined.where(F.exists("at", lambda x: x["hot"])).isEmpty():
-        return cold
-    return cold.unionByName(_hot_spans(some(lambda x: x["hot"]), span))
+    rows = written(_anchor_rows(documents, span, gram), "anchors")
+    parts = []
+    while True:
+        # one of each context, and how many there are; of each anchor, how many contexts
+        one = F.min(F.struct(*(c for c in rows.columns if c not in "hc"))).alias("one")
+        kinds = written(rows.groupBy("h", "c").agg(F.count("*").alias("n"), one), "kinds")
+        buckets = written(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+        again = join_counted(rows.select("h", "c", "k", "t", "first", "last"), kinds.where("n > 1").select("h", "c", "n"), ["h", "c"], "n")
+        parts.append(again.select("k", "t", F.col("first").alias("start"), (F.col("last") + span).alias("stop")))
+        shared = join_counted(kinds.select("h", "one.*"), buckets, ["h"], "m")
+        if "bytes" not in shared.columns:
+            lists = shared.groupBy("k", "t").agg(F.collect_list(F.struct("h", "m", "first", "last")).alias("at"))
+            shared = _contexts(_packed(documents).join(lists, ["k", "t"]), span)
+        shared = written(shared, "contexts")
+        few = shared.where(F.col("m") <= together).select(*_names(CONTEXTS))
+        parts.append(few.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks(span, root, block), SPANS))
+        large = shared.where(F.col("m") > together)
+        if gram == span or large.isEmpty():
+            break
+        gram += (span - gram + 1) // 2
+        rows = written(_cut_anew(large, span, gram), "anchors")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -257,7 +350,7 @@ def without_repeats(documents: DataFrame, keep_text: bool = True, **settings) ->
     elsewhere, in the same text or in another; all of its copies go. What is
     kept may begin or end within a character. Null texts are empty; texts
     shorter than span stay as they are; a row that repeats another loses all
-    that spans cover; null doc_ids stay null, other columns are ignored, and an
+    that spans cover; texts may be longer than any piece that is looked at; null doc_ids stay null, other columns are ignored, and an
     empty table gives an empty one.
     """
     spans = repeated_spans(documents, **settings).groupBy("k", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

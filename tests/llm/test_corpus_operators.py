@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -159,15 +160,36 @@ def test_suffix_dedup(spark, data, texts):
     assert got == brute_repeats(texts, 200) and sum(r[2] > 0 for r in got) > 3
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_suffix_dedup_on_passages(spark, hot):
+def test_suffix_order():
+    """The order over all suffixes, with ties of any length, against Python's."""
+    dice = random.Random(7)
+    for n, letters in ((300, b"ab"), (900, b"a"), (2_000, b"abcd"), (500, bytes(range(256)))):
+        data = bytes(dice.choices(letters, k=n))
+        data += data[: n // 2] + data[n // 4 :]
+        at = np.arange(len(data) - 40 + 1)
+        ordered, same = suffix.suffix_order(np.frombuffer(data, np.uint8), at, 40)
+        strings = [data[i : i + 40] for i in ordered]
+        assert sorted(ordered) == list(at) and strings == sorted(strings)
+        assert list(same) == [False] + [a == b for a, b in zip(strings, strings[1:])]
+
+
+def test_difference_cover():
+    for root in (2, 4, 8):
+        inside, distance = suffix.difference_cover(root)
+        v = root * root
+        assert all(inside[(a + distance[a, b]) % v] and inside[(b + distance[a, b]) % v] and distance[a, b] < v for a in range(v) for b in range(v))
+
+
+@pytest.mark.parametrize("together,slice", [(4_000, 1 << 20), (3, 300), (1, 1 << 20)])
+def test_suffix_dedup_on_passages(spark, monkeypatch, together, slice):
+    monkeypatch.setattr(suffix, "SLICE", slice)
     dice = random.Random(9)
     noise = lambda n: "".join(dice.choices("abcdeé ", k=n))
     passages = [noise(n) for n in (199, 200, 201, 230, 500, 900)]
     made = [(i, noise(dice.randrange(50)) + "".join(dice.choice(passages) + noise(dice.randrange(3) * 40) for _ in range(dice.randrange(4)))) for i in range(80)]
     made += [(200, "a" * 700), (201, "ab" * 300), (202, "a" * 199), (203, passages[2]), (203, passages[2]), (None, passages[3]), (None, None), (204, "")]
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
-    assert rows(without_repeats(df, hot=hot), *REPEATS) == brute_repeats(made, 200)
+    assert rows(without_repeats(df, together=together, block=5_000), *REPEATS) == brute_repeats(made, 200)
 
 
 def test_stages(spark, data):
