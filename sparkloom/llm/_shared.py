@@ -51,8 +51,8 @@ def discard(*tables: DataFrame) -> None:
 HEAVY, LIGHT = 50_000, 1_000
 
 
-def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """rows joined with side, which has one row a key and in column n how many of rows have it.
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined with side (how: inner or left), which has one row a key and in column n how many of rows have it.
 
     A key of more than total / HEAVY rows is one of at most HEAVY keys, so that
     these travel as a broadcast of bounded size and their rows stay where they
@@ -61,10 +61,10 @@ def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> D
     total, most = side.agg(F.sum(n), F.max(n)).first()
     limit = max((total or 0) // HEAVY, LIGHT)
     if (most or 0) <= limit:
-        return rows.join(side, keys)
+        return rows.join(side, keys, how)
     heavy = side.where(F.col(n) > limit)
     spread = rows.join(F.broadcast(heavy), keys)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.where(F.col(n) <= limit), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.where(F.col(n) <= limit), keys, how)
     return spread.unionByName(rest)
 
 

@@ -1,13 +1,15 @@
 """WARC archives that are read through an index.
 
-Writing: each task streams gzip members, one record a member, into an archive
-of its own in a shared folder and returns an index row for each record (file,
-offset, length, url, digest, ...). Spark commits the index, so that archives of
-failed attempts are in no index and are never read.
+Writing: each task streams gzip members, one record a member, into archives of
+its own in a shared folder and returns an index row for each record (file,
+offset, length, url, digest, ...). An archive starts with a warcinfo record and
+ends at a size. Spark commits the index, so that archives of failed attempts are
+in no index and are never read.
 
 Reading: index rows are selected first; those of a file are sorted by offset,
 neighbours are coalesced into byte ranges of bounded length, and each range is
 one read, from which the records are parsed and checked against their digest.
+Ranges are dealt over as many tasks as their bytes need.
 
 Which record of equal payloads holds them is found by digests alone; payloads
 move once, to the tasks that write.
@@ -23,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import join_counted, written
+
 #: Payloads of fewer bytes are always stored.
 LEAST = 100
 #: Byte ranges are cut at multiples of this, by where a record starts.
 RANGE = 4 << 20
+#: An archive is closed once it has so many bytes, and a task reads about so many.
+ARCHIVE, TASK = 1 << 30, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 4
 
@@ -34,7 +40,7 @@ INDEX = "file string, offset long, length long, url string, digest string, page_
 
 
 def with_record_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload (never null), digest, record_type, refers_to.
+    """page_id, url, payload (never null), digest, record_type, refers_to and its url.
 
     Of equal payloads of at least 100 bytes the one with the smallest page_id
     is the response. Repeated rows of that page are responses too; rows with a
@@ -43,33 +49,44 @@ def with_record_types(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # one number for the first page, and how many, a digest; most have one, which needs no join
-    first = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.where("n > 1 and first_id is not null").drop("n")
-    out = rows.join(first, "digest", "left")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n"))
+    first = written(first.where("n > 1 and first is not null"), "first")
+    out = join_counted(rows, first, ["digest"], "n", "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return out.select(
-        "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to")
-    )
+        "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_to_url"),
+    )
 
 
 def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_bytes(page_id, url: str, payload: bytes, digest: str, record_type: str, refers_to) -> bytes:
-    """One record, not yet compressed. A revisit has no block, only the digest and length of the payload it refers to."""
+def info_bytes(name: str) -> bytes:
+    """The record that an archive starts with."""
+    block = b"software: sparkloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(name, 0)}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def record_id(name: str, offset: int) -> str:
+    """One for each record there is: archives have names of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{offset}')}>"
+
+
+def record_bytes(record: str, page_id, url: str, payload: bytes, digest: str, record_type: str, refers_to, refers_to_url) -> bytes:
+    """One record, not yet compressed. A revisit has no block, only the digest and length of the payload it refers to.
+
+    The page's id, which need not be unique, stands in a field of its own, and
+    so does that of the page that a revisit refers to.
+    """
     block = payload if record_type == "response" else b""
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {record_type}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_clean(url)}",
-        f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Payload-Length: {len(payload)}",
-    ]
+    head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {record}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url)}"]
+    head += [f"WARC-Payload-Digest: sha256:{digest}", f"Payload-Length: {len(payload)}", f"Page-ID: {'' if page_id is None else page_id}"]
     if record_type == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {_clean(refers_to_url)}", f"Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -101,20 +118,29 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        name, sink, offset = f"{uuid.uuid4().hex}.warc.gz", None, 0
+        sink = None
+
+        def member(record: bytes) -> bytes:
+            gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            return gz.compress(record) + gz.flush()
+
         try:
             for batch in batches:
                 rows: list[tuple] = []
                 for r in zip(*(c.to_pylist() for c in batch.columns)):
-                    page_id, url, payload, digest, kind, refers_to = r
+                    page_id, url, payload, digest, kind, *refers = r
+                    if sink is not None and offset >= ARCHIVE:
+                        sink.close()
+                        sink = None
                     if sink is None:
+                        name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
                         store.create_dir(f"{base}/archives", recursive=True)
                         sink = store.open_output_stream(f"{base}/archives/{name}", compression=None)
-                    gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    member = gz.compress(record_bytes(page_id, url, payload.encode(), digest, kind, refers_to)) + gz.flush()
-                    sink.write(member)
-                    rows.append((f"archives/{name}", offset, len(member), url, digest, page_id, kind))
-                    offset += len(member)
+                        offset += sink.write(member(info_bytes(name)))
+                    data = member(record_bytes(record_id(name, offset), page_id, url, payload.encode(), digest, kind, *refers))
+                    sink.write(data)
+                    rows.append((f"archives/{name}", offset, len(data), url, digest, page_id, kind))
+                    offset += len(data)
                 columns = list(zip(*rows)) or [()] * 7
                 types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in INDEX.split(", ")])
@@ -137,6 +163,8 @@ def read_archives(selected: DataFrame, folder: str, payloads: bool = False) -> D
         .agg(F.array_sort(F.collect_list("at")).alias("at"))
         .select("file", F.transform("at", lambda x: x["offset"]).alias("offsets"), F.transform("at", lambda x: x["length"]).alias("lengths"))
     )
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    ranges = ranges.repartition(max(1, -(-size // TASK)))
     schema = READ + (", payload binary" if payloads else "")
 
     def read(batches):
@@ -151,10 +179,10 @@ def read_archives(selected: DataFrame, folder: str, payloads: bool = False) -> D
                     data = memoryview(source.read_at(offsets[-1] + lengths[-1] - start, start))
                 for offset, length in zip(offsets, lengths):
                     x = parse_record(zlib.decompress(data[offset - start : offset - start + length], 31))
-                    number = lambda key: int(v) if (v := x.get(key, "").removeprefix("<urn:page:").removesuffix(">")) else None  # noqa: B023, E731
-                    size = len(x["block"]) if x["WARC-Type"] == "response" else int(x["WARC-Payload-Length"])
+                    number = lambda key: int(v) if (v := x.get(key)) else None  # noqa: B023, E731
+                    size = len(x["block"]) if x["WARC-Type"] == "response" else int(x["Payload-Length"])
                     digest = x["WARC-Payload-Digest"].removeprefix("sha256:")
-                    row = (number("WARC-Record-ID"), x["WARC-Target-URI"], x["WARC-Type"], size, digest, number("WARC-Refers-To"))
+                    row = (number("Page-ID"), x["WARC-Target-URI"], x["WARC-Type"], size, digest, number("Refers-To-Page-ID"))
                     rows.append(row + ((x["block"] if x["WARC-Type"] == "response" else None,) if payloads else ()))
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * payloads
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in schema.split(", ")])

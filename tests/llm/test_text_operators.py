@@ -249,9 +249,18 @@ def test_warc(spark, data, tmp_path):
     assert rows(op9_warc(spark, str(folder)), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == ordered(want)
 
 
-def test_warc_reads_what_is_selected(spark, tmp_path):
+def test_warc_reads_what_is_selected(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE", 2_000)  # several archives a task
+    monkeypatch.setattr(warc, "TASK", 1_000)
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 40) for i in range(200)], "page_id long, url string, html string")
     index = warc.archive(pages, str(tmp_path))
     some = index.where("page_id % 7 = 3")
     got = rows(warc.read_archives(some, str(tmp_path), payloads=True), "page_id", "url", "payload")
     assert [(a, b, bytes(c)) for a, b, c in got] == [(i, f"u{i}", (f"<p>{i}</p>" * 40).encode()) for i in range(200) if i % 7 == 3]
+    import gzip
+
+    files = list((tmp_path / "archives").glob("*.warc.gz"))
+    texts = [gzip.decompress(f.read_bytes()).decode() for f in files]  # each archive is a whole gzip file
+    ids = re.findall(r"WARC-Record-ID: (\S+)", "".join(texts))
+    assert len(files) > 8 and all(t.startswith("WARC/1.1\r\nWARC-Type: warcinfo") for t in texts)
+    assert len(ids) == len(set(ids)) == 200 + len(files)
