@@ -62,12 +62,39 @@ def test_decontaminate_shuffled_side_and_short_items(spark, monkeypatch):
 
     benchmark = spark.createDataFrame([(1, "Alpha beta"), (1, "gamma"), (None, "delta delta delta"), (2, None), (3, "?!"), (4, " ".join(f"w{i}" for i in range(14)))], "item_id long, text string")
     documents = spark.createDataFrame([(1, "x ALPHA, beta. alpha delta delta delta delta"), (2, "y " + " ".join(f"W{i}" for i in range(3, 14)) + " z"), (3, "gamma"), (4, None)], "doc_id long, text string")
-    for small in (100_000, 0):
+    for small, bits in ((100_000, 1 << 22), (0, 64)):  # broadcast; a shuffle, and a map that lets nearly all pass
         monkeypatch.setattr(decontam, "SMALL", small)
+        monkeypatch.setattr(decontam, "BITS_LEAST", min(bits, 1 << 14))
+        monkeypatch.setattr(decontam, "BITS_MOST", bits)
         got = rows(decontam.contamination(documents, benchmark, "doc_id"), "doc_id", "n_words", "n_hit", "n_items", "items")
         assert got == [(1, 8, 6, 2, ["", "1"]), (2, 13, 11, 1, ["4"]), (3, 1, 1, 1, ["1"]), (4, 0, 0, 0, [])]
 
 
+def test_decontaminate_repetitive_texts(spark):
+    """Few words, so that windows have many equal grams and fingerprints many places."""
+    from sparkloom.llm import decontam
+
+    dice = random.Random(8)
+    made = [(i, " ".join(dice.choices("ab", [5, 1], k=dice.randrange(1, 60)))) for i in range(60)]
+    items = [(i, " ".join(dice.choices("ab", [5, 1], k=dice.randrange(1, 25)))) for i in range(8)]
+    windows: dict = {}
+    for i, text in items:
+        w = text.split()
+        for at in range(len(w) - min(10, len(w)) + 1):
+            windows.setdefault(tuple(w[at : at + 10]), set()).add(str(i))
+    want = []
+    for doc, text in made:
+        w, hit, found = text.split(), set(), set()
+        for m in {len(x) for x in windows}:
+            for i in range(len(w) - m + 1):
+                if own := windows.get(tuple(w[i : i + m])):
+                    hit |= set(range(i, i + m))
+                    found |= own
+        want.append((doc, len(w), len(hit), sorted(found)))
+    frames = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(decontam.contamination(*frames, "doc_id"), "doc_id", "n_words", "n_hit", "items") == want
+
+
 def test_chat(spark, data):
     table = pq.read_table(f"{data}/conversations.parquet").to_pydict()
     by: dict = {-7: [(0, "user", "\\### Assistant: </turn> ok"), (1, "assistant", "\\### Assistant: </turn> ok")]}
