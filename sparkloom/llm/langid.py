@@ -1,13 +1,15 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Texts are lower-cased, each run of other characters than letters becomes one
-boundary, and n-grams of up to ORDER symbols are counted by language in Spark.
-The driver turns the counts (their number is bounded) into log probabilities:
-for each order a sorted array of n-gram hashes with a row of log probabilities,
-a column for each language, and a sorted array of context hashes with the log
-weights for backing off. A text's cross-entropy is the mean over its symbols;
-the language with the lowest wins. A prediction is accepted if that entropy is
-no higher than what the training texts of the language show.
+boundary, and n-grams of up to ORDER symbols are counted by language in Spark,
+which also makes of them continuation counts, discounted shares and the weights
+for backing off. The driver gets a bounded number of rows for each language and
+order and lays them into sorted hash arrays: n-gram hashes with a row of log
+probabilities, a column for each language, and context hashes with log weights.
+GROUP languages share such arrays, so that the model grows in proportion to the
+languages. A text's cross-entropy is the mean over its symbols; the language with
+the lowest wins. A prediction is accepted if that entropy is no higher than what
+texts of the language show that were kept out of the counts.
 """
 
 from __future__ import annotations
@@ -16,14 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 ORDER, DISCOUNT, SYMBOLS = 4, 0.75, 4096
-#: Training documents of a language at most, n-grams kept of an order at most (the most frequent), and languages at most.
-DOCUMENTS, GRAMS, LANGUAGES = 1_000, 300_000, 64
-#: Nats above the training texts' entropies (all but one in 200) that are still accepted.
-MARGIN = 0.35
+#: Training documents of a language (its labelled sample), and n-grams, and contexts, of a language and order that are kept at most, the most frequent.
+DOCUMENTS, SHARE = 1_000, 75_000
+#: Languages that share arrays.
+GROUP = 8
+#: One in so many documents of the sample is kept out of the counts, and the nats above its entropies (all but one in 200) that are still accepted.
+KEPT_OUT, MARGIN = 5, 0.25
 K = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 1 << 20
 
@@ -118,31 +124,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
+class Arrays:
+    """The model of up to GROUP languages."""
+
     languages: list[str]
     grams: list[HashArray]
     log_probs: list[np.ndarray]
-    contexts: list[HashArray | None]
-    log_weights: list[np.ndarray | None]
-    limits: list[float]
+    contexts: list[HashArray]
+    log_weights: list[np.ndarray]
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean negative log probability by text and language, and the number of symbols; no symbols: zeros."""
-        n_langs = len(self.languages)
-        out, sizes = np.zeros((len(texts), n_langs)), np.zeros(len(texts), np.int64)
-        for a, b in in_slices(texts):
-            s, at = symbols(texts[a:b])
-            scored = _scored(at, len(s))
-            hashes = gram_hashes(s)
-            total = np.concatenate([[0], np.cumsum(scored)])
-            count = np.diff(total[at])
-            logs = self._logs(hashes, np.flatnonzero(scored))
-            sums = np.concatenate([np.zeros((1, n_langs)), np.cumsum(logs, axis=0, dtype=np.float64)])[total[at]]
-            sizes[a:b] = count
-            out[a:b] = -np.diff(sums, axis=0) / np.maximum(count, 1)[:, None]
-        return out, sizes
-
-    def _logs(self, hashes: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    def logs(self, hashes: list[np.ndarray], places: np.ndarray) -> np.ndarray:
         out = np.zeros((len(places), len(self.languages)), np.float32)
         left = np.arange(len(places))
         for n in range(ORDER, 0, -1):
@@ -153,7 +144,7 @@ class Model:
             if not len(left):
                 break
             if n == 1:
-                out[left] += np.float32(-np.log(SYMBOLS))
+                out[left] += self.log_weights[0][0] - np.float32(np.log(SYMBOLS))
             else:
                 seen = self.contexts[n - 1].find(hashes[n - 2][places[left] - 1])
                 known = seen >= 0
@@ -161,6 +152,34 @@ class Model:
         return out
 
 
+@dataclass
+class Model:
+    languages: list[str]
+    arrays: list[Arrays]
+    limits: list[float]
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean negative log probability by text and language, and the number of symbols; no symbols: zeros."""
+        n_langs = len(self.languages)
+        out, sizes = np.zeros((len(texts), n_langs)), np.zeros(len(texts), np.int64)
+        for a, b in in_slices(texts):
+            s, at = symbols(texts[a:b])
+            scored = _scored(at, len(s))
+            hashes = gram_hashes(s)
+            total = np.concatenate([[0], np.cumsum(scored)])
+            count = np.diff(total[at])
+            places = np.flatnonzero(scored)
+            first = 0
+            for part in self.arrays:
+                logs = part.logs(hashes, places)
+                own = slice(first, first + len(part.languages))
+                sums = np.concatenate([np.zeros((1, len(part.languages))), np.cumsum(logs, axis=0, dtype=np.float64)])[total[at]]
+                out[a:b, own] = -np.diff(sums, axis=0) / np.maximum(count, 1)[:, None]
+                first = own.stop
+            sizes[a:b] = count
+        return out, sizes
+
+
 COUNTS = "lang string, n int, gram long, context long, suffix long, count long"
 
 
@@ -190,76 +209,92 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(count, COUNTS).groupBy("lang", "n", "gram").agg(F.max("context").alias("context"), F.max("suffix").alias("suffix"), F.sum("count").alias("count"))
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sums of values, and the key's place of each row."""
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, values, len(u)), inverse
+def _most_frequent(rows: DataFrame, by: str) -> DataFrame:
+    """Of each language and order at most SHARE rows, those with the largest numbers in column by; equal steps go together."""
+    steps = rows.withColumn("step", F.floor(F.log2(F.greatest(F.col(by), F.lit(1))) * 16))
+    least: dict[tuple, int] = {}
+    room: dict[tuple, int] = {}
+    for r in sorted(steps.groupBy("lang", "n", "step").count().collect(), key=lambda r: -r["step"]):  # a few hundred rows a language
+        key = r["lang"], r["n"]
+        room[key] = room.get(key, SHARE) - r["count"]
+        if room[key] >= 0:
+            least[key] = r["step"]
+    known = rows.sparkSession.createDataFrame([(*k, s) for k, s in least.items()], "lang string, n int, least long")
+    return steps.join(F.broadcast(known), ["lang", "n"]).where("step >= least").drop("step", "least")
+
 
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From COUNTS: the discounted share of each n-gram among those of its context, and the weight of each context's lower order.
 
-def build(counts, languages: list[str]) -> Model:
-    """Kneser-Ney from the counts (a pandas frame of COUNTS)."""
+    Below the highest order it counts how many symbols an n-gram follows.
+    """
+    kinds = counts.where("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("suffix").alias("gram")).agg(F.count("*").alias("kinds"))
+    adjusted = F.when(F.col("n") == ORDER, F.col("count")).otherwise(F.coalesce("kinds", F.lit(0)))
+    rows = counts.join(kinds, ["lang", "n", "gram"], "left").select("lang", "n", "gram", "context", "suffix", adjusted.alias("count"))
+    contexts = rows.groupBy("lang", "n", "context").agg(F.sum("count").alias("total"), F.count_if(F.col("count") > 0).alias("kinds"))
+    shares = rows.join(contexts, ["lang", "n", "context"]).withColumn("share", F.when(F.col("total") > 0, F.greatest(F.col("count") - DISCOUNT, F.lit(0)) / F.col("total")).otherwise(0.0))
+    weights = contexts.withColumn("weight", F.when(F.col("total") > 0, F.col("kinds") * DISCOUNT / F.col("total")).otherwise(1.0))
+    return shares.select("lang", "n", "gram", "context", "suffix", "count", "share"), weights.select("lang", "n", "context", "total", "weight")
+
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of wanted in the sorted keys, or len(keys)."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return np.where(keys[at] == wanted, at, len(keys)) if len(keys) else np.zeros(len(wanted), np.int64)
+
+
+def arrays_of(shares, weights, languages: list[str]) -> Arrays:
+    """Log probabilities of these languages' n-grams from pandas frames of kneser_ney()."""
+    out = Arrays(languages, [], [], [], [])
     n_langs = len(languages)
-    tables = {}
-    for n in range(1, ORDER + 1):
-        part = counts[counts["n"] == n]
-        for i, lang in enumerate(languages):
-            own = part[part["lang"] == lang]
-            tables[n, i] = [own[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "context", "suffix")] + [own["count"].to_numpy(float)]
-    for i in range(n_langs):  # below the highest order it counts how many symbols an n-gram follows
-        for n in range(1, ORDER):
-            keys, kinds, _ = _sums(tables[n + 1, i][2], np.ones(len(tables[n + 1, i][2])))
-            at = np.minimum(np.searchsorted(keys, tables[n, i][0]), len(keys) - 1)
-            tables[n, i][3] = np.where(keys[at] == tables[n, i][0], kinds[at], 0.0)
-    model = Model(languages, [], [], [], [], [0.0] * n_langs)
-    lower: tuple[np.ndarray, np.ndarray] | None = None
+    shares, weights = shares[shares["lang"].isin(languages)], weights[weights["lang"].isin(languages)]
+    number = {x: i for i, x in enumerate(languages)}
+    unsigned = lambda frame, column: frame[column].to_numpy(np.int64).view(np.uint64)
+    lower_keys, lower = np.zeros(0, np.uint64), np.full((1, n_langs), 1.0 / SYMBOLS)
     for n in range(1, ORDER + 1):
-        grams = np.unique(np.concatenate([tables[n, i][0] for i in range(n_langs)]))
-        contexts = np.unique(np.concatenate([tables[n, i][1] for i in range(n_langs)]))
-        if len(grams) > GRAMS and n > 1:  # the rarest back off
-            weight = np.zeros(len(grams))
-            for i in range(n_langs):
-                weight[np.searchsorted(grams, tables[n, i][0])] += tables[n, i][3]
-            grams = np.sort(grams[np.argsort(-weight, kind="stable")[:GRAMS]])
-        probs, weights = np.zeros((len(grams), n_langs)), np.ones((len(contexts), n_langs))
-        context_of, suffix_of = np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.uint64)
-        for i in range(n_langs):
-            gram, context, suffix, count = tables[n, i]
-            known, totals, at = _sums(context, count)
-            kinds = np.bincount(at, count > 0, len(known))
-            weights[np.searchsorted(contexts, known), i] = np.where(totals > 0, DISCOUNT * kinds / np.maximum(totals, 1e-9), 1.0)
-            place = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-            mine = grams[place] == gram
-            probs[place[mine], i] = (np.maximum(count - DISCOUNT, 0) / np.maximum(totals[at], 1e-9))[mine]
-            context_of[place[mine]], suffix_of[place[mine]] = context[mine], suffix[mine]
-        back = weights[np.searchsorted(contexts, context_of)]
-        if lower is None:
-            below = np.full((len(grams), n_langs), 1.0 / SYMBOLS)
-        else:
-            at = np.minimum(np.searchsorted(lower[0], suffix_of), len(lower[0]) - 1)
-            below = np.where((lower[0][at] == suffix_of)[:, None], lower[1][at], 1.0 / SYMBOLS)
-        probs += back * below
-        lower = (grams, probs)
-        for keys, values, arrays, logs in ((grams, probs, model.grams, model.log_probs), (contexts, weights, model.contexts, model.log_weights)):
+        own, over = shares[shares["n"] == n], weights[weights["n"] == n]
+        gram, column = unsigned(own, "gram"), own["lang"].map(number).to_numpy(np.int64)
+        grams = np.unique(gram)
+        row = np.searchsorted(grams, gram)
+        contexts = np.unique(unsigned(over, "context"))
+        back = np.ones((len(contexts) + 1, n_langs))  # the last row for contexts that aren't there
+        back[np.searchsorted(contexts, unsigned(over, "context")), over["lang"].map(number).to_numpy(np.int64)] = over["weight"].to_numpy(float)
+        probs, context_of, suffix_of = np.zeros((len(grams), n_langs)), np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.uint64)
+        probs[row, column] = own["share"].to_numpy(float)
+        context_of[row], suffix_of[row] = unsigned(own, "context"), unsigned(own, "suffix")
+        probs += back[_place(contexts, context_of)] * lower[_place(lower_keys, suffix_of)]
+        lower_keys, lower = grams, np.concatenate([probs, np.full((1, n_langs), 1.0 / SYMBOLS)])
+        for keys, values, arrays, logs in ((grams, probs, out.grams, out.log_probs), (contexts, back[:-1], out.contexts, out.log_weights)):
             order = np.argsort(mix(keys))
             arrays.append(HashArray.of(mix(keys)[order]))
             logs.append(np.log(np.maximum(values[order], 1e-30)).astype(np.float32))
-    return model
+    return out
+
+
+def build(labelled: DataFrame, languages: list[str]) -> Model:
+    """A model of the languages from rows of lang and text."""
+    shares, weights = kneser_ney(written(count_grams(labelled), "grams"))
+    shares, weights = _most_frequent(written(shares, "shares"), "count").drop("count").toPandas(), _most_frequent(written(weights, "weights"), "total").drop("total").toPandas()
+    return Model(languages, [arrays_of(shares, weights, languages[i : i + GROUP]) for i in range(0, len(languages), GROUP)], [0.0] * len(languages))
 
 
 def train(documents: DataFrame, learn, per_language: int = DOCUMENTS) -> Model:
-    """From rows that satisfy learn and have a lang: of each of the LANGUAGES most frequent, the per_language ones whose ids have the smallest hashes."""
-    rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not langs:
-        return Model([], [], [], [], [], [])
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language)
-    ids = F.broadcast(ids.select("doc_id").distinct())  # at most LANGUAGES * per_language numbers
-    chosen = rows.where(F.col("lang").isin(langs)).join(ids, "doc_id", "left_semi").select("lang", "text").coalesce(max(6, documents.sparkSession.sparkContext.defaultParallelism))
-    model = build(count_grams(chosen).toPandas(), sorted(langs))
-    own = predict(chosen.withColumn("doc_id", F.lit(0).cast("long")), model).where("lang_pred <> 'und'")
+    """From rows that satisfy learn and have a lang: of each language about per_language, those with the smallest hashes of id and text.
+
+    All languages are learned; one without a letter in its sample never wins.
+    """
+    rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return Model([], [], [])
+    bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))))
+    mixed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    chosen = written(rows.where(mixed < bound[F.col("lang")]).withColumn("out", F.pmod(F.xxhash64("text", "doc_id"), F.lit(KEPT_OUT)) == 0), "sample")
+    model = build(chosen.where("not out"), sorted(counts))
+    own = predict(chosen.where("out").withColumn("doc_id", F.lit(0).cast("long")), model).where("lang_pred <> 'und'")
     limits = {r["lang_pred"]: r["q"] for r in own.groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.995).alias("q")).collect()}
-    model.limits = [limits.get(x, 0.0) + MARGIN for x in model.languages]
+    every = max(limits.values(), default=0.0)  # of a language with no text kept out
+    model.limits = [limits.get(x, every) + MARGIN for x in model.languages]
     return model
 
 

@@ -3,7 +3,8 @@
 A text that repeats itself compresses much better than prose of its length and
 noise compresses worse, so a document is kept if its zstandard ratio (compressed
 by plain bytes) lies in a band that depends on its length, and so do the ratios
-of its fixed chunks, but for a small share of them.
+of its fixed chunks, but for a small share of them. The rest behind the last full
+chunk is a chunk as well, judged by the band of its own length.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame
 #: From so many bytes on: the lowest and the highest ratio of a document. Small frames carry more overhead.
 BANDS = ((0, 0.0, 9.0), (120, 0.32, 1.05), (400, 0.30, 0.90), (1_000, 0.28, 0.80), (3_000, 0.26, 0.72), (10_000, 0.24, 0.68))
 CHUNK = 4096
-#: The band of a full chunk, and the share of chunks that may lie outside it.
-CHUNK_BAND, CHUNK_SHARE = (0.28, 0.75), 0.34
+#: The band of a full chunk, and the share of chunks that may lie outside their bands: one of four or more.
+CHUNK_BAND, CHUNK_SHARE = (0.28, 0.75), 0.25
 LEVEL = 3
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks long"
@@ -34,8 +35,11 @@ def compression_verdict(data: bytes, pack, bands=BANDS, chunk: int = CHUNK, chun
         return 1.0, 0, True
     ratio = len(pack(data)) / len(data)
     low, high = band(len(data), bands)
-    chunks = [data[i : i + chunk] for i in range(0, len(data) - chunk + 1, chunk)] if len(data) >= 2 * chunk else []
-    bad = sum(not chunk_band[0] <= len(pack(c)) / chunk <= chunk_band[1] for c in chunks)
+    chunks = [data[i : i + chunk] for i in range(0, len(data), chunk)] if len(data) > chunk else []
+    bad = 0
+    for c in chunks:
+        least, most = chunk_band if len(c) == chunk else band(len(c), bands)
+        bad += not least <= len(pack(c)) / len(c) <= most
     return ratio, bad, low <= ratio <= high and bad <= chunk_share * len(chunks)
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, chat, pii, quality, rules, warc
 from sparkloom.llm.bpe import op4_bpe
@@ -173,6 +174,25 @@ def test_compression_bands():
     assert all(verdict(prose(n)) for n in (5, 60, 300, 2_000, 20_000)) and verdict("")
     assert not verdict("buy now " * 400) and not verdict(dice.randbytes(5_000))
     assert not verdict(prose(2_000) + dice.randbytes(60_000).hex() * 3)
+    assert not verdict(prose(1_300)[:7_000].encode() + dice.randbytes(3_000))  # noise behind the last full chunk
+
+
+def test_kept_by_rules(spark, data, texts):
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=rules.LEVEL).compress
+
+    def passes(data):
+        in_band = lambda x, low, high: low <= len(pack(x)) / len(x) <= high
+        of_length = lambda x: max(b for b in rules.BANDS if b[0] <= len(x))[1:]
+        chunks = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+        bad = [c for c in chunks if not in_band(c, *((0.28, 0.75) if len(c) == 4096 else of_length(c)))]
+        return not data or (in_band(data, *of_length(data)) and 4 * len(bad) <= len(chunks))
+
+    found = op5_quality_rules(spark, data).select("doc_id", "base_failed", "kept").collect()
+    failed = {(r["doc_id"], r["base_failed"]) for r in found}
+    want = [(doc, passes((text or "").encode()) and (doc, True) not in failed) for doc, text in texts if doc is not None]
+    assert ordered((r["doc_id"], r["kept"]) for r in found if r["doc_id"] is not None) == ordered(want)
 
 
 def test_quality_classifier(spark):
@@ -206,6 +226,75 @@ def test_language_id(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.97
 
 
+def plain_entropy(training, text, order=4, discount=0.75, symbols=4096):
+    """Interpolated Kneser-Ney with dicts."""
+    import math
+
+    def of(t):
+        out = []
+        for c in t.lower():
+            if c.isalpha():
+                out.append(c)
+            elif out and out[-1]:
+                out.append("")
+        return [""] * 3 + (out if out and not out[-1] else [*out, ""] if out else out)
+
+    counts = {n: Counter() for n in range(1, order + 1)}
+    for t in training:
+        s = of(t)
+        for i in range(3, len(s)):
+            for n in counts:
+                counts[n][tuple(s[i - n + 1 : i + 1])] += 1
+    for n in range(1, order):
+        after = Counter(g[1:] for g in counts[n + 1])
+        counts[n] = {g: after[g] for g in counts[n]}
+    totals = {n: Counter() for n in counts}
+    kinds = {n: Counter() for n in counts}
+    for n, c in counts.items():
+        for g, x in c.items():
+            totals[n][g[:-1]] += x
+            kinds[n][g[:-1]] += x > 0
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / symbols
+        total = totals[n][g[:-1]]
+        return max(counts[n].get(g, 0) - discount, 0) / total + discount * kinds[n][g[:-1]] / total * p(g[1:]) if total else p(g[1:])
+
+    s = of(text)
+    return -sum(math.log(p(tuple(s[i - order + 1 : i + 1]))) for i in range(3, len(s))) / max(1, len(s) - 3)
+
+
+def test_language_models_against_dicts(spark, monkeypatch):
+    from sparkloom.llm import langid
+
+    monkeypatch.setattr(langid, "GROUP", 2)
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["lang", "text"]).to_pydict()
+    rows_ = [(lang, text[:600]) for lang, text in zip(t["lang"], t["text"]) if lang and text][:60]
+    languages = sorted({lang for lang, _ in rows_})
+    model = langid.build(spark.createDataFrame(rows_, "lang string, text string"), languages)
+    texts = [x for _, x in rows_[:6]] + ["Zebra, quux! 12 ñandú", "a"]
+    got, _ = model.entropies(texts)
+    for i, text in enumerate(texts):
+        for j, lang in enumerate(languages):
+            assert got[i, j] == pytest.approx(plain_entropy([x for own, x in rows_ if own == lang], text), abs=1e-4)
+
+
+def test_language_id_learns_every_language(spark):
+    """Eighty invented languages of few texts, each with letters of its own frequency."""
+    from sparkloom.llm import langid
+
+    dice = random.Random(6)
+    speech = [dice.choices("abcdefghijklmnopqrstuvwxyz", [dice.random() ** 4 for _ in range(26)], k=400) for _ in range(80)]
+    say = lambda i: " ".join("".join(dice.choices(speech[i], k=dice.randrange(2, 9))) for _ in range(60))
+    made = [(n * 100 + i, f"x{i:02}", say(i)) for n in range(12) for i in range(80)]
+    model = langid.train(spark.createDataFrame(made, "doc_id long, lang string, text string").repartition(4), F.lit(True))
+    assert len(model.languages) == 80
+    got, _ = model.entropies([say(i) for i in range(80)])
+    assert (got.argmin(axis=1) == range(80)).mean() > 0.95
+
+
 def test_language_id_on_odd_rows(spark, data, texts):
     got = op6_language_id(spark, data).collect()
     assert len(got) == len(texts)
