@@ -423,7 +423,7 @@ def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataF
     sizes = written(candidates.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("elements")).where("m > 1"), "sizes")
     large = (F.col("m") > TOGETHER) | (F.col("elements") > TOGETHER_ELEMENTS)
     sized = written(join_counted(candidates, sizes, ["comp"], "m").withColumn("large", large), "candidates")
-    texts = _packed(documents).join(sized, "doc_id")
+    texts = _packed(documents).join(sized.select("doc_id"), "doc_id", "left_semi").join(sized, "doc_id")
     some_large = not sized.where("large").isEmpty()
     if some_large:  # they are read by several steps
         texts = written(texts, "texts")
