@@ -21,9 +21,13 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(js_regex(pattern))
 
 
+#: All that SPACE matches.
+WHITE = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 # Words that carry little information, English and Vietnamese.
@@ -61,20 +65,33 @@ LEAST_IMPORTANCE = {"KNOWLEDGE": 3, "PREFERENCE": 2, "PATTERN": 3, "MISTAKE": 3,
 STOP_SHARE = 0.80
 
 
+#: For each pattern the strings of which, in one of the groups, a match must hold all: a cheap test before the pattern.
+HINTS = (
+    ("english",), ("lesson", "lession"), ("raining", "rainy", "sunny"), ("tính danh", "danh", "trạng", "động", "sao"), ("tiếng", "từ"), ("pronunci", "spelling", "pronounce"), ("weather", "rain", "sunny"),
+    ("shopping", "grocery", "going"), ("buy",), ("low-fat", "yogurt", "rule"), ("stay", "breakfast", "relax", "crowded", "quiet", "charge", ("not", "to", "act"), "smart", "procrastin"),
+    ("--retry-failed", "scheduling", "retry"), ("interview",), (("tic", "tac", "toe"), ("vision", "test"), ("balance", "test")), (("same", "repeated", "times"),),
+)
+
+
+def _hinted(lower: Column, hints) -> Column:
+    every = lambda words: reduce(lambda a, b: a & b, (F.contains(lower, F.lit(w)) for w in ((words,) if isinstance(words, str) else words)))
+    return reduce(lambda a, b: a | b, map(every, hints))
+
+
 def blocklist_reason(text: Column) -> Column:
     """"blocklist: <reason>" of the first pattern that matches, else null."""
     lower = F.lower(trim(text))
-    return F.coalesce(*(F.when(matches(lower, p), F.lit(f"blocklist: {reason}")) for p, reason in BLOCKLIST))
+    return F.coalesce(*(F.when(_hinted(lower, hints) & matches(lower, p), F.lit(f"blocklist: {reason}")) for (p, reason), hints in zip(BLOCKLIST, HINTS, strict=True)))
 
 
 def stop_share(text: Column) -> Column:
     """The share of stop words among the words, stripped of anything but letters and digits; null without words."""
-    words = F.filter(F.transform(F.split(F.lower(text), f"{SPACE}+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s\p{Z}\uFEFF]+", ""), f"{SPACE}+"), lambda w: w != "")
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))) / F.size(words))
 
 
 def noise_reason(text: Column, memory_type: Column, importance: Column) -> Column:
-    """Why a text isn't worth saving, or null: checks in order, the first that fails counts."""
+    """Why a text isn't worth saving, or null: checks in order, the first that fails counts. A reason names the check, not the sizes it met."""
     content = trim(F.coalesce(text, F.lit("")))
     summary = F.coalesce(memory_type == "SESSION_SUMMARY", F.lit(False))
     least = reduce(lambda rest, kv: F.when(memory_type == kv[0], F.lit(kv[1])).otherwise(rest), LEAST_IMPORTANCE.items(), F.lit(2))

@@ -113,10 +113,10 @@ def enabled_tools(tools: DataFrame, disabled: DataFrame, protected: Sequence[str
     return tools.join(disabled.where(~F.col("tool").isin(list(protected))), "tool", "left_anti")
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], *order) -> DataFrame:
-    """The first row of each key."""
+def keep_first(df: DataFrame, keys: Sequence[str], *order, most: int = 1) -> DataFrame:
+    """The first row, or rows, of each key. Spark cuts each key's rows to as many before they move."""
     n = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(n)).where("_n = 1").drop("_n")
+    return df.withColumn("_n", F.row_number().over(n)).where(F.col("_n") <= most).drop("_n")
 
 
 def page(df: DataFrame, limit: int, offset: int = 0, *order, most: int = 100) -> DataFrame:

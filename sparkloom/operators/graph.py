@@ -32,24 +32,54 @@ def dead_code(entities: DataFrame, edges: DataFrame, most: int = 20) -> DataFram
     return rows.select("id", "entity_name", "entity_type", "file_path").orderBy("entity_name", "id").limit(most)
 
 
+def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (the smallest node connected with it) of the ends of edges (a, b), by large and small stars.
+
+    Edges are aggregated by node before they move; each round is checkpointed.
+    """
+    ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    loops = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).distinct()
+    now = cut(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    for _ in range(rounds):
+        both = now.union(now.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low)
+        now = cut(small.distinct())
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        before = state
+    known = now.groupBy("u").agg(F.min("v").alias("component"))
+    return loops.join(known, F.col("node") == F.col("u"), "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def on_cycles(edges: DataFrame, hops: int = 5) -> DataFrame:
     """id of each node from which at most so many edges lead back to it.
 
-    Paths are (origin, node) pairs, distinct at each hop. Nodes that can't lie
-    on a cycle (nothing comes in, or nothing goes out) are dropped first.
+    Walks start at every node and go half the hops, as distinct (origin, node)
+    pairs; longer cycles are those whose walk meets one that comes back to the
+    origin, which is a shorter walk read backwards. Nodes that can't lie on a
+    cycle (nothing comes in, or nothing goes out) are dropped first.
     """
     e = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct()
     for _ in range(2):
         e = e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi")
     e = cut(e)
-    paths, found = e.select(F.col("s").alias("origin"), F.col("t").alias("at")), None
-    for hop in range(hops):
-        home = paths.where("origin = at").select(F.col("origin").alias("id"))
-        found = home if found is None else found.union(home)
-        if hop + 1 < hops:
-            away = paths.where("origin <> at").join(found.withColumnRenamed("id", "origin").distinct(), "origin", "left_anti")
-            paths = cut(away.join(e, F.col("at") == F.col("s")).select("origin", F.col("t").alias("at")).distinct())
-    return found.distinct()
+    ahead = (hops + 1) // 2
+    walks = [e.select(F.col("s").alias("origin"), F.col("t").alias("at"))]
+    for _ in range(ahead - 1):
+        walks.append(cut(walks[-1].join(e, F.col("at") == F.col("s")).select("origin", F.col("t").alias("at")).distinct()))
+    found = [w.where("origin = at").select(F.col("origin").alias("id")) for w in walks]
+    for back in walks[: hops - ahead]:
+        home = back.select(F.col("at").alias("origin"), F.col("origin").alias("at"))
+        found.append(walks[-1].join(home, ["origin", "at"], "left_semi").select(F.col("origin").alias("id")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.distinct()
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 2, types: Sequence[str] = (), undirected: bool = True) -> DataFrame:

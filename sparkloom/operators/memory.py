@@ -7,12 +7,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import blocklist_reason, content_hash, noise_reason
 from ..functions.vector import cosine, literal
 from .filters import keep_first
+from .graph import connected, cut
 
 LEAST, MOST = 0.05, 0.99
 DAY = 86_400_000_000
@@ -172,26 +176,114 @@ def concept_confidence(confidence: Column, evidence: Column) -> Column:
     return F.when(F.abs(raised - confidence) > 0.01, raised).otherwise(confidence)
 
 
-def similar_pairs(df: DataFrame, group: Sequence[str], order: Sequence[str], threshold: float, embedding: str = "embedding", key: str = "id") -> DataFrame:
-    """Pairs within a group whose cosine exceeds threshold, as (earlier, later, similarity), by order.
+#: Vectors that the others are placed by, members of a block, vectors compared with a block at a time, and visitors that one task compares with a block.
+PIVOTS, BLOCK, AT_ONCE, VISITORS = 64, 8_192, 512, 1_000_000
+
+
+def _placed(unit: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """unit (with _u) and home, the nearest pivot, angle, the angle to it, and angles, those to all."""
+    schema = T.StructType([*unit.schema.fields, *T.StructType.fromDDL("home int, angle double, angles array<double>").fields])
+    at = unit.columns.index("_u")
+
+    def run(batches):
+        for batch in batches:
+            homes, near, every = [], [], []
+            for v in batch.column(at):
+                u = np.asarray(v.values.to_numpy(zero_copy_only=False))
+                angles = np.arccos(np.clip(pivots[len(u)] @ u, -1, 1)) if len(u) in pivots else np.zeros(1)
+                homes.append(int(angles.argmin()))
+                near.append(float(angles.min()))
+                every.append(angles.tolist())
+            made = [pa.array(homes, pa.int32()), pa.array(near, pa.float64()), pa.array(every, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[f.name for f in schema.fields])
+
+    return unit.mapInArrow(run, schema)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _orders(column: pa.Array) -> list[tuple]:
+    """Values of the order as tuples, nulls first."""
+    return [tuple((x is not None, x) for x in row.values()) for row in column.to_pylist()]
+
+
+def _compare_blocks(threshold: float, schema: T.StructType, group: Sequence[str], key_type: pa.DataType):
+    """Over rows sorted by _block and _visitor: the members of a block come first, and each visitor is compared with all of them."""
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        block, held, members = None, [], None
+        for batch in batches:
+            keys = np.array(batch.column(names.index("_block")).to_pylist(), object)
+            visits = batch.column(names.index("_visitor")).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (visits[1:] != visits[:-1])]))
+            for a, b in zip(edges, [*edges[1:], len(keys)]):
+                part = batch.slice(a, b - a)
+                if keys[a] != block:
+                    block, held, members = keys[a], [], None
+                if not visits[a]:
+                    held.append(part)
+                    continue
+                if members is None:
+                    members = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held else None
+                if members is None:
+                    continue
+                m = _matrix(members.column(names.index("_u")))
+                for low in range(0, b - a, AT_ONCE):
+                    some = part.slice(low, AT_ONCE)
+                    product = _matrix(some.column(names.index("_u"))) @ m.T
+                    i, j = np.nonzero(product > threshold)
+                    x, y = some.take(pa.array(i)), members.take(pa.array(j))
+                    ox, oy = _orders(x.column(names.index("_o"))), _orders(y.column(names.index("_o")))
+                    alike = x.column(names.index("home")).to_numpy() == y.column(names.index("home")).to_numpy()
+                    # two of one home visit each other, others only one the other
+                    keep = np.array([p < q or (p > q and not h) for p, q, h in zip(ox, oy, alike)], bool)
+                    first = np.array([p < q for p, q in zip(ox, oy)], bool)
+                    kx, ky = np.array(x.column(names.index("_k")).to_pylist(), object), np.array(y.column(names.index("_k")).to_pylist(), object)
+                    columns = [x.column(names.index(g)).filter(pa.array(keep)) for g in group]
+                    pairs = [pa.array(list(np.where(first, p, q)[keep]), key_type) for p, q in ((kx, ky), (ky, kx))]
+                    yield pa.RecordBatch.from_arrays([*columns, *pairs, pa.array(product[i, j][keep])], names=[*group, "earlier", "later", "similarity"])
+
+    return run
+
 
-    Two vectors of one length can only be so close if they are close in each
-    projection: vectors are cut into slices of a random direction as wide as the
-    largest distance allowed, and only meet those of their own and the next slice.
+def similar_pairs(df: DataFrame, group: Sequence[str], order: Sequence[str], threshold: float, embedding: str = "embedding", key: str = "id") -> DataFrame:
+    """Pairs within a group whose cosine exceeds threshold, as (earlier, later, similarity), by order and key; all of them.
+
+    Vectors are placed at the nearest of PIVOTS vectors. Angles obey the triangle
+    inequality, so that a vector need only be compared with the members of such
+    pivots whose farthest member is no farther from the pivot than the vector
+    itself less the angle allowed. Each pivot's members are cut into blocks of
+    bounded size, each vector visits the blocks that it has to, and a task holds
+    one block and streams its visitors by it. Vectors without length, and of
+    unlike sizes, are like none; neither are those of a null group.
     """
+    group = list(group)
     rows = df.where(F.size(embedding) > 0).withColumn("_n", norm_of(embedding)).where("_n > 0")
-    unit = rows.select(*group, *order, F.col(key).alias("_k"), F.transform(embedding, lambda x: x / F.col("_n")).alias("_u"))
-    width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    # one fixed direction, of length one: its sign pattern repeats with the golden ratio
-    direction = F.transform("_u", lambda x, i: x * F.signum(F.cos((i + 1) * 1.6180339887)))
-    total = F.aggregate(direction, F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size("_u"))
-    cut = unit.withColumn("_slice", F.floor(total / width))
-    own = [F.col(g) for g in group]
-    left = cut.select(*own, F.explode(F.array(F.col("_slice"), F.col("_slice") + 1, F.col("_slice") - 1)).alias("_slice"), F.struct(*order, "_k").alias("_o1"), F.col("_u").alias("_u1"), F.col("_k").alias("earlier"))
-    right = cut.select(*own, "_slice", F.struct(*order, "_k").alias("_o2"), F.col("_u").alias("_u2"), F.col("_k").alias("later"))
-    joined = left.join(right, [*group, "_slice"]).where(F.col("_o1") < F.col("_o2"))
-    product = F.when(F.size("_u1") == F.size("_u2"), F.aggregate(F.zip_with("_u1", "_u2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    return joined.withColumn("similarity", product).where(F.col("similarity") > threshold).select(*group, "earlier", "later", "similarity")
+    unit = rows.select(*group, F.struct(*order, F.col(key).alias("_key")).alias("_o"), F.col(key).alias("_k"), F.transform(embedding, lambda x: x / F.col("_n")).alias("_u"))
+    by_size: dict[int, list] = {}
+    for r in unit.select("_u").orderBy(F.xxhash64("_k"), "_k").limit(PIVOTS).collect():
+        by_size.setdefault(len(r["_u"]), []).append(r["_u"])
+    placed = cut(_placed(unit, {n: np.array(vs) for n, vs in by_size.items()}).withColumn("_size", F.size("_u")))
+    homes = placed.groupBy(*group, "_size", "home").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    in_group = homes.groupBy(*group, "_size").agg(F.collect_list(F.struct("home", "radius", parts.alias("blocks"))).alias("homes"), F.ceil(F.sum("n") / VISITORS).cast("int").alias("salts"))
+    located = placed.join(in_group, [*group, "_size"])
+    mixed = lambda n, seed: F.pmod(F.xxhash64("_k", F.lit(seed)), n).cast("int")
+    fields = [*group, "_o", "_k", "_u", "home"]
+    own = F.element_at(F.filter("homes", lambda h: h["home"] == F.col("home")), 1)["blocks"]
+    members = located.select(*fields, "_size", F.col("home").alias("_at"), mixed(own, 1).alias("_part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"), F.lit(False).alias("_visitor"))
+    most = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    reached = F.filter("homes", lambda h: (h["home"] >= F.col("home")) & (F.get(F.col("angles"), h["home"]) - most <= h["radius"]))
+    visits = located.select(*fields, "_size", mixed(F.col("salts"), 2).alias("_salt"), F.explode(reached).alias("_h"))
+    visits = visits.select(*fields, "_size", F.col("_h.home").alias("_at"), F.explode(F.sequence(F.lit(0), F.col("_h.blocks") - 1)).alias("_part"), "_salt", F.lit(True).alias("_visitor"))
+    both = members.unionByName(visits).withColumn("_block", F.to_json(F.struct(*group, "_size", "_at", "_part", "_salt"))).select("_block", "_visitor", *fields)
+    kinds = dict(df.dtypes)
+    made = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), f"earlier {kinds[key]}, later {kinds[key]}, similarity double"])
+    ordered = both.repartition("_block").sortWithinPartitions("_block", "_visitor")
+    return ordered.mapInArrow(_compare_blocks(threshold, both.schema, group, to_arrow_type(df.schema[key].dataType)), made)
 
 
 def norm_of(embedding: str) -> Column:
@@ -211,8 +303,8 @@ def superseded_ids(df: DataFrame, threshold: float = 0.85, group: Sequence[str]
 def greedy_duplicates(df: DataFrame, threshold: float = 0.85, group: Sequence[str] = ("tenant_id", "project")) -> DataFrame:
     """ids to remove: in order of (created_at, id) each kept memory removes later similar ones of no more importance, and is itself removed by the first of more.
 
-    Similar pairs are found as a join; only they, not the memories, meet in a
-    project's task, where the order decides.
+    Similar pairs are found as a join; only those that hang together, not the
+    memories of a project, meet in a task, where the order decides.
     """
     pairs = similar_pairs(df, group, ("created_at",), threshold)
     facts = df.select("id", "importance", "created_at")
@@ -230,18 +322,26 @@ def greedy_duplicates(df: DataFrame, threshold: float = 0.85, group: Sequence[st
         return pd.DataFrame({"id": sorted(gone)}, dtype=object)
 
     joined = pairs.join(a, "earlier").join(b, "later")
-    kind = dict(df.dtypes)["id"]
-    return joined.groupBy(*group).applyInPandas(walk, f"id {kind}")
+    kinds = dict(df.dtypes)
+    joined = joined.withColumn("_group", F.to_json(F.struct(*group))) if group else joined.withColumn("_group", F.lit(""))
+    name = lambda c: F.concat_ws("|", "_group", F.col(c).cast("string"))
+    joined = cut(joined.withColumn("_node", name("earlier")))
+    linked = connected(joined.select(F.col("_node").alias("a"), name("later").alias("b")))
+    walked = joined.join(linked, F.col("_node") == F.col("node")).select(*group, "component", "earlier", "later", "i1", "i2", "at1", "at2")
+    return walked.groupBy(*group, "component").applyInPandas(walk, f"id {kinds['id']}")
 
 
 def concept_clusters(df: DataFrame, group: Sequence[str] = ("project", "memory_type"), least: int = 2, total: int = 3, show: int = 5) -> DataFrame:
-    """size, the first contents joined, and ids of each cluster; none where there are fewer than total rows in all."""
-    listed = F.array_sort(F.collect_list(F.struct("created_at", "id", "content")))
-    out = df.groupBy(*group).agg(F.count("*").alias("size"), listed.alias("_l")).where(F.col("size") >= least)
+    """size, the first contents joined, and ids of each cluster; none where there are fewer than total rows in all. Only the contents that are shown move."""
+    first = keep_first(df.select(*group, "created_at", "id", "content"), group, "created_at", "id", most=show)
+    shown = F.array_sort(F.collect_list(F.struct("created_at", "id", "content")))
+    first = first.groupBy(*group).agg(F.array_join(F.transform(shown, lambda x: x["content"]), " | ").alias("summary"))
+    ids = F.array_sort(F.collect_list(F.struct("created_at", "id")))
+    out = df.groupBy(*group).agg(F.count("*").alias("size"), F.transform(ids, lambda x: x["id"]).alias("source_ids")).where(F.col("size") >= least)
     enough = df.limit(total).agg((F.count("*") >= total).alias("_enough"))
     out = out.join(F.broadcast(enough), F.col("_enough"))  # one row, which is true or false
-    text = F.array_join(F.transform(F.slice("_l", 1, show), lambda x: x["content"]), " | ")
-    return out.select(*group, "size", text.alias("summary"), F.transform("_l", lambda x: x["id"]).alias("source_ids"))
+    same = reduce(lambda a, b: a & b, (out[g].eqNullSafe(first[g]) for g in group))
+    return out.join(first, same).select(*(out[g] for g in group), "size", "summary", "source_ids")
 
 
 def concepts_of(clusters: DataFrame) -> DataFrame:

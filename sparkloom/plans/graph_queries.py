@@ -11,11 +11,15 @@ G = f"n AS ({ENTITIES}), e AS ({EDGES})"
 
 
 def _steps(spark, sf_dir):
-    """Edges among numbers: customers that order, modulo small primes, so that there are cycles."""
-    return read(spark, sf_dir, "orders").selectExpr("o_custkey % 211 AS s", "(o_custkey * 7 + o_orderkey % 3) % 211 AS t").distinct().selectExpr("s AS source_id", "t AS target_id", "'call' AS relationship_type", "'p' AS project_name", "'t' AS tenant_id")
+    """Edges among all customers: each leads to those whose orders follow its first and its last one."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    ends = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b")).select(F.col("o_custkey").alias("s"), F.explode(F.array("a", "b")).alias("k"))
+    after = orders.select((F.col("o_orderkey") - 1).alias("k"), F.col("o_custkey").alias("t"))
+    return ends.join(after, "k").select("s", "t").distinct().selectExpr("s AS source_id", "t AS target_id", "'call' AS relationship_type", "'p' AS project_name", "'t' AS tenant_id")
 
 
-STEPS = "s AS (SELECT DISTINCT o_custkey % 211 AS s, (o_custkey * 7 + o_orderkey % 3) % 211 AS t FROM orders)"
+STEPS = """f AS (SELECT o_custkey AS s, unnest([min(o_orderkey), max(o_orderkey)]) AS k FROM orders GROUP BY o_custkey),
+ s AS (SELECT DISTINCT f.s, o.o_custkey AS t FROM f JOIN orders o ON o.o_orderkey = f.k + 1)"""
 
 
 def god_objects(spark, sf_dir):
@@ -23,12 +27,12 @@ def god_objects(spark, sf_dir):
 
 
 def dead_code(spark, sf_dir):
-    used = edges(spark, sf_dir).where("source_id < 'supp:3'")
-    return graph.dead_code(entities(spark, sf_dir), used)
+    returned = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount > 0.09")
+    return graph.dead_code(entities(spark, sf_dir), returned.selectExpr("concat('part:', cast(l_partkey as string)) AS target_id", "'t' AS tenant_id"))
 
 
 def cycles_5hop(spark, sf_dir):
-    return graph.on_cycles(_steps(spark, sf_dir).where("source_id % 3 <> 1"), 5)
+    return graph.on_cycles(_steps(spark, sf_dir), 5)
 
 
 def bfs_khop(spark, sf_dir):
@@ -36,14 +40,13 @@ def bfs_khop(spark, sf_dir):
 
 
 def both_ends(spark, sf_dir):
-    nodes = _steps(spark, sf_dir).select(F.col("source_id").alias("id")).where("id < 100").distinct()
+    nodes = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
     return graph.within(_steps(spark, sf_dir), nodes).select("source_id", "target_id")
 
 
 def entry_points(spark, sf_dir):
-    e = _steps(spark, sf_dir).where("source_id < target_id and source_id % 2 = 0")
-    nodes = e.select(F.col("source_id").alias("id")).union(e.select(F.col("target_id").alias("id"))).distinct()
-    return graph.entry_points(nodes, e, nodes.where("id % 50 = 0"))
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    return graph.entry_points(customers.select("id"), _steps(spark, sf_dir), customers.where("c_acctbal > 9500"))
 
 
 def call_degree(spark, sf_dir):
@@ -96,14 +99,16 @@ def reading_order(spark, sf_dir):
 
 
 def back_edges(spark, sf_dir):
-    rows = _steps(spark, sf_dir).withColumn("ordinal", F.col("source_id") * 1000 + F.col("target_id")).withColumn("project_name", F.concat(F.lit("p"), (F.col("source_id") % 4).cast("string")))
+    nations = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("project_name"))
+    rows = _steps(spark, sf_dir).drop("project_name").join(nations, "source_id").withColumn("ordinal", F.struct("source_id", "target_id"))
+    rows = rows.withColumn("ordinal", F.format_string("%012d%012d", "source_id", "target_id"))
     return graph.back_edges(rows.withColumn("source_id", F.col("source_id").cast("string")).withColumn("target_id", F.col("target_id").cast("string")))
 
 
 def call_order(spark, sf_dir):
-    e = _steps(spark, sf_dir).where("source_id < target_id")
-    nodes = e.select("source_id").union(e.select("target_id")).distinct().selectExpr("'p' AS project_name", "source_id AS id", "source_id AS ordinal")
-    return graph.call_order(nodes, e)
+    nations = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("project_name"), F.col("c_custkey").alias("ordinal"))
+    e = _steps(spark, sf_dir).drop("project_name").join(nations.select(F.col("id").alias("source_id"), "project_name"), "source_id")
+    return graph.call_order(nations, e)
 
 
 def risk_score(spark, sf_dir):
@@ -192,13 +197,13 @@ QUERIES["gene_inherit"] = gene_inherit
 
 SQL = {
     "god_objects": f"WITH {G} SELECT n.entity_name, c.in_degree FROM (SELECT target_id, count(*) AS in_degree FROM e GROUP BY target_id HAVING count(*) > 20) c JOIN n ON n.id = c.target_id ORDER BY in_degree DESC, entity_name LIMIT 10",
-    "dead_code": f"WITH {G} SELECT id, entity_name, entity_type, file_path FROM n WHERE entity_type IN ('function', 'class') AND NOT EXISTS (SELECT 1 FROM e WHERE e.target_id = n.id AND e.source_id < 'supp:3') ORDER BY entity_name, id LIMIT 20",
-    "cycles_5hop": f"""WITH RECURSIVE {STEPS}, c AS (SELECT * FROM s WHERE s % 3 <> 1), p AS (SELECT s AS o, t AS a, 1 AS d FROM c UNION SELECT p.o, c.t, p.d + 1 FROM p JOIN c ON p.a = c.s WHERE p.d < 5 AND p.o <> p.a)
+    "dead_code": f"WITH {G} SELECT id, entity_name, entity_type, file_path FROM n WHERE entity_type IN ('function', 'class') AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE 'part:' || l.l_partkey = n.id AND l_returnflag = 'R' AND l_discount > 0.09) ORDER BY entity_name, id LIMIT 20",
+    "cycles_5hop": f"""WITH RECURSIVE {STEPS}, p AS (SELECT s AS o, t AS a, 1 AS d FROM s UNION SELECT p.o, s.t, p.d + 1 FROM p JOIN s ON p.a = s.s WHERE p.d < 5 AND p.o <> p.a)
  SELECT DISTINCT o AS id FROM p WHERE o = a""",
     "bfs_khop": f"""WITH RECURSIVE {STEPS}, u AS (SELECT s, t FROM s UNION SELECT t, s FROM s), p AS (SELECT CAST(5 AS BIGINT) AS id, 0 AS level UNION SELECT u.t, p.level + 1 FROM p JOIN u ON u.s = p.id WHERE p.level < 3)
  SELECT id, CAST(min(level) AS INTEGER) AS level FROM p GROUP BY id""",
-    "both_ends": f"WITH {STEPS}, n AS (SELECT DISTINCT s FROM s WHERE s < 100) SELECT s AS source_id, t AS target_id FROM s WHERE s IN (SELECT s FROM n) AND t IN (SELECT s FROM n)",
-    "entry_points": f"WITH {STEPS}, e AS (SELECT * FROM s WHERE s < t AND s % 2 = 0), n AS (SELECT s AS id FROM e UNION SELECT t FROM e) SELECT id FROM n WHERE id % 50 = 0 OR id NOT IN (SELECT t FROM e)",
+    "both_ends": f"WITH {STEPS}, n AS (SELECT c_custkey AS s FROM customer WHERE c_mktsegment = 'BUILDING') SELECT s AS source_id, t AS target_id FROM s WHERE s IN (SELECT s FROM n) AND t IN (SELECT s FROM n)",
+    "entry_points": f"WITH {STEPS} SELECT c_custkey AS id FROM customer WHERE c_acctbal > 9500 OR c_custkey NOT IN (SELECT t FROM s)",
     "call_degree": f"WITH {STEPS} SELECT id, count(*) AS degree FROM (SELECT s AS id FROM s UNION ALL SELECT t FROM s) GROUP BY id",
     "labelled_edges": f"WITH {G} SELECT e.source_id, e.target_id, e.source_id AS source_label, coalesce(n.entity_name, e.target_id) AS target_label FROM e LEFT JOIN n ON n.id = e.target_id AND n.id NOT LIKE '%7' WHERE contains(e.source_id, 'supp:1')",
     "relations": f"WITH {G} SELECT n.id, count(e.source_id) AS n_in, string_agg(e.source_id, ',' ORDER BY e.source_id) AS callers FROM n LEFT JOIN e ON e.target_id = n.id WHERE entity_type = 'class' GROUP BY n.id",

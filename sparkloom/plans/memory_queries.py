@@ -42,8 +42,8 @@ def memory_dates(spark, sf_dir):
 
 
 def near_dup_pairs(spark, sf_dir):
-    rows = memories(spark, sf_dir).withColumn("all", F.lit(1))
-    return memory.similar_pairs(rows, ["all"], ["created_at"], 0.35).select("earlier", "later", F.round("similarity", 6).alias("similarity"))
+    rows = memories(spark, sf_dir)
+    return memory.similar_pairs(rows, [], ["created_at"], 0.35).select("earlier", "later", F.round("similarity", 6).alias("similarity"))
 
 
 def supersede(spark, sf_dir):
@@ -70,7 +70,7 @@ def content_hash_dedup(spark, sf_dir):
 
 
 def keep_latest(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project"), F.col("lang").alias("memory_type"), F.when(F.col("doc_id") % 10 != 0, content_hash(F.substring("text", 1, 40))).alias("content_hash"), F.lit("t").alias("tenant_id"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project"), F.col("lang").alias("memory_type"), F.when(F.col("doc_id") % 10 != 0, content_hash(F.col("text"))).alias("content_hash"), F.lit("t").alias("tenant_id"))
     return memory.keep_latest(rows, "doc_id").select("doc_id", "content_hash")
 
 
@@ -108,12 +108,11 @@ def initial_confidence(spark, sf_dir):
 
 def noise_gate(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "SESSION_SUMMARY").when(F.col("doc_id") % 4 == 1, "KNOWLEDGE").otherwise("FEEDBACK").alias("memory_type"), (F.col("doc_id") % 10).alias("importance"))
-    short = rows.withColumn("text", F.substring("text", 1, 60 * (1 + F.col("doc_id").cast("int") % 50)))
-    return short.select("doc_id", noise_reason(F.col("text"), F.col("memory_type"), F.col("importance")).alias("reason"))
+    return rows.select("doc_id", noise_reason(F.col("text"), F.col("memory_type"), F.col("importance")).alias("reason"))
 
 
 def concept_clusters(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("lang").alias("memory_type"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), F.substring("text", 1, 30).alias("content"))
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("lang").alias("memory_type"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), F.col("text").alias("content"))
     return memory.concept_clusters(rows).select("project", "memory_type", "size", F.sha2("summary", 256).alias("summary_sha"), F.array_join("source_ids", ",").alias("ids"))
 
 
@@ -161,7 +160,7 @@ SQL = {
     "cosine_guard": f"WITH {Q} SELECT vec_id, CASE WHEN vec_id % 5 < 3 THEN 0.0::DOUBLE ELSE round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 6) END AS similarity FROM embeddings, q",
     "vector_parse": "SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 2 THEN 2 ELSE 0 END AS BIGINT) AS n FROM embeddings",
     "content_hash_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
-    "keep_latest": """WITH d AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 10 <> 0 THEN sha256(substr(text, 1, 40)) END AS content_hash FROM documents)
+    "keep_latest": """WITH d AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 10 <> 0 THEN sha256(text) END AS content_hash FROM documents)
  SELECT max(doc_id) AS doc_id, content_hash FROM d WHERE content_hash IS NOT NULL GROUP BY source, lang, content_hash UNION ALL SELECT doc_id, content_hash FROM d WHERE content_hash IS NULL""",
     "upsert_merge": """SELECT sha256(text) AS content_hash, max(CAST(doc_id % 10 AS DOUBLE)) AS importance, round(max((doc_id % 7) / 10.0), 6)::DOUBLE AS confidence, CAST(count(*) AS BIGINT) AS evidence_count, min(doc_id) AS created_at
  FROM documents GROUP BY lang, text""",
@@ -174,11 +173,11 @@ SQL = {
  SELECT id, round(c2, 6) AS confidence, CASE WHEN st = 'active' AND c2 < 0.10 THEN 'archived' ELSE st END AS status FROM d""",
     "initial_confidence": f"""WITH {MEM} SELECT id, round(CAST(greatest(0.05, least(0.99, CASE memory_type WHEN 'MISTAKE' THEN 0.65 WHEN 'PREFERENCE' THEN 0.55 WHEN 'PATTERN' THEN 0.60 ELSE 0.50 END
  + CASE WHEN importance >= 9 THEN 0.25 WHEN importance >= 7 THEN 0.15 WHEN importance <= 3 THEN -0.15 ELSE 0 END)) AS DOUBLE), 6) AS confidence FROM m""",
-    "noise_gate": f"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, CAST(60 * (1 + doc_id % 50) AS BIGINT)), '^\\s+', ''), '\\s+$', '') AS text, CASE WHEN doc_id % 4 = 0 THEN 'SESSION_SUMMARY' WHEN doc_id % 4 = 1 THEN 'KNOWLEDGE' ELSE 'FEEDBACK' END AS memory_type, doc_id % 10 AS importance FROM documents),
+    "noise_gate": f"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text, CASE WHEN doc_id % 4 = 0 THEN 'SESSION_SUMMARY' WHEN doc_id % 4 = 1 THEN 'KNOWLEDGE' ELSE 'FEEDBACK' END AS memory_type, doc_id % 10 AS importance FROM documents),
  w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: x <> '') AS words FROM d)
  SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < CASE WHEN memory_type = 'SESSION_SUMMARY' THEN 100 ELSE 40 END THEN 'too short' WHEN length(text) > CASE WHEN memory_type = 'SESSION_SUMMARY' THEN 5000 ELSE 2000 END THEN 'too long'
  WHEN importance < CASE memory_type {_LEAST} ELSE 2 END THEN 'importance' WHEN len(words) > 0 AND len(list_filter(words, lambda x: x IN {_IN})) / len(words) > 0.8 THEN 'stop words' {_BLOCKED} END AS reason FROM w""",
-    "concept_clusters": """WITH d AS (SELECT source, lang, doc_id, substr(text, 1, 30) AS c, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)
+    "concept_clusters": """WITH d AS (SELECT source, lang, doc_id, text AS c, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)
  SELECT source AS project, lang AS memory_type, count(*) AS size, sha256(string_agg(c, ' | ' ORDER BY doc_id) FILTER (WHERE n <= 5)) AS summary_sha, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM d GROUP BY source, lang HAVING count(*) >= 2""",
     "concept_confidence": """WITH d AS (SELECT source, count(*) % 12 AS e, (min(doc_id) % 9) / 10.0 AS c FROM documents GROUP BY source), r AS (SELECT *, least(0.99, c + (1 - c) * (1 - exp(-0.2 * e))) AS n FROM d)
  SELECT source, round(CAST(CASE WHEN abs(n - c) > 0.01 THEN n ELSE c END AS DOUBLE), 6) AS confidence FROM r""",
