@@ -50,7 +50,10 @@ def rate_limit(events: DataFrame, key: str = "user_id", at: str = "ts", ordinal:
 
 
 def rate_limit_stream(events: DataFrame, key: str = "user_id", at: str = "ts", ordinal: str = "event_id", limit: int = LIMIT, window_ms: int = WINDOW_MS) -> DataFrame:
-    """The same over a stream; a key's state goes after five idle minutes."""
+    """The same over a stream, in event time; a key's state goes after five idle minutes, and events later than that are dropped.
+
+    Timeouts by the wall clock would keep a query that reads what is available from ever ending.
+    """
     kinds = dict(events.dtypes)
 
     def run(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,11 +64,12 @@ def rate_limit_stream(events: DataFrame, key: str = "user_id", at: str = "ts", o
         kept = list(state.get[0]) if state.exists else []
         marks, kept = accept(pdf["_ms"].tolist(), kept, limit, window_ms)
         state.update((kept,))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(int(pdf["_ms"].max()) + IDLE_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: group[0], ordinal: pdf[ordinal], "accepted": marks})
 
-    rows = events.select(key, ordinal, F.expr(f"cast(floor(unix_micros(cast(`{at}` as timestamp)) / 1000) as bigint)").alias("_ms"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{ordinal}` {kinds[ordinal]}, accepted boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(key, ordinal, F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", f"{IDLE_MS} milliseconds")
+    rows = rows.withColumn("_ms", F.expr("cast(floor(unix_micros(_at) / 1000) as bigint)"))
+    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{ordinal}` {kinds[ordinal]}, accepted boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_heartbeats(beats: DataFrame, key: str = "agent_id", at: str = "at") -> DataFrame:
