@@ -124,6 +124,16 @@ def page(df: DataFrame, limit: int, offset: int = 0, *order, most: int = 100) ->
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
 
 
+def categories(df: DataFrame, column: str = "category") -> DataFrame:
+    """The distinct values there are to filter by."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct()
+
+
+def activity(requests: DataFrame, key: str = "user_id", at: str = "ts") -> DataFrame:
+    """Each user's requests and the second of the last one."""
+    return requests.groupBy(key).agg(F.count("*").alias("requests"), F.unix_seconds(F.max(at).cast("timestamp")).alias("last_s"))
+
+
 def truncated(df: DataFrame, most: int, *order) -> tuple[DataFrame, DataFrame]:
     """The first most rows, and one row of total, showing and truncated."""
     info = df.agg(F.count("*").alias("total")).select("total", F.least("total", F.lit(most)).alias("showing"), (F.col("total") > most).alias("truncated"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, literal
-from .memory import clamp
+from .graph import cut
+from .memory import bump, clamp
 
 GENE_KEY = ("name", "project", "tenant_id")
 
@@ -34,6 +35,40 @@ def nearest(genes: DataFrame, query: Sequence[float], limit: int, most: int = 50
     return rows.orderBy(F.desc("score"), "id").limit(max(1, min(limit, most)))
 
 
+def search(genes: DataFrame, query: Sequence[float], limit: int = 10, project: str | None = None, category: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the nearest active genes with score, all genes after those were used once more)."""
+    found = cut(nearest(active(genes, project, category), query, limit).select("id", "score"))
+    ranked = genes.join(F.broadcast(found), "id").orderBy(F.desc("score"), "id")  # 50 rows at most
+    return ranked, bump(genes, found, "usage_count")
+
+
+def skills(genes: DataFrame, query: Sequence[float], tag: str | None = None, most: int = 50) -> DataFrame:
+    """The nearest skills, those with a tag if one is given."""
+    found = nearest(active(genes, category="skill"), query, most, most)
+    return found.where(F.array_contains("dependencies", tag)) if tag else found
+
+
+def by_name(genes: DataFrame, name: str, category: str, tenant: str) -> DataFrame:
+    """The first active gene of a name and category; one row at most."""
+    return active(genes, category=category).where((F.col("name") == name) & (F.col("tenant_id") == tenant)).orderBy("id").limit(1)
+
+
+def install_skill(genes: DataFrame, name: str, description: str, prompt: str, tags: Sequence[str], tenant: str, as_of) -> DataFrame:
+    """genes after a skill came: one of that name gets its text and a new version, else it is added at version 1."""
+    known = by_name(genes, name, "skill", tenant).select(F.col("id").alias("_known"))
+    now, listed = F.lit(as_of).cast("timestamp"), F.array(*map(F.lit, tags)).cast("array<string>")
+    rows = genes.join(F.broadcast(known), F.col("id") == F.col("_known"), "left")  # one row at most
+    hit = F.col("_known").isNotNull()
+    made = {"description": F.lit(description), "solution": F.lit(prompt), "dependencies": listed, "version": F.col("version") + 1, "updated_at": now}
+    kept = rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in made.items() if c in genes.columns}).select(*genes.columns)
+    new = genes.sparkSession.range(1).select(
+        F.sha2(F.concat_ws("|", F.lit(name), F.lit("skill"), F.lit(tenant)), 256).alias("id"), F.lit(name).alias("name"), F.lit(description).alias("description"), F.lit(prompt).alias("solution"), F.lit("skill").alias("category"),
+        listed.alias("dependencies"), F.lit(0.70).alias("confidence"), F.lit(1).cast("long").alias("version"), F.lit("active").alias("status"), F.lit(tenant).alias("tenant_id"), now.alias("created_at"), now.alias("updated_at"),
+    )
+    new = new.join(known, F.lit(True), "left_anti")
+    return kept.unionByName(new.select(*[c for c in new.columns if c in genes.columns]), allowMissingColumns=True)
+
+
 def upsert_genes(genes: DataFrame, batch: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """(genes, mutations): a gene of known name, project and tenant gets a new version and a mutation row, others are inserted at version 1."""
     old = genes.select(*GENE_KEY, F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("evolution_score").alias("_score"), F.col("usage_count").alias("_usage"), F.col("created_at").alias("_created"))

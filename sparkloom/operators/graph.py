@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vector import cosine, literal
 from .filters import keep_first
 
 
@@ -267,9 +268,67 @@ def smell_report(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return one(on_cycles(edges), "cycles").union(one(god_objects(entities, edges), "god_objects")).union(one(dead_code(entities, edges), "dead_code"))
 
 
-def project_stats(summary: DataFrame) -> DataFrame:
-    """Counts of an analysis, each from the first place that has it."""
-    return summary.select(*(F.coalesce(*(F.col(c) for c in names), F.lit(0)).alias(name) for name, names in {"files": ("totalFilesAnalyzed", "fileCount"), "functions": ("functions", "functionCount")}.items()))
+# Where each count of an analysis is looked for, in this order.
+STATS = {
+    "files": ("stats.files", "totalFilesAnalyzed", "entityCounts.modules"),
+    "modules": ("entityCounts.modules", "stats.files", "totalFilesAnalyzed"),
+    "functions": ("entityCounts.functions", "stats.functions"),
+    "classes": ("entityCounts.classes", "stats.classes"),
+    "dependencies": ("entityCounts.dependencies", "stats.dependencies"),
+    "circularDeps": ("entityCounts.circularDeps", "stats.circularDeps"),
+    "deadCode": ("entityCounts.deadCode", "stats.deadCode"),
+}
+
+
+def project_stats(analysis: DataFrame) -> DataFrame:
+    """The counts of each analysis (structs or maps stats and entityCounts, and totalFilesAnalyzed), each from the first place that has it, else 0."""
+    return analysis.select(*(F.coalesce(*(F.col(c) for c in places), F.lit(0)).cast("long").alias(name) for name, places in STATS.items()))
+
+
+def summary(nodes: DataFrame, imports: DataFrame, files: DataFrame, group: str = "project_name") -> DataFrame:
+    """A row a project: nodes of each type, circular imports, files analysed and skipped.
+
+    Frames of (project, type), (project, source_id, target_id, ordinal) and (project, skipped).
+    """
+    count = lambda kind: F.count_if(F.col("type") == kind).alias(f"n_{kind}")
+    counts = nodes.groupBy(group).agg(*map(count, ("module", "class", "function")))
+    read = files.groupBy(group).agg(F.count_if(~F.col("skipped")).alias("analyzed"), F.count_if("skipped").alias("skipped"))
+    out = counts.join(back_edges(imports, group), group, "left").join(read, group, "left")
+    return out.na.fill(0, ["circular", "analyzed", "skipped"])
+
+
+def search_entities(entities: DataFrame, query: Sequence[float] | None, limit: int = 10, project: str | None = None) -> DataFrame:
+    """The entities nearest to query, or, without one, the first by id, unranked."""
+    rows = entities.where(F.col("project_name") == project) if project else entities
+    if query is None:
+        return rows.withColumn("score", F.lit(None).cast("double")).orderBy("id").limit(limit)
+    rows = rows.where(F.size("embedding") > 0).withColumn("score", cosine(F.col("embedding"), literal(query)))
+    return rows.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def feature_flow(entities: DataFrame, edges: DataFrame, feature: str, depth: int = 3, most: int = 50) -> DataFrame:
+    """id, is_seed and degree of the functions and classes around those named after a feature: seeds first, then by calls, most at most."""
+    seeds = cut(entities.where(F.contains(F.lower("entity_name"), F.lit(feature.lower()))).select("id"))
+    near = bfs(edges, seeds, depth, types=("call", "contains"))
+    rows = entities.where(F.col("entity_type").isin("function", "class")).join(near.select("id", "level"), "id")
+    calls = call_degree(edges.where("relationship_type = 'call'"))
+    rows = rows.join(calls, "id", "left").select("id", (F.col("level") == 0).alias("is_seed"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return rows.orderBy(F.desc("is_seed"), F.desc("degree"), "id").limit(most)
+
+
+def visible_graph(nodes: DataFrame, edges: DataFrame, types: Sequence[str], most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(nodes of these types, the first most by id; edges with both ends among them)."""
+    shown = nodes.where(F.col("entity_type").isin(list(types))).orderBy("id").limit(most)
+    return shown, within(edges, shown)
+
+
+def sequence_diagram(calls: DataFrame, most: int = 100) -> DataFrame:
+    """One row, diagram: a sequence diagram of calls (ordinal, source_id, target_id), the first most of them."""
+    name = lambda c: F.regexp_replace(c, "[^0-9A-Za-z_]", "_")
+    first = calls.orderBy("ordinal", "source_id", "target_id").limit(most)
+    lines = F.array_sort(F.collect_list(F.struct("ordinal", "source_id", "target_id")))
+    arrows = F.transform(lines, lambda x: F.concat(F.lit("  "), name(x["source_id"]), F.lit("->>"), name(x["target_id"]), F.lit(": calls")))
+    return first.agg(F.array_join(F.concat(F.array(F.lit("sequenceDiagram")), arrows), "\n").alias("diagram"))
 
 
 def risk(findings: DataFrame, cycles: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "py": "py", "go":
 NOT_CALLS = ("if", "while", "for", "switch", "catch", "then", "return", "throw", "console", "typeof")
 CLASS_COLOUR, FUNCTION_COLOUR, OTHER_COLOUR = "#ffb74d", "#81c784", "#94a3b8"
 
-#: language -> patterns of classes and of functions; the name is the first group.
+# Patterns of classes and of functions by language (the name is the first group), and of imports.
 RULES = {
     "ts": (r"(?:export\s+)?(?:abstract\s+)?class\s+(\w+)", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\("),
     "py": (r"^\s*class\s+(\w+)", r"^\s*def\s+(\w+)\s*\("),

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import blocklist_reason, content_hash, noise_reason
+from ..functions.text import blocklist_reason, content_hash, episode_value, noise_reason
 from ..functions.vector import cosine, literal
 from .filters import keep_first
 from .graph import connected, cut
+from .transcripts import build, classify
 
 LEAST, MOST = 0.05, 0.99
 DAY = 86_400_000_000
@@ -355,23 +356,97 @@ def outcome_memory(outcome: Column, payload: Column) -> tuple[Column, Column]:
     return F.to_json(F.struct(outcome.alias("outcome"), payload.alias("details"))), F.when(outcome == "failure", 10).when(outcome == "success", 5).otherwise(3)
 
 
-def context_block(df: DataFrame, header: str = "## Relevant memories") -> DataFrame:
-    """One row, context: a line for each memory, the highest score first."""
+#: Memories that a context shows at most.
+SHOWN = 100
+
+
+def context_block(df: DataFrame, header: str = "## Relevant memories", most: int = SHOWN) -> DataFrame:
+    """One row, context: a line for each memory, the highest score first, of the best most ones."""
+    df = df.orderBy(F.desc("score"), "id").limit(most)
     line = F.concat(F.lit("- ["), "memory_type", F.lit("] ("), F.format_string("%.2f", F.col("score")), F.lit(") "), "content")
     lines = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("line"))))
     return df.agg(F.concat_ws("\n", F.lit(header), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("context"))
 
 
-def session_context(df: DataFrame, header: str = "# Session context") -> DataFrame:
+def session_context(df: DataFrame, header: str = "# Session context", most: int = SHOWN) -> DataFrame:
+    """One row, context: a paragraph for each memory that isn't blocklisted, of the most important most ones."""
+    df = df.where(blocklist_reason(F.col("content")).isNull()).orderBy(F.desc("importance"), "id").limit(most)
     block = F.concat(F.lit("### "), "memory_type", F.lit(" ("), F.col("importance").cast("int").cast("string"), F.lit(")\n"), "content")
     blocks = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("s"), "id", block.alias("block"))))
-    return df.where(blocklist_reason(F.col("content")).isNull()).agg(F.concat_ws("\n\n", F.lit(header), F.array_join(F.transform(blocks, lambda x: x["block"]), "\n\n")).alias("context"))
+    return df.agg(F.concat_ws("\n\n", F.lit(header), F.array_join(F.transform(blocks, lambda x: x["block"]), "\n\n")).alias("context"))
 
 
 def importance_of(value: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(9), value)), F.lit(5))
 
 
+def valid_scope(scope: Column) -> Column:
+    """Letters, digits, slashes and dashes in lower case, 500 at most; none at all is fine."""
+    return scope.isNull() | (scope == "") | scope.rlike("^[a-z0-9][a-z0-9/-]{0,499}\\z")
+
+
+def valid_list(values: Column, most: int = 100) -> Column:
+    """At most so many texts of at most so many characters; null is fine."""
+    return F.coalesce((F.size(values) <= most) & F.forall(values, lambda x: x.isNotNull() & (F.length(x) <= most)), F.lit(True))
+
+
+def usable_vectors(df: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """One row: how many rows have a vector to compare, and how many are skipped."""
+    has = F.coalesce(F.size(embedding) > 0, F.lit(False))
+    return df.agg(F.count_if(has).alias("usable"), F.count_if(~has).alias("skipped"))
+
+
+def shared_context(key: Column, value: Column, visibility: Column, at: Column) -> dict[str, Column]:
+    """The fields of a memory that shares a value with other agents."""
+    content = F.to_json(F.struct(key.alias("key"), value.alias("value"), visibility.alias("visibility"), at.alias("timestamp")))
+    return {"memory_type": F.lit("A2A_SHARED_CONTEXT"), "content": content, "importance": F.lit(5)}
+
+
+def episodes(df: DataFrame, tenant: str, project: str, event_type: str | None = None, limit: int = 50) -> DataFrame:
+    """A project's episodes, of one type if given, the newest first, and what their data hold."""
+    rows = df.where((F.col("tenant_id") == tenant) & (F.col("project_name") == project))
+    rows = rows.where(F.col("event_type") == event_type) if event_type else rows
+    return rows.orderBy(F.desc("created_at"), "id").limit(limit).withColumn("value", episode_value(F.col("event_data")))
+
+
+def search_concepts(concepts: DataFrame, query: Sequence[float], as_of, limit: int = 10, project: str | None = None, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(the nearest active concepts with score, all concepts after those were marked as accessed)."""
+    rows = concepts.where("status = 'active'")
+    rows = rows.where(F.col("project") == project) if project else rows
+    found = cut(vector_topk(rows, query, max(1, min(limit, most))))
+    ranked = concepts.join(F.broadcast(found), "id").orderBy(F.desc("score"), "id")  # most rows at most
+    return ranked, bump(concepts, found, "access_count", at="last_accessed_at", as_of=as_of)
+
+
+def remove_project(tables: dict[str, DataFrame], project: str, tenant: str) -> dict[str, DataFrame]:
+    """The tables without a project's rows of a tenant; the project is called project or project_name."""
+    out = {}
+    for name, df in tables.items():
+        column = "project_name" if "project_name" in df.columns else "project"
+        out[name] = df.where(~(F.col(column).eqNullSafe(project) & F.col("tenant_id").eqNullSafe(tenant)))
+    return out
+
+
+def write_counts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: how many keys of new an upsert inserts into old, and how many it updates."""
+    both = new.select(*keys).distinct().join(old.select(*keys).distinct().withColumn("_known", F.lit(True)), list(keys), "left")
+    return both.agg(F.count_if(F.col("_known").isNull()).alias("inserted"), F.count_if("_known").alias("updated"))
+
+
+def ingest(stored: DataFrame, turns: DataFrame, tenant: str, as_of) -> tuple[DataFrame, DataFrame]:
+    """(memories after sessions were read, one row of extracted, blocked and saved): extract, gate, merge.
+
+    A session's texts (conv_id, turn, role, text) give drafts of memories; those
+    that pass the noise gate are merged into the stored ones by their key.
+    """
+    drafts = classify(build(turns)).select(F.col("conv_id").cast("string").alias("session_id"), "memory_type", "content", F.col("importance").cast("double").alias("importance"))
+    drafts = drafts.withColumns({"project": F.lit("sessions"), "tenant_id": F.lit(tenant)})
+    drafts = cut(drafts.withColumn("reason", noise_reason(F.col("content"), F.col("memory_type"), F.col("importance"))))
+    made = with_saved_fields(drafts.drop("reason"), as_of).withColumn("created_at", F.lit(as_of).cast("timestamp"))
+    counts = drafts.agg(F.count("*").alias("extracted"), F.count_if(F.col("reason").isNotNull()).alias("blocked"), F.count_if(F.col("reason").isNull()).alias("saved"))
+    return upsert_merge(stored, made.select(*[c for c in stored.columns if c in made.columns])), counts
+
+
 def run_consolidation(memories: DataFrame, as_of, threshold: float = 0.85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memories, concepts, report) after duplicates, concepts, lifecycle and supersession, in this order."""
     gone = greedy_duplicates(memories, threshold)

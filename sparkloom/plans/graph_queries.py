@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, genes, graph
+from ..operators import filters, genes, graph, indexer
 from .frames import EDGES, ENTITIES, NOW, edges, entities, first_vector, memories, read
 
 G = f"n AS ({ENTITIES}), e AS ({EDGES})"
@@ -78,7 +78,7 @@ def priority_truncate(spark, sf_dir):
 
 
 def type_counts(spark, sf_dir):
-    return entities(spark, sf_dir).groupBy(F.col("entity_type").alias("type")).agg(F.count("*").alias("n"))
+    return indexer.type_counts(entities(spark, sf_dir).withColumnRenamed("entity_type", "type"))
 
 
 def system_flow(spark, sf_dir):

@@ -129,7 +129,7 @@ def outcome_memories(spark, sf_dir):
 
 def tag_any(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.array("lang", "source").alias("tags"))
-    return rows.where(F.arrays_overlap("tags", F.array(F.lit("fr"), F.lit("src3")))).select("doc_id")
+    return filters.memory_filters(rows, tags=["fr", "src3"], with_status=False).select("doc_id")
 
 
 def scope_prefix(spark, sf_dir):

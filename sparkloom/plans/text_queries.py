@@ -120,7 +120,7 @@ def rate_limit(spark, sf_dir):
 
 
 def user_activity(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("requests"), F.unix_seconds(F.max("ts").cast("timestamp")).alias("last_s"))
+    return filters.activity(read(spark, sf_dir, "events"))
 
 
 def event_sessions(spark, sf_dir):

@@ -44,13 +44,13 @@ def normalize(df: DataFrame, name: str, defaults: dict | None = None) -> DataFra
 
 
 def ensure_tables(spark: SparkSession, folder: str) -> list[str]:
-    """Writes an empty table, laid out by tenant, for each that isn't in folder yet; returns their names. Safe to repeat."""
+    """Writes an empty table, partitioned by tenant, for each that isn't in folder yet; returns their names. Safe to repeat."""
     jvm = spark.sparkContext._jvm
     made = []
     for name in TABLES:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            spark.createDataFrame([], schema(name)).write.parquet(f"{folder}/{name}")
+            spark.createDataFrame([], schema(name)).write.partitionBy("tenant_id").parquet(f"{folder}/{name}")
             made.append(name)
     return made
 

@@ -12,8 +12,10 @@ from ..functions.text import trim
 
 # What is indexed and what never is.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "py", "go", "php", "phtml", "ctp", "rs", "java", "rb", "swift", "kt")
-EXCLUDED = ("node_modules", ".git", "dist", "out", "build", "__pycache__", ".codeatlas", ".cache", "venv", ".venv")
+EXCLUDED = ("node_modules", ".git", "dist", "out", "build", "__pycache__", ".cache", "venv", ".venv")
 MOST_BYTES = 500_000
+#: The folder that analyses are kept in, beside the code; it is never indexed, and marks a project.
+ANALYSIS_FOLDER = ".analysis"
 
 ANALYSIS = (
     "graph struct<nodes:array<struct<id:string,label:string,type:string,filePath:string,line:long,color:string>>,links:array<struct<source:string,target:string,type:string>>>, insights array<string>, entityCounts map<string,long>, totalFilesAnalyzed long, totalFilesSkipped long"
@@ -66,7 +68,7 @@ def source_tree(spark: SparkSession, folder: str, patterns: Sequence[str] = ())
     root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.substring_index(F.col("path"), f"{root}/", -1)
     rows = files.where((F.col("length") > 0) & (F.col("length") < MOST_BYTES)).select(path.alias("path"), F.col("content").cast("string").alias("content"))
-    return rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, EXCLUDED))) & ~ignored(F.col("path"), patterns))
+    return rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, (*EXCLUDED, ANALYSIS_FOLDER)))) & ~ignored(F.col("path"), patterns))
 
 
 SESSION_FILE = r"/[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\.jsonl$"
@@ -118,8 +120,14 @@ def markdown_genes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_markdown(df: DataFrame, folder: str) -> None:
-    """One part file of Markdown for each gene, below folder/<name>: partitions of a text table, which any store of Spark's takes."""
-    df.select("name", "text").write.partitionBy("name").mode("append").text(folder)
+    """Markdown of each gene below folder/name=<name>: partitions of a text table, which any store of Spark's takes. Names that are there stay as they are."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    rows = df.select("name", "text").dropDuplicates(["name"])
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        known = spark.read.schema("text string, name string").option("wholetext", True).text(folder).select("name")
+        rows = rows.join(known.distinct(), "name", "left_anti")
+    rows.write.partitionBy("name").mode("append").text(folder)
 
 
 def read_analysis(spark: SparkSession, path: str) -> DataFrame:
@@ -163,10 +171,10 @@ def migrate(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFr
     return upsert(target, source.select(*both), keys).select(*target.columns)
 
 
-def project_dirs(listing: DataFrame) -> DataFrame:
+def project_dirs(listing: DataFrame, analysis_folder: str = ANALYSIS_FOLDER) -> DataFrame:
     """name, dir, modified_at of project folders among (dir, child, modified_at): those with .git or an analysis folder, hidden and tool folders left out, the latest first."""
     hidden = F.col("dir").rlike(r"/\.[^/]+(/|$)")
-    rows = listing.where(~hidden).groupBy("dir").agg(F.max(F.col("child").isin(".git", ".codeatlas")).alias("is_project"), F.max("modified_at").alias("modified_at"))
+    rows = listing.where(~hidden).groupBy("dir").agg(F.max(F.col("child").isin(".git", analysis_folder)).alias("is_project"), F.max("modified_at").alias("modified_at"))
     return rows.where("is_project").select(F.regexp_extract("dir", r"([^/]+)/?$", 1).alias("name"), "dir", "modified_at").orderBy(F.desc("modified_at"), "dir")
 
 
