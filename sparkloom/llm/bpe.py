@@ -285,8 +285,10 @@ def encode_decode(documents: DataFrame, tokenizer: str, keep: bool = True) -> Da
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 gc.disable()  # a trie is many small dicts without cycles
-                ids = bpe.encode_batch([t or "" for t in part.column(1).to_pylist()])
-                gc.enable()
+                try:
+                    ids = bpe.encode_batch([t or "" for t in part.column(1).to_pylist()])
+                finally:
+                    gc.enable()
                 decoded = [bpe.decode(x) for x in ids]
                 columns = [
                     part.column(0),

@@ -223,6 +223,20 @@ def test_stages(spark, data):
     assert stage["tokenize"](spark, docs, data).count() == len(every)
 
 
+def test_stages_with_clashing_columns(spark, data):
+    """Columns called what operators use inside come through every stage as they were."""
+    import corpus_pipeline as pipeline
+
+    names = ("_no_text", "redacted", "_s_chars", "_text_hash", "_row", "_words", "_keep_doc_id", "fingerprint", "q", "size", "component_id", "label", "_score", "_hit_id")
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "n_chars").where("doc_id < 60 or doc_id is null")
+    docs = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns, name
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(len(names)))], name
+    assert pipeline.tokenize(spark, docs, data).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def test_pipeline(spark, data, nothing):
     import corpus_pipeline as pipeline
 
