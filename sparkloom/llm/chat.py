@@ -113,4 +113,17 @@ def op2_chat_format(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP2_SQL = None  # formatted_chars depends on the template, so that tests rebuild the rows in Python
+#: A turn is escaped if a backslash stands before a character, or if it holds the closing mark and a newline; each backslash and each mark then takes one character more.
+OP2_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), f AS (
+  SELECT *, 15 + length(role) + length(text) + CASE WHEN regexp_matches(text, '(?s)\\\\.') OR contains(text, '</turn>' || chr(10))
+    THEN length(text) - length(replace(text, '\\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 ELSE 0 END AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

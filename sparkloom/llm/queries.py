@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
-from .chat import op2_chat_format
+from .chat import OP2_SQL, op2_chat_format
 from .decontam import OP1_SQL, op1_decontaminate
-from .jaccard import op10_ngram_join
+from .jaccard import OP10_SQL, op10_ngram_join
 from .langid import op6_language_id
 from .pii import op8_pii
 from .quality import op3_quality_classifier
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_warc": OP9_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op9_warc": OP9_SQL, "op10_ngram_join": OP10_SQL}
