@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, literal
+from .filters import keep_first
 from .graph import cut
 from .memory import bump, clamp
 
@@ -70,9 +71,9 @@ def install_skill(genes: DataFrame, name: str, description: str, prompt: str, ta
 
 
 def upsert_genes(genes: DataFrame, batch: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """(genes, mutations): a gene of known name, project and tenant gets a new version and a mutation row, others are inserted at version 1."""
+    """(genes, mutations): a gene of known name, project and tenant gets a new version and a mutation row, others are inserted at version 1. Of rows of the batch with one key, the first by problem and solution counts."""
     old = genes.select(*GENE_KEY, F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("evolution_score").alias("_score"), F.col("usage_count").alias("_usage"), F.col("created_at").alias("_created"))
-    both = batch.dropDuplicates(list(GENE_KEY)).join(old, list(GENE_KEY), "left")
+    both = keep_first(batch, GENE_KEY, "problem", "solution").join(old, list(GENE_KEY), "left")
     known = F.col("_id").isNotNull()
     now = F.lit(as_of).cast("timestamp")
     made = both.withColumns(

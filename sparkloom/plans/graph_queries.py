@@ -227,4 +227,15 @@ SQL = {
  round(CAST(CASE outcome WHEN 'success' THEN (0.5 * usage_count + 1) / (usage_count + 1) WHEN 'failure' THEN 0.5 * usage_count / greatest(1, usage_count + 1) ELSE 0.5 END AS DOUBLE), 6) AS success_rate, CAST(1 + CASE WHEN outcome IS NULL THEN 0 ELSE 1 END AS BIGINT) AS version FROM o""",
     "gene_retire": f"WITH {GENES} SELECT count(*) AS retired FROM g WHERE category = 'lesson' AND status <> 'retired'",
     "gene_merge": f"WITH {GENES} SELECT round(avg(confidence), 6) AS confidence, sha256(string_agg(problem, chr(10) || chr(10) ORDER BY id)) AS problem_sha, count(*) AS n FROM g WHERE status = 'active' AND category = 'pattern'",
+    "gene_split": f"""WITH {GENES}, c AS (SELECT g.*, 1 + vec_id % 7 AS n, unnest([0, 1, 2]) AS i FROM g), p AS (SELECT *, i * n // 3 AS a, (i + 1) * n // 3 AS b FROM c)
+ SELECT ['a', 'b', 'c'][i + 1] AS name, CASE WHEN b > a THEN array_to_string(list_transform(range(a + 1, b + 1), lambda x: 'line' || x), chr(10)) ELSE 'Split from ' || name END AS solution, count(*) AS n, round(sum(round(0.8 * confidence, 6)), 4) AS confidence FROM p GROUP BY ALL""",
+    "gene_upsert": f"""WITH {GENES}, k AS (SELECT DISTINCT name, project FROM g), b AS (SELECT DISTINCT name || CASE WHEN usage_count = 0 THEN 'x' ELSE '' END AS name, project FROM g WHERE category = 'immune'),
+ u AS (SELECT project, name IN (SELECT name FROM k WHERE k.project = b.project) AS known FROM b), o AS (SELECT project, 1 AS version, 0 AS evolution_score FROM k WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.name = k.name AND b.project = k.project)
+ UNION ALL SELECT project, CASE WHEN known THEN 2 ELSE 1 END, CASE WHEN known THEN 1 ELSE 0 END FROM u) SELECT project, CAST(version AS BIGINT) AS version, CAST(evolution_score AS BIGINT) AS evolution_score, count(*) AS n FROM o GROUP BY ALL""",
+    "gene_extract": """WITH d AS (SELECT doc_id, doc_id % 3 AS k, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+ f AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: contains(lower(x), 'problem') OR starts_with(x, 'Task:')), true), 0) AS p, coalesce(list_position(list_transform(l, lambda x: contains(lower(x), 'solution') OR contains(lower(x), 'fix') OR starts_with(x, 'Learnings:')), true), 0) AS s FROM d)
+ SELECT doc_id AS source_id, sha256(coalesce(nullif(substr(trim(l[1]), 1, 80), ''), 'Untitled Gene')) AS name_sha, sha256(CASE WHEN p > 0 THEN array_to_string(l[p:p + 2], chr(10)) ELSE substr(t, 1, 200) END) AS problem_sha,
+ sha256(CASE WHEN s > 0 THEN array_to_string(l[s:s + 4], chr(10)) ELSE substr(t, 1, 300) END) AS solution_sha, CASE k WHEN 0 THEN 'immune' WHEN 1 THEN 'pattern' ELSE 'lesson' END AS category FROM f""",
+    "gene_inherit": f"""WITH {GENES}, k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY name, project ORDER BY vec_id) = 1), f AS (SELECT k.* FROM k, q WHERE status = 'active' ORDER BY {GCOS.replace("g.", "k.")} DESC, id LIMIT 12)
+ SELECT name, round(arg_min(greatest(0.05, least(0.99, 0.9 * confidence)), problem), 6) AS confidence FROM f GROUP BY name""",
 }

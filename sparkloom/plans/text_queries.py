@@ -58,13 +58,22 @@ def call_extract(spark, sf_dir):
 
 
 def index_nodes(spark, sf_dir):
-    """Modules, classes and functions of snippets in four languages, a few for each page."""
-    body = F.when(F.col("page_id") % 4 == 0, "export class A {}\nasync function go(x) { if (x) run(x) }\nimport { b } from './b'").when(F.col("page_id") % 4 == 1, "class B:\n  def __init__(self): pass\n  def run (self): pass\nfrom .c import d").when(F.col("page_id") % 4 == 2, "type T struct {\nfunc (t *T) Run() {\nfunc hidden() {").otherwise("abstract CLASS P {\n  public FUNCTION q() {}")
+    """Definitions by line, and links by kind, of whole pages that are read as four languages, each with some code behind."""
+    code = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("page_id") % 4 + 1).cast("int"))
     path = F.concat(F.lit("src/m"), F.col("page_id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("ts", "py", "go", "php"))), (F.col("page_id") % 4 + 1).cast("int")))
-    nodes, links = indexer.index(read(spark, sf_dir, "pages").select(path.alias("path"), body.alias("content")))
-    a = nodes.groupBy("type", "label", "line").agg(F.count("*").alias("n")).where("type <> 'module'")
-    b = links.where("type <> 'contains'").groupBy("type", F.regexp_replace("target", "^.*m[0-9]+[.a-z]*:", "").alias("label")).agg(F.count("*").alias("n"))
-    return a.unionByName(b.withColumn("line", F.lit(0)))
+    nodes, links = indexer.index(read(spark, sf_dir, "pages").select(path.alias("path"), F.concat(F.coalesce("html", F.lit("")), F.lit("\n"), code).alias("content")))
+    a = nodes.where("type <> 'module'").groupBy("type", "label", "line").agg(F.count("*").alias("n"))
+    b = links.groupBy("type").agg(F.count("*").alias("n")).select("type", F.lit("").alias("label"), F.lit(0).alias("line"), "n")
+    return a.unionByName(b)
+
+
+#: Code in TypeScript, Python, Go and PHP.
+SNIPPETS = (
+    "export class A {}\nasync function go(x) { if (x) run(x) }\nimport { b } from './b'",
+    "class B:\n  def __init__(self): pass\n  def run (self): pass\nfrom .c import d",
+    "type T struct {\nfunc (t *T) Run() {\nfunc hidden() {",
+    "abstract CLASS P {\n  public FUNCTION q() {}",
+)
 
 
 def episodic_decode(spark, sf_dir):
@@ -155,6 +164,44 @@ QUERIES = {f.__name__: f for f in (
     agent_staleness, agent_counts, merged_agents, rate_limit, user_activity, event_sessions, cron_runs, task_machine, latest_event,
 )}
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_LINES = f"""f AS (SELECT page_id % 4 AS k, coalesce(html, '') || chr(10) || CASE page_id % 4 {" ".join(f"WHEN {i} THEN {_quoted(x)}" for i, x in enumerate(SNIPPETS))} END AS content FROM pages),
+ l AS (SELECT k, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM f)"""
+
+
+def _rule(n: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN regexp_extract(x, {_quoted(indexer.RULES[name][n])}, 1)" for i, name in enumerate(("ts", "py", "go", "php")))
+    return f"CASE k {cases} END"
+
+
+_CALL_NAMES = "('" + "', '".join(indexer.NOT_CALLS) + "')"
+_INDEX_SQL = f"""WITH {_LINES}, d AS (SELECT k, line, 'class' AS type, {_rule(0)} AS label FROM l UNION ALL SELECT k, line, 'function', {_rule(1)} FROM l),
+ g AS (SELECT type, label, line FROM d WHERE label <> '' AND NOT (type = 'function' AND k = 1 AND label = '__init__') AND NOT (type = 'function' AND k = 2 AND NOT regexp_matches(label, '^[A-Z]'))),
+ c AS (SELECT unnest(regexp_extract_all(x, '(\\w+)\\(', 1)) AS name FROM l WHERE k = 0),
+ i AS (SELECT k, CASE WHEN k = 0 THEN coalesce(nullif(regexp_extract(x, {_quoted(indexer.TS_IMPORT)}, 1), ''), regexp_extract(x, {_quoted(indexer.TS_IMPORT)}, 2))
+ WHEN k = 1 THEN coalesce(nullif(regexp_extract(x, {_quoted(indexer.PY_IMPORT)}, 1), ''), trim(split_part(regexp_extract(x, {_quoted(indexer.PY_IMPORT)}, 2), ',', 1))) ELSE '' END AS goal FROM l)
+ SELECT type, label, CAST(line AS INTEGER) AS line, count(*) AS n FROM g GROUP BY ALL UNION ALL SELECT 'contains', '', 0, count(*) FROM g UNION ALL SELECT 'call', '', 0, count(*) FROM c WHERE name NOT IN {_CALL_NAMES}
+ UNION ALL SELECT 'import', '', 0, count(*) FROM i WHERE starts_with(goal, '.') OR (k = 0 AND starts_with(goal, '/'))"""
+
+_TRIM = "regexp_replace(regexp_replace({}, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '')"
+_SWAP = "text"
+for _a, _b in {"the": "error", "des": "prefer", "der": "always"}.items():
+    _SWAP = f"array_to_string(list_transform(regexp_split_to_array({_SWAP}, '(?i)\\b{_a}\\b'), lambda x: x), '{_b}')"
+_MET = lambda pattern: f"regexp_matches(s, '{pattern}')"
+_TRANSCRIPT_SQL = f"""WITH c AS (SELECT conv_id, turn, upper(role) AS role, coalesce({_SWAP}, '') AS text FROM conversations WHERE role IN ('user', 'assistant')),
+ t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS segment, role, {_TRIM.format("text")} AS body FROM c),
+ p AS (SELECT conv_id, segment, role, unnest(regexp_split_to_array(body, '[.!?]+')) AS x, generate_subscripts(regexp_split_to_array(body, '[.!?]+'), 1) AS place FROM t WHERE length(body) >= 30),
+ q AS (SELECT *, {_TRIM.format("x")} AS sentence FROM p), l AS (SELECT *, lower(sentence) AS s FROM q WHERE length(sentence) > 30),
+ k AS (SELECT *, CASE WHEN {_MET(transcripts.MISTAKE)} THEN 'MISTAKE' WHEN {_MET(transcripts.PREFERENCE)} THEN 'PREFERENCE' WHEN {_MET(transcripts.PATTERN)} THEN 'PATTERN' WHEN {_MET(transcripts.FIX)} THEN 'KNOWLEDGE'
+ WHEN role = 'ASSISTANT' AND length(s) > 120 AND {_MET(transcripts.ENGINEERING)} THEN 'KNOWLEDGE' END AS memory_type FROM l),
+ i AS (SELECT *, CASE WHEN memory_type = 'MISTAKE' THEN CASE WHEN {_MET(transcripts.GRAVE)} THEN 8 ELSE 6 END WHEN memory_type IN ('PREFERENCE', 'PATTERN') THEN 6 WHEN {_MET(transcripts.FIX)} THEN 5 ELSE 4 END AS importance, substr(sentence, 1, 300) AS content
+ FROM k WHERE memory_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, substr(s, 1, 60) ORDER BY segment, place) = 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY importance DESC, segment, place) AS rank FROM i QUALIFY rank <= 10)
+ SELECT conv_id, CAST(rank AS INTEGER) AS rank, memory_type, CAST(importance AS INTEGER) AS importance, sha256(content) AS content_sha FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, memory_type, substr(content, 1, 40) ORDER BY rank) = 1"""
+
 _STALE = "SELECT user_id AS agent_id, CASE WHEN epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(max(ts)) > 86400 THEN 'offline' ELSE 'online' END AS status FROM events GROUP BY user_id"
 
 SQL = {
@@ -182,4 +229,17 @@ SQL = {
  b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started_s, count(*) AS n FROM b GROUP BY user_id, s""",
     "cron_runs": "SELECT CAST(epoch(TIMESTAMP '2024-01-01 02:30:00' + to_days(CAST(d AS INTEGER))) AS BIGINT) AS run_s FROM range(31) t(d) WHERE dayofweek(DATE '2024-01-01' + CAST(d AS INTEGER)) = 1",
     "latest_event": "SELECT max(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+ r AS (SELECT user_id, event_id, n, [ms] AS kept, true AS accepted FROM e WHERE n = 1 UNION ALL
+ SELECT e.user_id, e.event_id, e.n, CASE WHEN len(list_filter(r.kept, lambda x: e.ms - x < 86400000)) < 2 THEN list_append(list_filter(r.kept, lambda x: e.ms - x < 86400000), e.ms) ELSE list_filter(r.kept, lambda x: e.ms - x < 86400000) END,
+ len(list_filter(r.kept, lambda x: e.ms - x < 86400000)) < 2 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, event_id, accepted FROM r""",
+    "task_machine": """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ s AS (SELECT task_id, n, ['created', 'assigned', 'implemented', 'fixes_needed', 'implemented', 'approved'][(n - 1) % 6 + 1] AS goal FROM e),
+ r AS (SELECT task_id, 1 AS n, 'created' AS state, 1 AS steps, 0 AS rejected FROM s WHERE n = 1 UNION ALL
+ SELECT task_id, n + 1, CASE WHEN ok THEN goal ELSE state END, steps + CASE WHEN ok THEN 1 ELSE 0 END, rejected + CASE WHEN ok THEN 0 ELSE 1 END
+ FROM (SELECT r.*, goal, (state = 'created' AND goal = 'assigned') OR (state = 'assigned' AND goal = 'implemented') OR (state = 'implemented' AND goal IN ('fixes_needed', 'approved')) OR (state = 'fixes_needed' AND goal = 'implemented') AS ok
+ FROM r JOIN s ON s.task_id = r.task_id AND s.n = r.n + 1))
+ SELECT task_id, arg_max(state, n) AS state, CAST(arg_max(steps, n) AS INTEGER) AS steps, CAST(arg_max(rejected, n) AS BIGINT) AS rejected FROM r GROUP BY task_id""",
+    "index_nodes": _INDEX_SQL,
+    "transcript_memories": _TRANSCRIPT_SQL,
 }
