@@ -317,6 +317,11 @@ def flow_edges(spark, sf_dir):
     return graph.system_flow(entities(spark, sf_dir), links, "modules-only", most=80)[1].select("source_id", "target_id")
 
 
+def flow_scope(spark, sf_dir):
+    links = read(spark, sf_dir, "lineitem").selectExpr("concat('part:', cast(l_partkey AS string)) AS source_id", "concat('part:', cast(l_suppkey AS string)) AS target_id", "'call' AS relationship_type")
+    return graph.system_flow(entities(spark, sf_dir), links, "feature", "brand#13/7.", most=60)[0].select("id", "entity_type")
+
+
 def call_sequence(spark, sf_dir):
     calls = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS ordinal", "concat('p-', cast(l_partkey AS string)) AS source_id", "concat('s-', cast(l_suppkey AS string)) AS target_id")
     return graph.sequence_diagram(calls, 60)
@@ -386,7 +391,7 @@ QUERIES = {f.__name__: f for f in (
     episodes, entity_search, entity_list, concept_search, concept_access, gene_usage, gene_ranking, gene_page, skill_search, gene_by_name, skill_update, skill_install, skill_texts, immune_genes, immune_text, remaining_rows, written_rows,
     skipped_vectors, shared_contexts, field_checks, saved_memories, ingest_counts, ingest_memories, inject_gate, inject_gate_after, memory_ids, tag_filter, name_contains, path_search, vendor_paths, task_list, agent_discovery, tool_list,
     category_list, user_requests, truncation, project_list, project_lookup, inserted_absent, tenant_change, field_update, migrated, dangling_edges, normalized_rows, smell_counts, persisted_nodes, persisted_edges, flow_of_feature,
-    visible_links, flow_chart, flow_edges, call_sequence, analysis_stats, project_summary, entity_types, context_text, session_text, concept_drafts, consolidation, hashed_vectors, reported_staleness, bound_query, unread_sessions,
+    visible_links, flow_chart, flow_edges, flow_scope, call_sequence, analysis_stats, project_summary, entity_types, context_text, session_text, concept_drafts, consolidation, hashed_vectors, reported_staleness, bound_query, unread_sessions,
 )}
 
 _PR = "n.entity_type IN ('module') AND"
@@ -403,6 +408,12 @@ def _saved_sql() -> str:
  round(CAST(0.50 + CASE WHEN d.doc_id % 10 >= 9 THEN 0.25 WHEN d.doc_id % 10 >= 7 THEN 0.15 WHEN d.doc_id % 10 <= 3 THEN -0.15 ELSE 0 END AS DOUBLE), 6) AS confidence FROM documents d JOIN ({gate}) r ON r.doc_id = d.doc_id WHERE r.reason IS NULL"""
 
 
+def _after_gate() -> str:
+    from .memory_queries import RERANK
+
+    return f"WITH {MEM}, {Q}, f AS (SELECT id FROM m, q ORDER BY {RERANK} DESC, id LIMIT 40) SELECT id FROM f WHERE id % 4 <> 0"
+
+
 def _steps_sql() -> str:
     from .graph_queries import STEPS
 
@@ -439,6 +450,7 @@ SQL = {
  SELECT page_id, regexp_matches(scope, '^[a-z0-9][a-z0-9/-]{0,499}$') AS scope_ok, len(tags) <= 100 AND len(list_filter(tags, lambda x: length(x) > 100)) = 0 AS tags_ok, greatest(1, least(9, page_id % 12)) AS importance FROM p""",
     "saved_memories": _saved_sql(),
     "inject_gate": f"WITH {MEM} SELECT id, memory_type FROM m WHERE id % 4 <> 0 ORDER BY created_s DESC, id LIMIT 40",
+    "inject_gate_after": _after_gate(),
     "memory_ids": f"WITH {MEM} SELECT id, project FROM m WHERE (status IS NULL OR status IN ('active', 'superseded')) AND id IN (SELECT n_nationkey * 3 FROM nation)",
     "tag_filter": "SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3'",
     "name_contains": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 're')",
@@ -472,6 +484,8 @@ SQL = {
  l AS (SELECT '  ' || regexp_replace(source_id, '[^0-9A-Za-z_]', '_', 'g') || ' -->|call| ' || regexp_replace(target_id, '[^0-9A-Za-z_]', '_', 'g') AS x FROM e WHERE source_id IN (SELECT id FROM v) AND target_id IN (SELECT id FROM v))
  SELECT concat_ws(chr(10), 'flowchart TD', (SELECT string_agg(x, chr(10) ORDER BY x) FROM k), (SELECT string_agg(x, chr(10) ORDER BY x) FROM l)) AS diagram""",
     "flow_edges": f"WITH n AS ({ENTITIES}), v AS (SELECT id FROM n WHERE entity_type = 'module' ORDER BY id LIMIT 80), e AS ({_LINKS}) SELECT source_id, target_id FROM e WHERE source_id IN (SELECT id FROM v) AND target_id IN (SELECT id FROM v)",
+    "flow_scope": f"""WITH n AS ({ENTITIES}), e AS ({_LINKS}), f AS (SELECT id FROM n WHERE contains(lower(entity_name), 'brand#13/7.') OR contains(lower(file_path), 'brand#13/7.')),
+ x AS (SELECT id FROM f UNION SELECT target_id FROM e WHERE source_id IN (SELECT id FROM f) UNION SELECT source_id FROM e WHERE target_id IN (SELECT id FROM f)) SELECT id, entity_type FROM n WHERE id IN (SELECT id FROM x) ORDER BY {_ORDER} LIMIT 60""",
     "call_sequence": """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS o, 'p_' || l_partkey AS s, 's_' || l_suppkey AS t FROM lineitem ORDER BY o, s, t LIMIT 60) SELECT 'sequenceDiagram' || chr(10) || string_agg('  ' || s || '->>' || t || ': calls', chr(10) ORDER BY o, s, t) AS diagram FROM c""",
     "analysis_stats": """WITH a AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey END AS em, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey + 1 END AS ef, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 10 END AS sf,
  CASE WHEN n_nationkey % 2 = 0 THEN 7 END AS sfn, CASE WHEN n_nationkey % 2 = 0 THEN 3 END AS sc, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey * 100 END AS t FROM nation)

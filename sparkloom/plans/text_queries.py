@@ -91,12 +91,12 @@ def tag_lists(spark, sf_dir):
 
 
 def tool_requests(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"tool":"t'), F.col("event_id").cast("string"), F.lit('"}'))).when(F.col("event_id") % 3 == 1, F.concat("event_type", F.lit(" now"))).otherwise("  ").alias("s"))
-    return rows.select("event_id", tool_request(F.col("s"))["tool"].alias("tool"))
+    rows = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"tool":"t'), F.col("event_id").cast("string"), F.lit('","params":{"n":'), F.col("event_id").cast("string"), F.lit("}}"))).when(F.col("event_id") % 3 == 1, F.concat("event_type", F.lit(" now"))).otherwise("  ").alias("s"))
+    return rows.select("event_id", tool_request(F.col("s"))["tool"].alias("tool"), tool_request(F.col("s"))["params"].alias("params"))
 
 
 def capped_texts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.length(capped_json(F.col("text"))).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(capped_json(F.col("text")), 256).alias("text_sha"))
 
 
 def vendor_filter(spark, sf_dir):
@@ -217,8 +217,8 @@ SQL = {
     "episodic_decode": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'v' || event_id WHEN 1 THEN '{broken' ELSE props END AS value FROM events",
     "slugs": "SELECT page_id, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64) AS slug FROM pages",
     "tag_lists": "SELECT doc_id, lang || '|' || source AS tags FROM documents",
-    "tool_requests": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 't' || event_id WHEN 1 THEN event_type ELSE 'default' END AS tool FROM events",
-    "capped_texts": "SELECT doc_id, CASE WHEN length(text) > 10000 THEN 10016 ELSE length(text) END AS n FROM documents",
+    "tool_requests": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 't' || event_id WHEN 1 THEN event_type ELSE 'default' END AS tool, CASE event_id % 3 WHEN 0 THEN '{"n":' || event_id || '}' ELSE '{}' END AS params FROM events""",
+    "capped_texts": "SELECT doc_id, sha256(CASE WHEN length(text) > 10000 THEN substr(text, 1, 10000) || chr(10) || '... (truncated)' ELSE text END) AS text_sha FROM documents",
     "vendor_filter": "SELECT page_id FROM pages WHERE page_id % 4 = 3",
     "index_coverage": "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 5 + n_nationkey % 3 = 0 THEN 100 ELSE round(100.0 * (n_nationkey % 5) / (n_nationkey % 5 + n_nationkey % 3)) END AS INTEGER) AS percent FROM nation",
     "agent_staleness": _STALE,

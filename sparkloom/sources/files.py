@@ -125,7 +125,7 @@ def write_markdown(df: DataFrame, folder: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     rows = df.select("name", "text").dropDuplicates(["name"])
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        known = spark.read.schema("text string, name string").option("wholetext", True).text(folder).select("name")
+        known = spark.read.schema("text string, name string").text(folder, wholetext=True).select("name")
         rows = rows.join(known.distinct(), "name", "left_anti")
     rows.write.partitionBy("name").mode("append").text(folder)
 
