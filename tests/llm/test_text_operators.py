@@ -212,6 +212,33 @@ def test_quality_on_odd_rows(spark, data, texts):
     assert [r["held_out"] for r in got if r["doc_id"] is None] == [False, False]
 
 
+def test_score_against_plain_python(spark, data, texts):
+    import math
+    import unicodedata
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    bounds = {"chars": 500, "upper": 0.02, "digits": 0.01, "stops": 0.015, "calls": 0.002, "signs": 0.01, "bars": 0.001, "breaks": 0.005, "words": 80, "distinct": 0.6, "same_as_next": 0.01, "word_length": 6.0}
+    own = tuple(quality.Rule(((name, i % 2 == 0, float(at)),), 2.0**-i) for i, (name, at) in enumerate(bounds.items()))  # each weight shows in the sum
+    model = quality.RuleEnsemble(model.intercept / 4, model.rules + own)
+
+    def score(text):
+        n = max(len(text), 1)
+        words = re.split("[ \t\n\x0b\f\r]+", text)
+        share = lambda wanted: sum(map(wanted, text)) / n
+        values = {
+            "chars": len(text), "upper": share(lambda c: unicodedata.category(c) == "Lu"), "digits": share(lambda c: c in "0123456789"), "stops": share(lambda c: c in ".,"), "calls": share(lambda c: c in "!?"),
+            "signs": share(lambda c: c in "#$%&*+=<>|{}[]\\^~@_/"), "bars": share(lambda c: c == "|"), "breaks": share(lambda c: c == "\n"), "words": len(words), "distinct": len(set(words)) / len(words),
+            "same_as_next": sum(a == b for a, b in zip(words, words[1:])) / len(words), "word_length": len(text) / len(words),
+        }
+        fires = lambda r: all(values[name] <= at if below else values[name] > at for name, below, at in r.terms)
+        return 1 / (1 + math.exp(-model.intercept - sum(r.weight for r in model.rules if fires(r))))
+
+    got = {r["_row"]: r["score"] for r in quality.score_quality(docs.withColumn("_row", F.monotonically_increasing_id()), model, "_row").collect()}
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).collect()
+    assert len(numbered) == len(texts) and all(got[r["_row"]] == pytest.approx(score(r["text"] or ""), abs=1e-9) for r in numbered)
+
+
 def test_rules_from_trees():
     debug = "  Tree 0 (weight 1.0):\n    If (feature 0 <= 5.0)\n     If (feature 1 > 0.25)\n      Predict: 1.0\n     Else (feature 1 <= 0.25)\n      Predict: 0.0\n    Else (feature 0 > 5.0)\n     Predict: 0.0\n"
     assert quality.tree_rules(debug, ("a", "b")) == {(("a", True, 5.0),), (("a", True, 5.0), ("b", False, 0.25)), (("a", True, 5.0), ("b", True, 0.25)), (("a", False, 5.0),)}
