@@ -157,6 +157,11 @@ SQL = {
  FROM m a JOIN m b ON a.id < b.id) WHERE s > 0.35""",
     "supersede": f"""WITH {MEM}, l AS (SELECT * FROM m WHERE coalesce(status, 'active') = 'active') SELECT a.id, min(b.id) AS superseded_by FROM l a JOIN l b ON a.tenant_id = b.tenant_id AND a.project = b.project AND a.id < b.id
  AND b.confidence > a.confidence AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.30 GROUP BY a.id""",
+    "greedy_dedup": f"""WITH RECURSIVE {MEM}, p AS (SELECT a.tenant_id AS t, a.id AS x, b.id AS y, a.importance < b.importance AS later_weighs, row_number() OVER (PARTITION BY a.tenant_id ORDER BY a.created_s, a.id, b.created_s, b.id) AS n FROM m a JOIN m b
+ ON a.tenant_id = b.tenant_id AND a.id < b.id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.30),
+ r AS (SELECT DISTINCT t, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS gone FROM p UNION ALL
+ SELECT r.t, p.n, CASE WHEN list_contains(gone, x) OR list_contains(gone, y) THEN gone ELSE list_append(gone, CASE WHEN later_weighs THEN x ELSE y END) END FROM r JOIN p ON p.t = r.t AND p.n = r.n + 1)
+ SELECT unnest(arg_max(gone, n)) AS id FROM r GROUP BY t""",
     "cosine_guard": f"WITH {Q} SELECT vec_id, CASE WHEN vec_id % 5 < 3 THEN 0.0::DOUBLE ELSE round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 6) END AS similarity FROM embeddings, q",
     "vector_parse": "SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 2 THEN 2 ELSE 0 END AS BIGINT) AS n FROM embeddings",
     "content_hash_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",

@@ -408,6 +408,19 @@ def _saved_sql() -> str:
  round(CAST(0.50 + CASE WHEN d.doc_id % 10 >= 9 THEN 0.25 WHEN d.doc_id % 10 >= 7 THEN 0.15 WHEN d.doc_id % 10 <= 3 THEN -0.15 ELSE 0 END AS DOUBLE), 6) AS confidence FROM documents d JOIN ({gate}) r ON r.doc_id = d.doc_id WHERE r.reason IS NULL"""
 
 
+def _ingest_sql(select: str) -> str:
+    """The drafts from transcripts, then the gate, put together from the SQL of both."""
+    from .memory_queries import SQL as MEMORY_SQL
+    from .text_queries import _SWAP, SQL as TEXT_SQL
+
+    drafts = TEXT_SQL["transcript_memories"].replace(f"coalesce({_SWAP}, '')", "coalesce(text || ' This is a bug that was found in the build of ' || conv_id || '.', '')").replace("sha256(content) AS content_sha", "content")
+    gate = MEMORY_SQL["noise_gate"]
+    words, reason = gate[gate.index(" w AS (") :].split("\n SELECT doc_id, CASE", 1)
+    trimmed = "regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')"
+    return f"""WITH x AS MATERIALIZED ({drafts}), d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, rank) AS doc_id, content, {trimmed} AS text, memory_type, importance FROM x),
+{words}, g AS (SELECT doc_id, CASE{reason}) SELECT {select}"""
+
+
 def _after_gate() -> str:
     from .memory_queries import RERANK
 
@@ -449,6 +462,8 @@ SQL = {
     "field_checks": """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS scope, string_split(html, ' ') AS tags FROM pages)
  SELECT page_id, regexp_matches(scope, '^[a-z0-9][a-z0-9/-]{0,499}$') AS scope_ok, len(tags) <= 100 AND len(list_filter(tags, lambda x: length(x) > 100)) = 0 AS tags_ok, greatest(1, least(9, page_id % 12)) AS importance FROM p""",
     "saved_memories": _saved_sql(),
+    "ingest_counts": _ingest_sql("count(*) AS extracted, count(reason) AS blocked, count(*) - count(reason) AS saved FROM g"),
+    "ingest_memories": _ingest_sql("memory_type, count(DISTINCT content) AS n, count(*) AS evidence FROM d JOIN g USING (doc_id) WHERE reason IS NULL GROUP BY memory_type"),
     "inject_gate": f"WITH {MEM} SELECT id, memory_type FROM m WHERE id % 4 <> 0 ORDER BY created_s DESC, id LIMIT 40",
     "inject_gate_after": _after_gate(),
     "memory_ids": f"WITH {MEM} SELECT id, project FROM m WHERE (status IS NULL OR status IN ('active', 'superseded')) AND id IN (SELECT n_nationkey * 3 FROM nation)",
