@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -77,11 +78,35 @@ def ascii_lower(column):
 KEPT_IN_WORKER: dict[str, dict] = {}
 
 
-def worker_of(owner: str) -> None:
-    """Lets go of what other operators have kept in this worker; workers outlive a query's steps, and their memory counts together."""
-    others = [kept for name, kept in KEPT_IN_WORKER.items() if name != owner and kept]
-    for kept in others:
-        kept.clear()
-    if others:
-        gc.collect()
+def _give_back() -> None:
+    """Returns freed memory to the system: Arrow's, and what the C library holds between live blocks."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def in_worker(owner: str):
+    """For functions over batches: lets go of what other operators have kept in this worker, and gives memory back after the task.
+
+    Workers outlive a query's steps, and an executor's memory is the sum of its
+    workers', idle ones included.
+    """
+
+    def wrap(run):
+        def wrapped(batches):
+            others = [kept for name, kept in KEPT_IN_WORKER.items() if name != owner and kept]
+            for kept in others:
+                kept.clear()
+            if others:
+                gc.collect()
+                _give_back()
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+        return wrapped
+
+    return wrap

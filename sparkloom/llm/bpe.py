@@ -24,7 +24,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import KEPT_IN_WORKER, worker_of
+from ._shared import KEPT_IN_WORKER, in_worker
 
 #: How byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -278,8 +278,8 @@ def encode_decode(documents: DataFrame, tokenizer: str, keep: bool = True) -> Da
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @in_worker("bpe")
     def run(batches):
-        worker_of("bpe")
         bpe = load(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

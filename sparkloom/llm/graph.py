@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, written
+from ._shared import discard, in_worker, written
 
 #: Rounds after which something is wrong: each round at least halves the longest path, roughly.
 ROUNDS = 60
@@ -32,6 +32,7 @@ def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             low = further
 
 
+@in_worker("hashes")
 def _at_once(batches):
     u, v = [], []
     for batch in batches:

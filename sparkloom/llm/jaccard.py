@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import KEPT_IN_WORKER, join_counted, worker_of, written
+from ._shared import KEPT_IN_WORKER, discard, in_worker, join_counted, written
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -40,11 +40,11 @@ SHINGLE, THRESHOLD = 5, 80
 FREQUENT, FREQUENT_MOST = 1, 1 << 18
 #: Groups that an element may have for their pairs to be looked at; those of other elements are chained.
 PAIRED = 8
-#: Elements that a task counts at a time (16 MB).
-COUNTED = 2 << 20
+#: Elements that a task counts at a time (8 MB).
+COUNTED = 1 << 20
 #: Members, and elements of their sets, that one task compares in a component; members and elements of a block of larger ones.
-TOGETHER, TOGETHER_ELEMENTS = 1_500, 1_500_000
-BLOCK, BLOCK_ELEMENTS = 1_000, 1_000_000
+TOGETHER, TOGETHER_ELEMENTS = 1_500, 750_000
+BLOCK, BLOCK_ELEMENTS = 1_000, 500_000
 
 BASE = 0x9E3779B97F4A7C15
 SLICE = 1 << 20
@@ -143,8 +143,8 @@ def _frequent(documents: DataFrame, threshold: int) -> np.ndarray:
     a few hundred rows comes to the driver, and then a list of bounded length.
     """
 
+    @in_worker("hashes")
     def stretch(batches):
-        worker_of("hashes")
         held, size = [], 0
 
         def twice():
@@ -170,9 +170,9 @@ def _frequent(documents: DataFrame, threshold: int) -> np.ndarray:
         if room < 0:
             break
         least = r["step"]
-    if least is None:
-        return np.zeros(0, np.uint64)
-    return np.sort(counts.where(F.col("step") >= least).select("e").toPandas()["e"].to_numpy(np.int64).view(np.uint64))
+    found = np.zeros(0, np.int64) if least is None else counts.where(F.col("step") >= least).select("e").toPandas()["e"].to_numpy(np.int64)
+    discard(counts)
+    return np.sort(found.view(np.uint64))
 
 
 SETS = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, last_often boolean, last long, prefix array<long>"
@@ -189,8 +189,8 @@ def shingle_sets(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(_frequent(documents, threshold))
 
+    @in_worker("hashes")
     def run(batches):
-        worker_of("hashes")
         frequent = shared.value
         for batch in batches:
             rows = []
@@ -265,6 +265,7 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     single = groups.where("members = 1").select(F.col("g").alias("doc_id"), "n", "g", "members")
     named = join_counted(one.select("doc_id", "n", "p1", "p2"), groups.where("members > 1"), ["n", "p1", "p2"], "members").select("doc_id", "n", "g", "members")
     named = written(named.unionByName(single), "named")
+    discard(groups)
     heads = sets.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix")).select("g", "n", F.posexplode("prefix").alias("i", "e"))
     # of two sets whose first common element is at i and j, each can only link with sizes up to its own largest: what comes before i has no partner
     heads = heads.select("e", "g", "n", F.floor(((100 + threshold) * (F.col("n") - F.col("i")) - threshold * F.col("n")) / threshold).alias("largest"))
@@ -279,6 +280,7 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     many = frequent.groupBy("g").agg(F.count("*").alias("many"))
     edges = _possible(pairs, many, sets, threshold).select("a", "b").unionByName(_chains(frequent, threshold))
     comps = components(edges)
+    discard(heads, counts, shared)
     joined = named.join(comps, F.col("g") == F.col("node"), "left")
     return joined.where(F.col("component").isNotNull() | (F.col("members") > 1)).select("doc_id", "n", F.coalesce("component", "g").alias("comp"))
 
@@ -286,6 +288,7 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
 def _packed(documents: DataFrame) -> DataFrame:
     """doc_id and z: texts compressed, for the shuffles."""
 
+    @in_worker("hashes")
     def run(batches):
         import zstandard
 
@@ -380,8 +383,8 @@ def _link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _verify_runs(threshold: int):
     """Over rows of key, doc_id, z, side, sorted by key: links within each key (side null), or from side 0 to all."""
 
+    @in_worker("hashes")
     def run(batches):
-        worker_of("hashes")
         for table in _blocks_of_rows(batches, 0):
             keys = table.column("key").to_numpy()
             ids = table.column("doc_id").to_numpy()
@@ -402,8 +405,8 @@ def _verify_runs(threshold: int):
 def _with_hub(threshold: int):
     """Over rows of doc_id, z, hub, hub_z: doc_id, hub and whether they link."""
 
+    @in_worker("hashes")
     def run(batches):
-        worker_of("hashes")
         for batch in batches:
             out, known = [], {}
             hubs = batch.column(2).to_pylist()

@@ -23,6 +23,8 @@ import string
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._shared import in_worker
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "www.")
@@ -235,6 +237,7 @@ def find_pii(documents: DataFrame, *keep: str, fields: tuple[str, ...] = FIELDS)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), *(f"{f} {types.get(f, 'long')}" for f in fields)])
     names = [*keep, *fields]
 
+    @in_worker("pii")
     def run(batches):
         for batch in batches:
             out: dict[str, list] = {f: [] for f in fields}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import join_counted, worker_of, written
+from ._shared import in_worker, join_counted, written
 from .jaccard import _blocks_of_rows, _mix, _powers
 
 #: Bytes of a repeated string, bytes of the first anchors, and the root of the cover's modulus (a multiple of 4).
@@ -106,8 +106,8 @@ def _anchor_rows(documents: DataFrame, span: int, gram: int) -> DataFrame:
         if held:
             yield held
 
+    @in_worker("hashes")
     def run(batches):
-        worker_of("hashes")
         for batch in batches:
             k, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for some in pieces(batch.column(2)):
@@ -122,6 +122,7 @@ def _anchor_rows(documents: DataFrame, span: int, gram: int) -> DataFrame:
 def _packed(documents: DataFrame) -> DataFrame:
     """k, t, doc_id, z: texts compressed, for the shuffles."""
 
+    @in_worker("hashes")
     def run(batches):
         import zstandard
 
@@ -139,6 +140,7 @@ CONTEXTS = "h long, m long, k long, t long, first int, last int, bytes binary"
 def _contexts(joined: DataFrame, span: int) -> DataFrame:
     """The bytes that an anchor's windows cover, for rows of k, t, z, at (a list of h, m, first, last)."""
 
+    @in_worker("hashes")
     def run(batches):
         import zstandard
 
@@ -165,8 +167,8 @@ CUT = "h long, c long, k long, t long, first int, last int, bytes binary"
 def _cut_anew(contexts: DataFrame, span: int, gram: int) -> DataFrame:
     """Contexts cut at anchors of another length; the bytes go with them."""
 
+    @in_worker("hashes")
     def run(batches):
-        worker_of("hashes")
         for batch in batches:
             k, t, begin = (batch.column(i).to_numpy() for i in range(3))
             parts = batch.column(3).to_pylist()
@@ -280,6 +282,7 @@ SPANS = "k long, t long, start int, stop int"
 def _sort_blocks(span: int, root: int, block: int):
     """Over rows of CONTEXTS, sorted by h: the repeated spans of each bucket."""
 
+    @in_worker("hashes")
     def run(batches):
         for table in _blocks_of_rows(batches, 0):
             h, k, t, first, last = (table.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
@@ -357,6 +360,7 @@ def without_repeats(documents: DataFrame, keep_text: bool = True, **settings) ->
     rows = _packed(documents).join(spans, ["k", "t"], "left").select("doc_id", "z", F.array_sort("spans").alias("spans"))
     schema = KEPT + (", kept binary" if keep_text else "")
 
+    @in_worker("hashes")
     def run(batches):
         import zstandard
 
