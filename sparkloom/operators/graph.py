@@ -9,15 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, literal
+from ..storage import cut
 from .filters import keep_first
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to spark.checkpoint.dir, which executors share."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint()
+from .rounds import first_in_first_out, strong_components
 
 
 def god_objects(entities: DataFrame, edges: DataFrame, more_than: int = 15, top: int = 10) -> DataFrame:
@@ -60,14 +54,15 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def on_cycles(edges: DataFrame, hops: int = 5) -> DataFrame:
     """id of each node from which at most so many edges lead back to it.
 
-    Walks start at every node and go half the hops, as distinct (origin, node)
-    pairs; longer cycles are those whose walk meets one that comes back to the
-    origin, which is a shorter walk read backwards. Nodes that can't lie on a
-    cycle (nothing comes in, or nothing goes out) are dropped first.
+    A cycle lies in one strong component, so that only edges inside components
+    are walked. Walks start at their nodes and go half the hops, as distinct
+    (origin, node) pairs; longer cycles are those whose walk meets one that comes
+    back to the origin, which is a shorter walk read backwards. Jobs run while
+    this is called.
     """
     e = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct()
-    for _ in range(2):
-        e = e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi")
+    part = cut(strong_components(edges))
+    e = e.join(part.selectExpr("id as s", "component as c"), "s").join(part.selectExpr("id as t", "component as d"), "t").where("c = d").select("s", "t")
     e = cut(e)
     ahead = (hops + 1) // 2
     walks = [e.select(F.col("s").alias("origin"), F.col("t").alias("at"))]
@@ -225,31 +220,8 @@ def back_edges(edges: DataFrame, group: str = "project_name") -> DataFrame:
 
 
 def call_order(nodes: DataFrame, edges: DataFrame, group: str = "project_name") -> DataFrame:
-    """(group, id, position, ordered): callers before callees, first in first out by ordinal; nodes on cycles follow at the end with ordered false."""
-    pairs = edges.groupBy(group, F.col("source_id").alias("id")).agg(F.array_sort(F.collect_set("target_id")).alias("targets"))
-    rows = nodes.select(group, "id", "ordinal").join(pairs, [group, "id"], "left")
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ordinal", "id"])
-        ids = pdf["id"].tolist()
-        place = {x: n for n, x in enumerate(ids)}
-        targets = {i: sorted((t for t in ts if t in place), key=place.get) if ts is not None else [] for i, ts in zip(ids, pdf["targets"])}
-        into = dict.fromkeys(ids, 0)
-        for ts in targets.values():
-            for t in ts:
-                into[t] += 1
-        out = [i for i in ids if not into[i]]
-        for i in out:
-            for t in targets[i]:
-                into[t] -= 1
-                if not into[t]:
-                    out.append(t)
-        done = set(out)
-        rest = [i for i in ids if i not in done]
-        return pd.DataFrame({group: key[0], "id": out + rest, "position": range(len(ids)), "ordered": [True] * len(out) + [False] * len(rest)})
-
-    kinds = dict(nodes.dtypes)
-    return rows.groupBy(group).applyInPandas(walk, f"{group} {kinds[group]}, id {kinds['id']}, position long, ordered boolean")
+    """(group, id, position, ordered): callers before callees, first in first out by ordinal; nodes on cycles, or behind them, follow at the end with ordered false."""
+    return first_in_first_out(nodes, edges, group)
 
 
 def persist_graph(old_entities: DataFrame, old_edges: DataFrame, nodes: DataFrame, links: DataFrame, project: str, tenant: str) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import blocklist_reason, content_hash, episode_value, noise_reason
 from ..functions.vector import cosine, literal
+from ..storage import cut
 from .filters import keep_first
-from .graph import connected, cut
+from .rounds import settle_pairs
 from .transcripts import build, classify
 
 LEAST, MOST = 0.05, 0.99
@@ -304,32 +304,18 @@ def superseded_ids(df: DataFrame, threshold: float = 0.85, group: Sequence[str]
 def greedy_duplicates(df: DataFrame, threshold: float = 0.85, group: Sequence[str] = ("tenant_id", "project")) -> DataFrame:
     """ids to remove: in order of (created_at, id) each kept memory removes later similar ones of no more importance, and is itself removed by the first of more.
 
-    Similar pairs are found as a join; only those that hang together, not the
-    memories of a project, meet in a task, where the order decides.
+    Similar pairs are found as a join, and settled in rounds: a memory takes its
+    turn as soon as nothing earlier can still touch it or those it is similar to.
+    Jobs run while this is called.
     """
-    pairs = similar_pairs(df, group, ("created_at",), threshold)
-    facts = df.select("id", "importance", "created_at")
-    a = facts.selectExpr("id as earlier", "importance as i1", "created_at as at1")
-    b = facts.selectExpr("id as later", "importance as i2", "created_at as at2")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for _, block in pdf.sort_values(["at1", "earlier", "at2", "later"], kind="stable").groupby(["at1", "earlier"], sort=False):
-            for x in block.itertuples():
-                if x.earlier in gone:
-                    break
-                if x.later not in gone:
-                    gone.add(x.earlier if x.i1 < x.i2 else x.later)
-        return pd.DataFrame({"id": sorted(gone)}, dtype=object)
-
-    joined = pairs.join(a, "earlier").join(b, "later")
-    kinds = dict(df.dtypes)
-    joined = joined.withColumn("_group", F.to_json(F.struct(*group))) if group else joined.withColumn("_group", F.lit(""))
-    name = lambda c: F.concat_ws("|", "_group", F.col(c).cast("string"))
-    joined = cut(joined.withColumn("_node", name("earlier")))
-    linked = connected(joined.select(F.col("_node").alias("a"), name("later").alias("b")))
-    walked = joined.join(linked, F.col("_node") == F.col("node")).select(*group, "component", "earlier", "later", "i1", "i2", "at1", "at2")
-    return walked.groupBy(*group, "component").applyInPandas(walk, f"id {kinds['id']}")
+    pairs = cut(similar_pairs(df, group, ("created_at",), threshold))
+    ends = pairs.select(F.col("earlier").alias("id")).union(pairs.select(F.col("later").alias("id"))).distinct()
+    facts = df.join(ends, "id", "left_semi").select("id", "importance", "created_at")
+    ranked = cut(facts.orderBy("created_at", "id").select("id", "importance", F.monotonically_increasing_id().alias("rank")))
+    a = ranked.selectExpr("id as earlier", "importance as i1", "rank as a")
+    b = ranked.selectExpr("id as later", "importance as i2", "rank as b")
+    removed, _ = settle_pairs(pairs.join(a, "earlier").join(b, "later").select("a", "b", F.coalesce(F.expr("i1 < i2"), F.lit(False)).alias("up")))
+    return ranked.join(removed.select(F.col("node").alias("rank")), "rank", "left_semi").select("id")
 
 
 def concept_clusters(df: DataFrame, group: Sequence[str] = ("project", "memory_type"), least: int = 2, total: int = 3, show: int = 5) -> DataFrame:

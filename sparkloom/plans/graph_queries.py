@@ -35,6 +35,13 @@ def cycles_5hop(spark, sf_dir):
     return graph.on_cycles(_steps(spark, sf_dir), 5)
 
 
+def scc(spark, sf_dir):
+    """Customers in strong components: those of nations' own steps, so that components are of many sizes."""
+    nations = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    e = _steps(spark, sf_dir).join(nations.selectExpr("c_custkey AS source_id", "c_nationkey AS a"), "source_id").join(nations.selectExpr("c_custkey AS target_id", "c_nationkey AS b"), "target_id")
+    return graph.strong_components(e.where("a = b"))
+
+
 def bfs_khop(spark, sf_dir):
     return graph.bfs(_steps(spark, sf_dir), spark.range(1).select(F.lit(5).cast("long").alias("id")), 3)
 
@@ -190,7 +197,7 @@ def gene_inherit(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    god_objects, dead_code, cycles_5hop, bfs_khop, both_ends, entry_points, call_degree, labelled_edges, relations, files_of, first_edges, priority_truncate, type_counts, system_flow, trace_summary, reading_order,
+    god_objects, dead_code, cycles_5hop, scc, bfs_khop, both_ends, entry_points, call_degree, labelled_edges, relations, files_of, first_edges, priority_truncate, type_counts, system_flow, trace_summary, reading_order,
     back_edges, call_order, risk_score, gene_search, gene_recommend, immune_scan, gene_list, gene_mutate, gene_retire, gene_split, gene_merge, gene_upsert, gene_extract,
 )}
 QUERIES["gene_inherit"] = gene_inherit
@@ -200,6 +207,9 @@ SQL = {
     "dead_code": f"WITH {G} SELECT id, entity_name, entity_type, file_path FROM n WHERE entity_type IN ('function', 'class') AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE 'part:' || l.l_partkey = n.id AND l_returnflag = 'R' AND l_discount > 0.09) ORDER BY entity_name, id LIMIT 20",
     "cycles_5hop": f"""WITH RECURSIVE {STEPS}, p AS (SELECT s AS o, t AS a, 1 AS d FROM s UNION SELECT p.o, s.t, p.d + 1 FROM p JOIN s ON p.a = s.s WHERE p.d < 5 AND p.o <> p.a)
  SELECT DISTINCT o AS id FROM p WHERE o = a""",
+    "scc": f"""WITH RECURSIVE {STEPS}, e AS (SELECT s.s, s.t FROM s JOIN customer a ON a.c_custkey = s.s JOIN customer b ON b.c_custkey = s.t WHERE a.c_nationkey = b.c_nationkey),
+ r AS (SELECT s AS o, t AS a FROM e UNION SELECT r.o, e.t FROM r JOIN e ON e.s = r.a), m AS (SELECT x.o AS id, x.a AS other FROM r x JOIN r y ON x.o = y.a AND x.a = y.o),
+ i AS (SELECT s AS id, s AS other FROM e UNION SELECT t, t FROM e UNION ALL SELECT id, other FROM m) SELECT id, min(other) AS component FROM i GROUP BY id""",
     "bfs_khop": f"""WITH RECURSIVE {STEPS}, u AS (SELECT s, t FROM s UNION SELECT t, s FROM s), p AS (SELECT CAST(5 AS BIGINT) AS id, 0 AS level UNION SELECT u.t, p.level + 1 FROM p JOIN u ON u.s = p.id WHERE p.level < 3)
  SELECT id, CAST(min(level) AS INTEGER) AS level FROM p GROUP BY id""",
     "both_ends": f"WITH {STEPS}, n AS (SELECT c_custkey AS s FROM customer WHERE c_mktsegment = 'BUILDING') SELECT s AS source_id, t AS target_id FROM s WHERE s IN (SELECT s FROM n) AND t IN (SELECT s FROM n)",
@@ -215,6 +225,12 @@ SQL = {
     "trace_summary": f"""WITH RECURSIVE {STEPS}, u AS (SELECT s, t FROM s UNION SELECT t, s FROM s), p AS (SELECT CAST(5 AS BIGINT) AS id, 0 AS level UNION SELECT u.t, p.level + 1 FROM p JOIN u ON u.s = p.id WHERE p.level < 2),
  r AS (SELECT id, min(level) AS level FROM p GROUP BY id) SELECT count(*) FILTER (WHERE level = 0) AS seeds, count(*) FILTER (WHERE level > 0) AS connected, CAST(0 AS BIGINT) AS externals, (SELECT count(*) FROM s WHERE s IN (SELECT id FROM r) AND t IN (SELECT id FROM r)) AS relationships FROM r""",
     "reading_order": "SELECT p_brand AS file_path, min(p_partkey) AS position FROM part GROUP BY 1",
+    "call_order": f"""WITH RECURSIVE {STEPS}, n AS (SELECT 'n' || c_nationkey AS project_name, c_custkey AS id FROM customer),
+ e AS (SELECT a.project_name AS g, s.s, s.t FROM s JOIN n a ON a.id = s.s JOIN n b ON b.id = s.t AND b.project_name = a.project_name),
+ r AS (SELECT s AS o, t AS a FROM e UNION SELECT r.o, e.t FROM r JOIN e ON e.s = r.a), held AS (SELECT o AS id FROM r WHERE o = a UNION SELECT x.a FROM r x JOIN r y ON x.o = y.o AND y.o = y.a),
+ w AS (SELECT id, 0 AS d FROM n WHERE id NOT IN (SELECT id FROM held) UNION SELECT e.t, w.d + 1 FROM w JOIN e ON e.s = w.id WHERE e.t NOT IN (SELECT id FROM held)), l AS (SELECT id, max(d) AS level FROM w GROUP BY id),
+ k AS (SELECT id, level, [id] AS way FROM l WHERE level = 0 UNION ALL SELECT c.id, c.level, list_append(max(k.way), c.id) FROM k JOIN e ON e.s = k.id JOIN l c ON c.id = e.t AND c.level = k.level + 1 GROUP BY c.id, c.level)
+ SELECT n.project_name, n.id, row_number() OVER (PARTITION BY n.project_name ORDER BY k.id IS NULL, k.level, k.way, n.id) - 1 AS position, k.id IS NOT NULL AS ordered FROM n LEFT JOIN k ON k.id = n.id""",
     "risk_score": """WITH f AS (SELECT 'nation' || s_nationkey AS project, count(*) AS n FROM supplier GROUP BY 1), c AS (SELECT 'nation' || c_nationkey AS project, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 50),
  b AS (SELECT coalesce(f.project, c.project) AS project, coalesce(f.n, 0) AS violations, coalesce(c.n, 0) AS circular FROM f FULL JOIN c ON f.project = c.project)
  SELECT project, violations, circular, CASE WHEN violations > 10 THEN 'CRITICAL' WHEN violations > 0 THEN 'HIGH' ELSE 'LOW' END AS risk, greatest(0, 100 - 5 * violations - 2 * circular) AS score FROM b""",
