@@ -7,10 +7,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import blocklist_reason, content_hash, episode_value, noise_reason
 from ..functions.vector import cosine, literal
@@ -205,25 +205,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _orders(column: pa.Array) -> list[tuple]:
-    """Values of the order as tuples, nulls first."""
-    return [tuple((x is not None, x) for x in row.values()) for row in column.to_pylist()]
-
-
-def _compare_blocks(threshold: float, schema: T.StructType, group: Sequence[str], key_type: pa.DataType):
+def _compare_blocks(threshold: float, schema: T.StructType, group: Sequence[str]):
     """Over rows sorted by _block and _visitor: the members of a block come first, and each visitor is compared with all of them."""
     names = [f.name for f in schema.fields]
 
     def run(batches):
         block, held, members = None, [], None
         for batch in batches:
-            keys = np.array(batch.column(names.index("_block")).to_pylist(), object)
+            blocks = batch.column(names.index("_block")).dictionary_encode()
+            keys = blocks.indices.to_numpy()
             visits = batch.column(names.index("_visitor")).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (visits[1:] != visits[:-1])]))
             for a, b in zip(edges, [*edges[1:], len(keys)]):
                 part = batch.slice(a, b - a)
-                if keys[a] != block:
-                    block, held, members = keys[a], [], None
+                if (here := blocks.dictionary[int(keys[a])].as_py()) != block:
+                    block, held, members = here, [], None
                 if not visits[a]:
                     held.append(part)
                     continue
@@ -237,15 +233,15 @@ def _compare_blocks(threshold: float, schema: T.StructType, group: Sequence[str]
                     product = _matrix(some.column(names.index("_u"))) @ m.T
                     i, j = np.nonzero(product > threshold)
                     x, y = some.take(pa.array(i)), members.take(pa.array(j))
-                    ox, oy = _orders(x.column(names.index("_o"))), _orders(y.column(names.index("_o")))
+                    rx, ry = x.column(names.index("_r")).to_numpy(), y.column(names.index("_r")).to_numpy()
                     alike = x.column(names.index("home")).to_numpy() == y.column(names.index("home")).to_numpy()
                     # two of one home visit each other, others only one the other
-                    keep = np.array([p < q or (p > q and not h) for p, q, h in zip(ox, oy, alike)], bool)
-                    first = np.array([p < q for p, q in zip(ox, oy)], bool)
-                    kx, ky = np.array(x.column(names.index("_k")).to_pylist(), object), np.array(y.column(names.index("_k")).to_pylist(), object)
-                    columns = [x.column(names.index(g)).filter(pa.array(keep)) for g in group]
-                    pairs = [pa.array(list(np.where(first, p, q)[keep]), key_type) for p, q in ((kx, ky), (ky, kx))]
-                    yield pa.RecordBatch.from_arrays([*columns, *pairs, pa.array(product[i, j][keep])], names=[*group, "earlier", "later", "similarity"])
+                    keep = pa.array((rx < ry) | ((rx > ry) & ~alike))
+                    first = pa.array(rx < ry).filter(keep)
+                    kx, ky = x.column(names.index("_k")).filter(keep), y.column(names.index("_k")).filter(keep)
+                    columns = [x.column(names.index(g)).filter(keep) for g in group]
+                    pairs = [pc.if_else(first, kx, ky), pc.if_else(first, ky, kx)]
+                    yield pa.RecordBatch.from_arrays([*columns, *pairs, pa.array(product[i, j]).filter(keep)], names=[*group, "earlier", "later", "similarity"])
 
     return run
 
@@ -263,7 +259,9 @@ def similar_pairs(df: DataFrame, group: Sequence[str], order: Sequence[str], thr
     """
     group = list(group)
     rows = df.where(F.size(embedding) > 0).withColumn("_n", norm_of(embedding)).where("_n > 0")
-    unit = rows.select(*group, F.struct(*order, F.col(key).alias("_key")).alias("_o"), F.col(key).alias("_k"), F.transform(embedding, lambda x: x / F.col("_n")).alias("_u"))
+    unit = rows.select(*group, *(c for c in order if c not in group), F.col(key).alias("_k"), F.transform(embedding, lambda x: x / F.col("_n")).alias("_u"))
+    # places in the order: numbers that grow with it, by a sort by range
+    unit = cut(unit.orderBy(*order, "_k").select(*group, F.monotonically_increasing_id().alias("_r"), "_k", "_u"))
     by_size: dict[int, list] = {}
     for r in unit.select("_u").orderBy(F.xxhash64("_k"), "_k").limit(PIVOTS).collect():
         by_size.setdefault(len(r["_u"]), []).append(r["_u"])
@@ -273,7 +271,7 @@ def similar_pairs(df: DataFrame, group: Sequence[str], order: Sequence[str], thr
     in_group = homes.groupBy(*group, "_size").agg(F.collect_list(F.struct("home", "radius", parts.alias("blocks"))).alias("homes"), F.ceil(F.sum("n") / VISITORS).cast("int").alias("salts"))
     located = placed.join(in_group, [*group, "_size"])
     mixed = lambda n, seed: F.pmod(F.xxhash64("_k", F.lit(seed)), n).cast("int")
-    fields = [*group, "_o", "_k", "_u", "home"]
+    fields = [*group, "_r", "_k", "_u", "home"]
     own = F.element_at(F.filter("homes", lambda h: h["home"] == F.col("home")), 1)["blocks"]
     members = located.select(*fields, "_size", F.col("home").alias("_at"), mixed(own, 1).alias("_part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"), F.lit(False).alias("_visitor"))
     most = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
@@ -284,31 +282,34 @@ def similar_pairs(df: DataFrame, group: Sequence[str], order: Sequence[str], thr
     kinds = dict(df.dtypes)
     made = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), f"earlier {kinds[key]}, later {kinds[key]}, similarity double"])
     ordered = both.repartition("_block").sortWithinPartitions("_block", "_visitor")
-    return ordered.mapInArrow(_compare_blocks(threshold, both.schema, group, to_arrow_type(df.schema[key].dataType)), made)
+    return ordered.mapInArrow(_compare_blocks(threshold, both.schema, group), made)
 
 
 def norm_of(embedding: str) -> Column:
     return F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def superseded_ids(df: DataFrame, threshold: float = 0.85, group: Sequence[str] = ("tenant_id", "project", "memory_type")) -> DataFrame:
-    """(id, superseded_by) of active memories with a later, similar and more confident one; of several the first."""
+def superseded_ids(df: DataFrame, threshold: float = 0.85, group: Sequence[str] = ("tenant_id", "project", "memory_type"), pairs_of=similar_pairs) -> DataFrame:
+    """(id, superseded_by) of active memories with a later, similar and more confident one; of several the first.
+
+    pairs_of: similar_pairs, or lsh.similar_pairs_hashed where vectors are spread.
+    """
     live = df.where("coalesce(status, 'active') = 'active'")
-    pairs = similar_pairs(live, group, ("created_at",), threshold)
+    pairs = pairs_of(live, group, ("created_at",), threshold)
     facts = live.select("id", "confidence", "created_at")
     a, b = facts.selectExpr("id as earlier", "confidence as c1"), facts.selectExpr("id as later", "confidence as c2", "created_at as at2")
     won = pairs.join(a, "earlier").join(b, "later").where("c2 > c1")
     return won.groupBy(F.col("earlier").alias("id")).agg(F.min_by("later", F.struct("at2", "later")).alias("superseded_by"))
 
 
-def greedy_duplicates(df: DataFrame, threshold: float = 0.85, group: Sequence[str] = ("tenant_id", "project")) -> DataFrame:
+def greedy_duplicates(df: DataFrame, threshold: float = 0.85, group: Sequence[str] = ("tenant_id", "project"), pairs_of=similar_pairs) -> DataFrame:
     """ids to remove: in order of (created_at, id) each kept memory removes later similar ones of no more importance, and is itself removed by the first of more.
 
     Similar pairs are found as a join, and settled in rounds: a memory takes its
     turn as soon as nothing earlier can still touch it or those it is similar to.
     Jobs run while this is called.
     """
-    pairs = cut(similar_pairs(df, group, ("created_at",), threshold))
+    pairs = cut(pairs_of(df, group, ("created_at",), threshold))
     ends = pairs.select(F.col("earlier").alias("id")).union(pairs.select(F.col("later").alias("id"))).distinct()
     facts = df.join(ends, "id", "left_semi").select("id", "importance", "created_at")
     ranked = cut(facts.orderBy("created_at", "id").select("id", "importance", F.monotonically_increasing_id().alias("rank")))

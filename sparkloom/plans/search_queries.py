@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ann
+from ..operators import ann, lsh
 from ..storage import shared_folder
 from .frames import first_vector, memories
 from .memory_queries import COS, MEM, Q
@@ -41,7 +41,12 @@ def ann_search(spark, sf_dir):
     return ann.search_many(_index(spark, sf_dir), _asking(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (ann_topk, ann_topk_filtered, ann_neighbours, ann_search)}
+def hashed_pairs(spark, sf_dir):
+    """At least nine in ten of near_dup_pairs' rows: tests hold it against them."""
+    return lsh.similar_pairs_hashed(memories(spark, sf_dir), [], ["created_at"], 0.35).select("earlier", "later", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {f.__name__: f for f in (ann_topk, ann_topk_filtered, ann_neighbours, ann_search, hashed_pairs)}
 
 SQL = {
     "ann_topk": f"WITH {MEM}, {Q} SELECT id, round({COS}, 6) AS score FROM m, q ORDER BY {COS} DESC, id LIMIT 10",
