@@ -21,7 +21,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
@@ -48,42 +47,48 @@ WIDE = 48
 MISSPELT, LEAST_LENGTH, LEAST_COUNT = 97, 5, 3
 ROUNDS = 40
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: What each byte of Latin-1 counts as: letters (of À-ÿ all) as themselves, A-Z in lower case, all others as a gap.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 192 else 32 for c in range(256))
 
 
-def document_words(doc_id, text: str, misspelt: int | None = MISSPELT) -> Counter:
-    """The lower-cased runs of a text with their counts; of a run whose hash with the document's id misspelt divides, a character is gone."""
-    counts = Counter(RUN.findall(text.translate(_LOWER)))
+def _runs(doc_id, text: str, misspelt: int | None) -> dict[bytes, int]:
+    """document_words() as Latin-1, which has a byte for each character that a run can have; others become gaps."""
+    counts = Counter(text.encode("latin-1", "replace").translate(_LETTERS).split())
     if not misspelt:
         return counts
-    head, out = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), Counter()
-    for run, n in counts.items():
-        h = zlib.crc32(run.encode(), head)
+    head, shorter = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), []
+    for run in counts:
+        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), head)
         if h % misspelt == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        out[run] += n
-    return out
+            shorter.append((run, h % len(run)))
+    cut = [(run[:at] + run[at + 1 :], counts.pop(run)) for run, at in shorter]
+    for run, n in cut:
+        counts[run] += n
+    return counts
+
+
+def document_words(doc_id, text: str, misspelt: int | None = MISSPELT) -> dict[str, int]:
+    """The lower-cased runs of a text with their counts; of a run whose hash with the document's id misspelt divides, a character is gone."""
+    return {run.decode("latin-1"): n for run, n in _runs(doc_id, text, misspelt).items()}
 
 
 def count_words(documents: DataFrame, misspelt: int | None = MISSPELT, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """word and n over all rows of doc_id and text. Null texts have no words, a null id counts as an empty one, repeated rows count again."""
 
     def count(batches):
-        held: Counter = Counter()
+        held: dict[bytes, int] = {}
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
             held.clear()
             return out
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if text.is_valid:
-                    for word, n in document_words(doc_id, text.as_py(), misspelt).items():
+                    for word, n in _runs(doc_id, text.as_py(), misspelt).items():
                         if len(word) >= least_length:
-                            held[word] += n
+                            held[word] = held.get(word, 0) + n
                     if len(held) > COUNTED:
                         yield flush()
         if held:
