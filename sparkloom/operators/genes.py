@@ -204,6 +204,12 @@ def skill_text() -> Column:
     return F.concat(head, F.lit("\n## Problem\n"), F.coalesce("problem", F.lit("")), F.lit("\n\n## Solution\n"), F.coalesce("solution", F.lit("")), F.lit("\n"))
 
 
+def generate_skills(genes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id and text of the skills made of genes with these ids, all genes after those were used once more)."""
+    made = genes.join(ids.select("id").distinct(), "id", "left_semi").select("id", skill_text().alias("text"))
+    return made, bump(genes, ids, "usage_count")
+
+
 def inherit(genes: DataFrame, project: str, query: Sequence[float], limit: int, as_of) -> tuple[DataFrame, DataFrame]:
     """(genes, mutations) after a project took the nearest genes of others, a tenth less confident."""
     found = nearest(active(genes, not_project=project), query, limit)

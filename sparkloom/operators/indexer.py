@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Languages by extension, and the colours that charts give them.
+# Languages by extension (in any case), and the colours of modules by extension, of classes, functions and other modules.
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "py": "py", "go": "go", "php": "php", "phtml": "php", "ctp": "php"}
 NOT_CALLS = ("if", "while", "for", "switch", "catch", "then", "return", "throw", "console", "typeof")
+COLOURS = {
+    "ts": "#3178c6", "tsx": "#3178c6",
+    "js": "#f7df1e", "jsx": "#f7df1e",
+    "py": "#3776ab", "go": "#00add8",
+    "php": "#777bb4", "rs": "#dea584",
+    "java": "#b07219", "rb": "#cc342d",
+    "swift": "#f05138", "kt": "#7f52ff",
+}
 CLASS_COLOUR, FUNCTION_COLOUR, OTHER_COLOUR = "#ffb74d", "#81c784", "#94a3b8"
 
 # Patterns of classes and of functions by language (the name is the first group), and of imports.
@@ -40,15 +48,20 @@ def resolve_import(path: Column, target: Column) -> Column:
     return F.concat(F.when(F.startswith(target, F.lit(".")), F.array_join(walked, "/")).otherwise(F.regexp_replace(target, "[/.]", "_")), F.lit(".ts"))
 
 
+def of_extension(path: Column, values: dict[str, str]) -> Column:
+    """What a path's extension stands for, in any case; null for others."""
+    known = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
     """path, module, language, line, text of rows of path and content."""
-    language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    rows = files.withColumn("language", F.try_element_at(language, F.regexp_extract("path", r"\.([^./]+)$", 1))).withColumn("module", F.concat(F.lit("module:"), "path"))
+    rows = files.withColumn("language", of_extension(F.col("path"), LANGUAGES)).withColumn("module", F.concat(F.lit("module:"), "path"))
     return rows.select("path", "module", "language", F.posexplode(F.split("content", "\n")).alias("at", "text")).withColumn("line", F.col("at") + 1).drop("at")
 
 
 def index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of files (path, content): a module for each file, its classes and functions, and import, contains and call links.
+    """(nodes, links) of files (path, content): a module for each file, labelled by its path and coloured by its extension, its classes and functions, and import, contains and call links.
 
     Lines are matched independently, so that a large file is many rows. Calls
     point into their own file, and a definition also reads as a call.
@@ -61,7 +74,7 @@ def index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = lambda kind, column, colour: F.struct(F.lit(kind).alias("type"), F.col(column).alias("label"), F.lit(colour).alias("color"))
     defined = found.select("path", "module", "line", F.explode(F.array(one("class", "cls", CLASS_COLOUR), one("function", "fn", FUNCTION_COLOUR))).alias("d")).where("d.label <> ''")
     defined = defined.select(F.concat_ws(":", "d.type", "module", "d.label").alias("id"), "d.label", "d.type", F.col("path").alias("filePath"), "line", "d.color", "module")
-    modules = files.select(F.concat(F.lit("module:"), "path").alias("id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("label"), F.lit("module").alias("type"), F.col("path").alias("filePath"), F.lit(1).alias("line"), F.lit(OTHER_COLOUR).alias("color"))
+    modules = files.select(F.concat(F.lit("module:"), "path").alias("id"), F.col("path").alias("label"), F.lit("module").alias("type"), F.col("path").alias("filePath"), F.lit(1).alias("line"), F.coalesce(of_extension(F.col("path"), COLOURS), F.lit(OTHER_COLOUR)).alias("color"))
     nodes = modules.unionByName(defined.drop("module"))
     contains = defined.select(F.col("module").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("type"))
     called = lines.where("language = 'ts'").select("path", "module", F.explode(F.regexp_extract_all("text", F.lit(r"(\w+)\("), F.lit(1))).alias("name")).where(~F.col("name").isin(*NOT_CALLS))

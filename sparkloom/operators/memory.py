@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blocklist_reason, content_hash, episode_value, noise_reason
-from ..functions.vector import cosine, literal
+from ..functions.vector import cosine, hashed, literal
 from ..storage import cut
 from .filters import keep_first
 from .rounds import settle_pairs
@@ -332,10 +333,12 @@ def concept_clusters(df: DataFrame, group: Sequence[str] = ("project", "memory_t
     return out.join(first, same).select(*(out[g] for g in group), "size", "summary", "source_ids")
 
 
-def concepts_of(clusters: DataFrame) -> DataFrame:
+def concepts_of(clusters: DataFrame, embed=None) -> DataFrame:
+    """Drafts of concepts from clusters, with an embedding of label and description if embed makes vectors of texts; those without a vector then are left out."""
     label = F.substring(F.concat(F.lit("Pattern: "), "memory_type", F.lit(" in "), "project"), 1, 255)
     made = clusters.withColumns({"label": label, "confidence": F.lit(0.70), "evidence_count": F.col("size").cast("long"), "status": F.lit("active")})
-    return made.withColumn("id", F.sha2(F.concat_ws("|", "project", "memory_type", F.array_join("source_ids", ",")), 256)).withColumnRenamed("summary", "description").drop("size")
+    made = made.withColumn("id", F.sha2(F.concat_ws("|", "project", "memory_type", F.array_join("source_ids", ",")), 256)).withColumnRenamed("summary", "description").drop("size")
+    return made if embed is None else made.withColumn("embedding", embed(F.concat("label", F.lit(": "), "description"))).where("embedding is not null")
 
 
 def outcome_memory(outcome: Column, payload: Column) -> tuple[Column, Column]:
@@ -434,15 +437,78 @@ def ingest(stored: DataFrame, turns: DataFrame, tenant: str, as_of) -> tuple[Dat
     return upsert_merge(stored, made.select(*[c for c in stored.columns if c in made.columns])), counts
 
 
-def run_consolidation(memories: DataFrame, as_of, threshold: float = 0.85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(memories, concepts, report) after duplicates, concepts, lifecycle and supersession, in this order."""
-    gone = greedy_duplicates(memories, threshold)
-    kept = memories.join(gone, "id", "left_anti")
-    concepts = concepts_of(concept_clusters(kept))
-    aged = lifecycle(kept, as_of)
-    late = superseded_ids(aged, threshold).withColumnRenamed("superseded_by", "_by")
-    out = aged.join(late, "id", "left").withColumn("status", F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status"))).withColumnRenamed("_by", "superseded_by_id")
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    ops = [("duplicates_removed", gone), ("concepts_made", concepts), ("archived", out.where("status = 'archived'")), ("superseded", out.where("superseded_by_id is not null"))]
-    report = reduce(lambda a, b: a.unionByName(b), (count(df, "n").select(F.lit(name).alias("step"), "n") for name, df in ops))
-    return out, concepts, report
+@dataclass
+class Consolidated:
+    """memories and concepts after a job, and its report: step, n, error (null where a step went well)."""
+
+    memories: DataFrame
+    concepts: DataFrame
+    report: DataFrame
+
+
+#: The steps of a job, in this order.
+STEPS = ("dedup", "extract_concepts", "score_concepts", "score_memories")
+REPORT = "step string, n long, error string"
+
+
+def run_consolidation(memories: DataFrame, as_of, threshold: float = 0.85, concepts: DataFrame | None = None, steps: Sequence[str] = STEPS, embed=None, pairs_of=None) -> Consolidated:
+    """A job over memories (and concepts that there are already): duplicates go, concepts are made and scored, memories age and are superseded.
+
+    Each step's result is written before the next one starts, so that it is
+    computed once and a step that fails is in the report with its error while the
+    others go on with what there was. The report counts the memories processed,
+    rows that have no vector to compare, duplicates removed, concepts made and
+    raised, memories archived and superseded. embed: a function of a concept's
+    text that gives its vector (vector.hashed if none). Jobs run while this is
+    called.
+    """
+    spark = memories.sparkSession
+    pairs_of = pairs_of or similar_pairs
+    columns = memories.columns
+    rows, errors, counts = cut(memories), {}, {}
+    made = None if concepts is None else cut(concepts)
+    counts["processed"], counts["skipped_vectors"] = rows.count(), usable_vectors(rows).first()["skipped"]
+
+    def dedup():
+        nonlocal rows
+        kept = cut(rows.join(greedy_duplicates(rows, threshold, pairs_of=pairs_of), "id", "left_anti").select(*columns))
+        counts["duplicates_removed"] = counts["processed"] - kept.count()
+        rows = kept
+
+    def extract_concepts():
+        nonlocal made
+        new = cut(concepts_of(concept_clusters(rows.where(F.size("embedding") > 0)), embed or hashed))
+        counts["concepts_made"] = new.count()
+        made = new if made is None else cut(made.unionByName(new, allowMissingColumns=True))
+
+    def score_concepts():
+        nonlocal made
+        if made is None:
+            return
+        scored = cut(made.withColumn("_before", F.col("confidence")).withColumn("confidence", concept_confidence(F.coalesce("confidence", F.lit(0.5)), F.coalesce("evidence_count", F.lit(1)))))
+        counts["concepts_raised"] = scored.where(~F.col("confidence").eqNullSafe(F.col("_before"))).count()
+        made = scored.drop("_before")
+
+    def score_memories():
+        nonlocal rows
+        aged = cut(lifecycle(rows.withColumn("_was", F.col("status")), as_of))
+        late = superseded_ids(aged, threshold, pairs_of=pairs_of).select("id", F.col("superseded_by").alias("_by"))
+        aged = aged.drop("superseded_by_id").join(late, "id", "left")
+        rows = cut(aged.withColumn("status", F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status"))).withColumnRenamed("_by", "superseded_by_id"))
+        late_gone = (F.col("status") == "archived") & (F.coalesce("_was", F.lit("active")) != "archived")
+        done = rows.agg(F.count_if(late_gone).alias("archived"), F.count_if(F.col("superseded_by_id").isNotNull()).alias("superseded")).first()
+        counts.update(done.asDict())
+        rows = rows.drop("_was")
+
+    known = {"dedup": dedup, "extract_concepts": extract_concepts, "score_concepts": score_concepts, "score_memories": score_memories}
+    for step in steps:
+        try:
+            known[step]()
+        except Exception as error:  # a step of its own: the others go on
+            errors[step] = f"{type(error).__name__}: {error}"[:1_000]
+    if "superseded_by_id" not in rows.columns:
+        rows = rows.withColumn("superseded_by_id", F.lit(None).cast(dict(memories.dtypes)["id"]))
+    if made is None:
+        made = concepts_of(concept_clusters(rows.limit(0)), embed or hashed)
+    report = spark.createDataFrame([*((k, int(v), None) for k, v in counts.items()), *((k, None, e) for k, e in errors.items())], REPORT)
+    return Consolidated(rows, made, report)

@@ -31,6 +31,13 @@ def dead_code(spark, sf_dir):
     return graph.dead_code(entities(spark, sf_dir), returned.selectExpr("concat('part:', cast(l_partkey as string)) AS target_id", "'t' AS tenant_id"))
 
 
+def dead_code_unsold(spark, sf_dir):
+    """Over whole edges; parts stand for code, also those that no supplier has."""
+    known = read(spark, sf_dir, "lineitem").selectExpr("concat('part:', cast(l_partkey as string)) AS target_id", "'t' AS tenant_id")
+    extra = read(spark, sf_dir, "customer").selectExpr("concat('part:', cast(c_custkey * 2 as string)) AS id", "c_name AS entity_name", "'function' AS entity_type", "'src/c.ts' AS file_path", "'t' AS tenant_id")
+    return graph.dead_code(entities(spark, sf_dir).unionByName(extra), known)
+
+
 def cycles_5hop(spark, sf_dir):
     return graph.on_cycles(_steps(spark, sf_dir), 5)
 
@@ -197,7 +204,7 @@ def gene_inherit(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    god_objects, dead_code, cycles_5hop, scc, bfs_khop, both_ends, entry_points, call_degree, labelled_edges, relations, files_of, first_edges, priority_truncate, type_counts, system_flow, trace_summary, reading_order,
+    god_objects, dead_code, dead_code_unsold, cycles_5hop, scc, bfs_khop, both_ends, entry_points, call_degree, labelled_edges, relations, files_of, first_edges, priority_truncate, type_counts, system_flow, trace_summary, reading_order,
     back_edges, call_order, risk_score, gene_search, gene_recommend, immune_scan, gene_list, gene_mutate, gene_retire, gene_split, gene_merge, gene_upsert, gene_extract,
 )}
 QUERIES["gene_inherit"] = gene_inherit
@@ -205,6 +212,8 @@ QUERIES["gene_inherit"] = gene_inherit
 SQL = {
     "god_objects": f"WITH {G} SELECT n.entity_name, c.in_degree FROM (SELECT target_id, count(*) AS in_degree FROM e GROUP BY target_id HAVING count(*) > 20) c JOIN n ON n.id = c.target_id ORDER BY in_degree DESC, entity_name LIMIT 10",
     "dead_code": f"WITH {G} SELECT id, entity_name, entity_type, file_path FROM n WHERE entity_type IN ('function', 'class') AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE 'part:' || l.l_partkey = n.id AND l_returnflag = 'R' AND l_discount > 0.09) ORDER BY entity_name, id LIMIT 20",
+    "dead_code_unsold": f"""WITH {G}, a AS (SELECT id, entity_name, entity_type, file_path FROM n WHERE entity_type IN ('function', 'class') UNION ALL SELECT 'part:' || c_custkey * 2, c_name, 'function', 'src/c.ts' FROM customer)
+ SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE 'part:' || l_partkey = a.id) ORDER BY entity_name, id LIMIT 20""",
     "cycles_5hop": f"""WITH RECURSIVE {STEPS}, p AS (SELECT s AS o, t AS a, 1 AS d FROM s UNION SELECT p.o, s.t, p.d + 1 FROM p JOIN s ON p.a = s.s WHERE p.d < 5 AND p.o <> p.a)
  SELECT DISTINCT o AS id FROM p WHERE o = a""",
     "scc": f"""WITH RECURSIVE {STEPS}, e AS (SELECT s.s, s.t FROM s JOIN customer a ON a.c_custkey = s.s JOIN customer b ON b.c_custkey = s.t WHERE a.c_nationkey = b.c_nationkey),

@@ -100,6 +100,14 @@ def skill_texts(spark, sf_dir):
     return _genes(spark, sf_dir).select("id", genes.skill_text().alias("text"))
 
 
+def skill_usage(spark, sf_dir):
+    """Usage after a skill was made of each lesson, and of each pattern twice."""
+    rows = _genes(spark, sf_dir)
+    _, once = genes.generate_skills(rows, rows.where("category in ('lesson', 'pattern')").select("id"))
+    texts, twice = genes.generate_skills(once, rows.where("category = 'pattern'").select("id"))
+    return twice.join(texts, "id", "left").select("id", F.col("usage_count").cast("long").alias("usage_count"), F.col("text").isNotNull().alias("made"))
+
+
 def immune_genes(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     made = genes.immune_gene(F.col("t"), F.reverse("t"))
@@ -230,7 +238,7 @@ def truncation(spark, sf_dir):
 def project_list(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(
         F.concat(F.when(F.col("o_orderstatus") == "P", "/home/.x/").otherwise("/work/"), F.col("o_custkey").cast("string")).alias("dir"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", ".git").when(F.col("o_orderpriority") == "2-HIGH", files.ANALYSIS_FOLDER).otherwise("src").alias("child"), F.col("o_orderkey").alias("modified_at"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", ".git").when(F.col("o_orderpriority") == "2-HIGH", f"{files.ANALYSIS_FOLDER}/settings.json").otherwise("src").alias("child"), F.col("o_orderkey").alias("modified_at"),
     )
     return files.project_dirs(rows)
 
@@ -363,8 +371,10 @@ def concept_drafts(spark, sf_dir):
 
 
 def consolidation(spark, sf_dir):
-    rows = memories(spark, sf_dir).withColumn("content", F.lit("a note")).withColumn("created_at", F.timestamp_seconds("created_s"))
-    return memory.run_consolidation(rows, NOW, threshold=0.6)[2]
+    """The report of a job over memories of which two labels' vectors are empty."""
+    empty = F.array().cast("array<float>")
+    rows = memories(spark, sf_dir).withColumn("content", F.concat(F.lit("note "), F.col("id").cast("string"))).withColumn("embedding", F.when(F.expr("(id % 10) = 7"), empty).otherwise(F.col("embedding")))
+    return memory.run_consolidation(rows, NOW, threshold=0.3).report
 
 
 def hashed_vectors(spark, sf_dir):
@@ -388,7 +398,7 @@ def unread_sessions(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    episodes, entity_search, entity_list, concept_search, concept_access, gene_usage, gene_ranking, gene_page, skill_search, gene_by_name, skill_update, skill_install, skill_texts, immune_genes, immune_text, remaining_rows, written_rows,
+    episodes, entity_search, entity_list, concept_search, concept_access, gene_usage, gene_ranking, gene_page, skill_search, gene_by_name, skill_update, skill_install, skill_texts, skill_usage, immune_genes, immune_text, remaining_rows, written_rows,
     skipped_vectors, shared_contexts, field_checks, saved_memories, ingest_counts, ingest_memories, inject_gate, inject_gate_after, memory_ids, tag_filter, name_contains, path_search, vendor_paths, task_list, agent_discovery, tool_list,
     category_list, user_requests, truncation, project_list, project_lookup, inserted_absent, tenant_change, field_update, migrated, dangling_edges, normalized_rows, smell_counts, persisted_nodes, persisted_edges, flow_of_feature,
     visible_links, flow_chart, flow_edges, flow_scope, call_sequence, analysis_stats, project_summary, entity_types, context_text, session_text, concept_drafts, consolidation, hashed_vectors, reported_staleness, bound_query, unread_sessions,
@@ -450,6 +460,7 @@ SQL = {
  SELECT CAST(id AS VARCHAR) AS id, CASE WHEN CAST(id AS VARCHAR) = k THEN 'new' ELSE 'do ' || id END AS description, CASE WHEN CAST(id AS VARCHAR) = k THEN 'do it so' ELSE 'step ' || id END AS solution, CASE WHEN CAST(id AS VARCHAR) = k THEN 'a,b' ELSE project || ',' || memory_type END AS tags, CASE WHEN CAST(id AS VARCHAR) = k THEN 2 ELSE 1 END AS version FROM g, k WHERE name = 'gene8'""",
     "skill_install": f"WITH {GENES} SELECT category, CAST(1 AS BIGINT) AS version, count(*) + CASE WHEN category = 'skill' THEN 1 ELSE 0 END AS n FROM g GROUP BY category",
     "skill_texts": f"""WITH {GENES} SELECT id, '---' || chr(10) || 'name: "' || name || '"' || chr(10) || 'description: "do ' || id || '"' || chr(10) || 'category: "' || category || '"' || chr(10) || '---' || chr(10) || chr(10) || '## Problem' || chr(10) || 'why ' || id || chr(10) || chr(10) || '## Solution' || chr(10) || 'step ' || id || chr(10) AS text FROM g""",
+    "skill_usage": f"WITH {GENES} SELECT id, CAST(usage_count + CASE category WHEN 'lesson' THEN 1 WHEN 'pattern' THEN 2 ELSE 0 END AS BIGINT) AS usage_count, category = 'pattern' AS made FROM g",
     "immune_genes": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, sha256('[IMMUNE] ' || substr(t, 1, 70)) AS name_sha, sha256('Failure: ' || substr(t, 1, 500)) AS problem_sha,
  sha256('Prevention: ' || array_to_string(list_reverse(string_split(t, ''))[1:500], '')) AS solution_sha, 'immune' AS category, 0.7::DOUBLE AS confidence FROM d""",
     "immune_text": f"""WITH {GENES}, {Q}, f AS (SELECT g.*, round({cosine_sql('g')}, 9) AS s FROM g, q WHERE status = 'active' AND category = 'pattern' ORDER BY {cosine_sql('g')} DESC, id LIMIT 6)
@@ -512,6 +523,22 @@ SQL = {
     "context_text": f"""WITH {MEM}, f AS (SELECT * FROM m ORDER BY confidence DESC, id LIMIT 25) SELECT '## Relevant memories' || chr(10) || string_agg('- [' || memory_type || '] (' || printf('%.2f', confidence) || ') note ' || id, chr(10) ORDER BY confidence DESC, id) AS context FROM f""",
     "session_text": f"""WITH {MEM}, f AS (SELECT * FROM m WHERE id % 5 <> 0 ORDER BY importance DESC, id LIMIT 25) SELECT '# Session context' || chr(10) || chr(10) || string_agg('### ' || memory_type || ' (' || importance || ')' || chr(10) || 'note ' || id, chr(10) || chr(10) ORDER BY importance DESC, id) AS context FROM f""",
     "concept_drafts": "SELECT source AS project, lang AS memory_type, 'Pattern: ' || lang || ' in ' || source AS label, 0.7::DOUBLE AS confidence, count(*) AS evidence_count, 'active' AS status FROM documents GROUP BY source, lang HAVING count(*) >= 2",
+    "consolidation": f"""WITH RECURSIVE {MEM}, v AS (SELECT * FROM m WHERE id % 10 <> 7),
+ p AS (SELECT a.tenant_id || '/' || a.project AS t, a.id AS x, b.id AS y, a.importance < b.importance AS later_weighs, row_number() OVER (PARTITION BY a.tenant_id, a.project ORDER BY a.created_s, a.id, b.created_s, b.id) AS n FROM v a JOIN v b
+ ON a.tenant_id = b.tenant_id AND a.project = b.project AND a.id < b.id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.30),
+ r AS (SELECT DISTINCT t, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS gone FROM p UNION ALL
+ SELECT r.t, p.n, CASE WHEN list_contains(gone, x) OR list_contains(gone, y) THEN gone ELSE list_append(gone, CASE WHEN later_weighs THEN x ELSE y END) END FROM r JOIN p ON p.t = r.t AND p.n = r.n + 1),
+ dead AS (SELECT unnest(arg_max(gone, n)) AS id FROM r GROUP BY t), k AS (SELECT * FROM m WHERE id NOT IN (SELECT id FROM dead)),
+ c AS (SELECT count(*) AS n FROM k WHERE id % 10 <> 7 GROUP BY project, memory_type HAVING count(*) >= 2),
+ a1 AS (SELECT *, coalesce(status, 'active') AS st, CASE WHEN accessed_s IS NOT NULL THEN pow(0.995, floor(({NOW_S} - accessed_s) / 86400.0)) ELSE pow(0.997, floor(({NOW_S} - created_s) / 86400.0)) END AS f FROM k),
+ a2 AS (SELECT *, CASE WHEN st = 'active' THEN greatest(0.05, confidence * f) ELSE confidence END AS c0 FROM a1),
+ a3 AS (SELECT *, CASE WHEN st = 'active' AND evidence_count > 1 THEN least(0.99, greatest(0.05, c0 + 0.05 * log2(evidence_count + 1))) ELSE c0 END AS c1 FROM a2),
+ a4 AS (SELECT *, CASE WHEN st = 'active' AND access_count > 0 THEN least(0.99, greatest(0.05, c1 + 0.02 * log2(access_count + 1))) ELSE c1 END AS c2 FROM a3),
+ l AS (SELECT * FROM a4 WHERE st = 'active' AND c2 >= 0.10),
+ s AS (SELECT DISTINCT a.id FROM l a JOIN l b ON a.id % 10 <> 7 AND b.id % 10 <> 7 AND a.tenant_id = b.tenant_id AND a.project = b.project AND a.memory_type = b.memory_type AND a.id < b.id AND b.c2 > a.c2
+ AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.30)
+ SELECT step, CAST(n AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS error FROM (SELECT 'processed' AS step, count(*) AS n FROM m UNION ALL SELECT 'skipped_vectors', count(*) FROM m WHERE id % 10 = 7 UNION ALL SELECT 'duplicates_removed', count(*) FROM dead
+ UNION ALL SELECT 'concepts_made', count(*) FROM c UNION ALL SELECT 'concepts_raised', count(*) FROM c UNION ALL SELECT 'archived', count(*) FROM a4 WHERE st = 'active' AND c2 < 0.10 UNION ALL SELECT 'superseded', count(*) FROM s)""",
     "hashed_vectors": "SELECT p_partkey, 1.0::DOUBLE AS norm, CAST(16 AS BIGINT) AS n FROM part",
     "reported_staleness": "SELECT user_id AS agent_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s FROM events GROUP BY user_id",
     "bound_query": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 100000.0 GROUP BY o_custkey",

@@ -63,8 +63,9 @@ def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
 
 
 def source_tree(spark: SparkSession, folder: str, patterns: Sequence[str] = ()) -> DataFrame:
-    """path (from folder) and content of the source files below folder: known extensions, 1 to MOST_BYTES bytes, nothing excluded or ignored."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{%s}" % ",".join(EXTENSIONS)).load(folder)
+    """path (from folder) and content of the source files below folder: known extensions in any case, 1 to MOST_BYTES bytes, nothing excluded or ignored."""
+    any_case = ["".join(f"[{c}{c.upper()}]" for c in x) for x in EXTENSIONS]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{%s}" % ",".join(any_case)).load(folder)
     root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.substring_index(F.col("path"), f"{root}/", -1)
     rows = files.where((F.col("length") > 0) & (F.col("length") < MOST_BYTES)).select(path.alias("path"), F.col("content").cast("string").alias("content"))
@@ -171,11 +172,28 @@ def migrate(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFr
     return upsert(target, source.select(*both), keys).select(*target.columns)
 
 
-def project_dirs(listing: DataFrame, analysis_folder: str = ANALYSIS_FOLDER) -> DataFrame:
-    """name, dir, modified_at of project folders among (dir, child, modified_at): those with .git or an analysis folder, hidden and tool folders left out, the latest first."""
-    hidden = F.col("dir").rlike(r"/\.[^/]+(/|$)")
-    rows = listing.where(~hidden).groupBy("dir").agg(F.max(F.col("child").isin(".git", analysis_folder)).alias("is_project"), F.max("modified_at").alias("modified_at"))
-    return rows.where("is_project").select(F.regexp_extract("dir", r"([^/]+)/?$", 1).alias("name"), "dir", "modified_at").orderBy(F.desc("modified_at"), "dir")
+# Folders that are no projects themselves, files that make an analysis folder a project's, and what editors' own folders hold.
+NO_PROJECTS = ("/", "/config")
+ANALYSIS_FILES = ("analysis.json", "settings.json")
+EDITOR_FOLDERS = ("resources/app/extensions", "resources/app/out/vs")
+
+
+def project_dirs(listing: DataFrame, analysis_folder: str = ANALYSIS_FOLDER, home: str | None = None) -> DataFrame:
+    """name, dir, modified_at of project folders among (dir, child, modified_at), child being a path from dir, the latest first.
+
+    A project has .git, or an analysis folder with one of ANALYSIS_FILES. Left out
+    are the root, home and other folders above projects, editors' own folders, and
+    whatever lies in a hidden folder other than an analysis folder.
+    """
+    marks = [".git", *(f"{analysis_folder}/{f}" for f in ANALYSIS_FILES)]
+    parts = F.filter(F.split("dir", "/"), lambda p: p.startswith(".") & ~p.startswith("..") & (p != analysis_folder))
+    above = [*NO_PROJECTS, *([home.rstrip("/")] if home else [])]
+    rows = listing.where((F.size(parts) == 0) & ~F.col("dir").isin(above))
+    editor = F.lit(False)
+    for folder in EDITOR_FOLDERS:
+        editor = editor | (F.col("child") == folder) | F.startswith("child", F.lit(f"{folder}/"))
+    rows = rows.groupBy("dir").agg(F.max(F.col("child").isin(marks)).alias("is_project"), F.max(editor).alias("is_editor"), F.max("modified_at").alias("modified_at"))
+    return rows.where("is_project and not is_editor").select(F.regexp_extract("dir", r"([^/]+)/?$", 1).alias("name"), "dir", "modified_at").orderBy(F.desc("modified_at"), "dir")
 
 
 def resolve_project(projects: DataFrame, wanted: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Sources and sinks on small files, and what no SQL states."""
 
 import json
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import schema
-from sparkloom.operators import memory
+from sparkloom.functions import vector
+from sparkloom.operators import indexer, memory
 from sparkloom.sources import files
 
 
@@ -91,7 +93,51 @@ def test_consolidation(spark):
     made = [("a", 1, [1.0, 0.0], 0.5, 5, day(1)), ("b", 1, [1.0, 0.01], 0.9, 5, day(2)), ("c", 1, [0.0, 1.0], 0.5, 5, day(3)), ("d", 1, [-1.0, 0.1], 0.06, 2, day(4))]
     df = spark.createDataFrame(made, "id string, t int, embedding array<double>, confidence double, importance int, created_at timestamp")
     df = df.withColumns({"tenant_id": F.lit("t"), "project": F.lit("p"), "memory_type": F.lit("PATTERN"), "content": F.col("id"), "status": F.lit("active"), "evidence_count": F.lit(1), "access_count": F.lit(0), "last_accessed_at": F.lit(None).cast("timestamp")})
-    out, concepts, report = memory.run_consolidation(df, "2024-03-01 00:00:00")
-    assert rows(out, "id") == [("a",), ("c",), ("d",)]  # b is as important as a, and later
-    assert rows(concepts, "label", "evidence_count") == [("Pattern: PATTERN in p", 3)]
-    assert dict(rows(report, "step", "n")) == {"duplicates_removed": 1, "concepts_made": 1, "archived": 1, "superseded": 0}
+    done = memory.run_consolidation(df, "2024-03-01 00:00:00")
+    assert rows(done.memories, "id") == [("a",), ("c",), ("d",)]  # b is as important as a, and later
+    assert rows(done.concepts, "label", "evidence_count") == [("Pattern: PATTERN in p", 3)]
+    first = done.concepts.first()
+    assert first["confidence"] == pytest.approx(0.7 + 0.3 * (1 - 2.718281828**-0.6)) and len(first["embedding"]) == 64
+    assert dict(rows(done.report, "step", "n")) == {"processed": 4, "skipped_vectors": 0, "duplicates_removed": 1, "concepts_made": 1, "concepts_raised": 1, "archived": 1, "superseded": 0}
+    assert memory.run_consolidation(df.limit(0), "2024-03-01 00:00:00").memories.count() == 0
+
+
+def test_a_step_that_fails_is_reported_and_the_others_run(spark):
+    made = [("a", [1.0, 0.0], 0.5, datetime(2024, 1, 1)), ("b", [0.0, 1.0], 0.5, datetime(2024, 1, 2)), ("c", None, 0.5, datetime(2024, 1, 3))]
+    df = spark.createDataFrame(made, "id string, embedding array<double>, confidence double, created_at timestamp")
+    df = df.withColumns({"tenant_id": F.lit("t"), "project": F.lit("p"), "memory_type": F.lit("PATTERN"), "content": F.col("id"), "importance": F.lit(5), "status": F.lit("active"), "evidence_count": F.lit(1), "access_count": F.lit(0)})  # no last_accessed_at: scoring fails
+    done = memory.run_consolidation(df, "2024-03-01 00:00:00", steps=("dedup", "no such step", *memory.STEPS[1:]))
+    report = {r["step"]: (r["n"], r["error"]) for r in done.report.collect()}
+    assert report["no such step"][0] is None and report["no such step"][1].startswith("KeyError")
+    assert "last_accessed_at" in report["score_memories"][1] and "archived" not in report
+    assert report["skipped_vectors"] == (1, None) and report["duplicates_removed"] == (0, None)
+    assert done.memories.count() == 3 and rows(done.memories.where("superseded_by_id is not null"), "id") == []
+
+
+def test_project_folders(spark):
+    listing = [("/w/a", ".git", 1), ("/w/b", ".analysis", 2), ("/w/c", ".analysis/settings.json", 3), ("/w/.x/d", ".git", 4), ("/home/me", ".git", 5), ("/", ".git", 6), ("/w/ide", ".git", 7), ("/w/ide", "resources/app/out/vs/x", 7), ("/w/.analysis/e", ".git", 8), ("/w/..f", ".git", 9)]
+    found = files.project_dirs(spark.createDataFrame(listing, "dir string, child string, modified_at long"), home="/home/me/")
+    assert [r["dir"] for r in found.collect()] == ["/w/..f", "/w/.analysis/e", "/w/c", "/w/a"]
+
+
+def test_extensions_in_any_case(spark, tmp_path):
+    for name in ("A.TS", "b.Py", "c.txt", "d.rs"):
+        (tmp_path / name).write_text("class Thing {}\n")
+    code = files.source_tree(spark, str(tmp_path))
+    nodes, _ = indexer.index(code)
+    assert rows(nodes.where("type = 'module'"), "label", "color") == [("A.TS", "#3178c6"), ("b.Py", "#3776ab"), ("d.rs", "#dea584")]
+    assert rows(nodes.where("type = 'class'"), "filePath", "label") == [("A.TS", "Thing"), ("b.Py", "Thing")]
+
+
+def test_hashed_vectors_against_plain_python(spark):
+    import xxhash
+
+    texts = ["Some words, some more", "ÄÖ ä", "one", "  ", "a-b_c 7 seven"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vector.hashed(F.col("t"), 16).alias("v"))
+    for text, v in (tuple(r) for r in df.collect()):
+        counts = [0] * 16
+        for word in filter(None, re.split(r"[\W_]+", text.lower())):
+            h = xxhash.xxh64_intdigest(word.encode(), 42)
+            counts[(h - (1 << 64) if h >> 63 else h) % 16] += 1
+        length = sum(c * c for c in counts) ** 0.5
+        assert v == (pytest.approx([c / length for c in counts]) if length else None)
