@@ -62,8 +62,13 @@ def contains_any_case(text: Column, wanted: str) -> Column:
     return F.instr(F.lower(text), wanted.lower()) > 0
 
 
+def path_text(path: Column, node_id: Column) -> Column:
+    """What searches by path look into: the path, or the id where there is none, with slashes."""
+    return F.regexp_replace(F.coalesce(path, node_id), r"\\", "/")
+
+
 def path_matches(path: Column, node_id: Column, wanted: str) -> Column:
-    return F.contains(F.lower(F.regexp_replace(F.coalesce(path, node_id), r"\\", "/")), F.lit(wanted.replace("\\", "/").lower()))
+    return F.contains(F.lower(path_text(path, node_id)), F.lit(wanted.replace("\\", "/").lower()))
 
 
 # Parts of paths that mark tests and the like.

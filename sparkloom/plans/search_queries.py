@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ann, lsh
+from ..operators import ann, filters, lsh, trigrams
 from ..storage import shared_folder
-from .frames import first_vector, memories
+from .frames import ENTITIES, entities, first_vector, memories, read
 from .memory_queries import COS, MEM, Q
 
 
@@ -46,9 +46,31 @@ def hashed_pairs(spark, sf_dir):
     return lsh.similar_pairs_hashed(memories(spark, sf_dir), [], ["created_at"], 0.35).select("earlier", "later", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (ann_topk, ann_topk_filtered, ann_neighbours, ann_search, hashed_pairs)}
+def name_contains_indexed(spark, sf_dir):
+    index = trigrams.build_text_index(read(spark, sf_dir, "part"), shared_folder(spark, "names"), "p_partkey", F.col("p_name"), buckets=8)
+    return trigrams.search_text(index, spark, "Red").select(F.col("key").alias("p_partkey"))
+
+
+def path_search_indexed(spark, sf_dir):
+    paths = entities(spark, sf_dir).withColumn("file_path", F.regexp_replace("file_path", "/", "\\\\"))
+    index = trigrams.build_text_index(paths, shared_folder(spark, "paths"), "id", filters.path_text(F.col("file_path"), F.col("id")), buckets=8)
+    return trigrams.search_text(index, spark, "BRAND#12/").select(F.col("key").alias("id"))
+
+
+def text_search(spark, sf_dir):
+    """Whole documents that hold a word and what follows it in the first document."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text")
+    wanted = rows.where("length(text) > 60").orderBy("doc_id").select(F.substring("text", 21, 6)).first()[0]
+    index = trigrams.build_text_index(rows, shared_folder(spark, "texts"), "doc_id", F.col("text"), buckets=16)
+    return trigrams.search_text(index, spark, wanted).select(F.col("key").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (ann_topk, ann_topk_filtered, ann_neighbours, ann_search, hashed_pairs, name_contains_indexed, path_search_indexed, text_search)}
 
 SQL = {
+    "name_contains_indexed": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red')",
+    "path_search_indexed": f"WITH n AS ({ENTITIES}) SELECT id FROM n WHERE contains(lower(file_path), 'brand#12/')",
+    "text_search": "SELECT doc_id FROM documents, (SELECT lower(substr(text, 21, 6)) AS w FROM documents WHERE length(text) > 60 ORDER BY doc_id LIMIT 1) WHERE contains(lower(text), w)",
     "ann_topk": f"WITH {MEM}, {Q} SELECT id, round({COS}, 6) AS score FROM m, q ORDER BY {COS} DESC, id LIMIT 10",
     "ann_topk_filtered": f"WITH {MEM}, {Q} SELECT id, round({COS}, 6) AS score FROM m, q WHERE tenant_id = 't0' AND project = 'p1' ORDER BY {COS} DESC, id LIMIT 10",
     "ann_neighbours": f"""WITH {MEM}, s AS (SELECT a.id AS query_id, b.id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM m a JOIN m b ON a.id % 20 = 0 AND a.id <> b.id),

@@ -8,7 +8,8 @@ from ..functions.text import content_hash
 from ..functions.vector import hashed
 from ..operators import filters, genes, graph, indexer, memory
 from ..schema import missing_references, normalize
-from ..sources import files
+from ..sources import files, keyed, sqlite
+from ..storage import shared_folder
 from ..streaming import state
 from .frames import ENTITIES, MEMORY, NOW, NOW_S, edges, entities, first_vector, memories, read
 
@@ -377,6 +378,27 @@ def consolidation(spark, sf_dir):
     return memory.run_consolidation(rows, NOW, threshold=0.3).report
 
 
+def keyed_merge(spark, sf_dir):
+    """Customers of a keyed table after two merges: the first gives every eighth a new segment, the second adds and takes away some."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.lit(0).alias("version"))
+    table = keyed.KeyedTable(spark, shared_folder(spark, "customers"))
+    table.create(rows.where("c_custkey % 10 <> 3"), ["c_custkey"], buckets=16)
+    table.merge(rows.where("c_custkey % 8 = 0").withColumns({"c_mktsegment": F.lit("new"), "version": F.lit(1)}), lambda old, new: memory.upsert(old, new, ["c_custkey"]))
+    table.merge(rows.where("c_custkey % 10 in (3, 4)"), lambda old, new: memory.insert_absent(old, new, ["c_custkey"]).where("c_custkey % 10 <> 4 or version = 1"))
+    return table.read()
+
+
+def stored_orders(spark, sf_dir):
+    """Orders written to a SQLite file and read back by ranges of rows, with the filter in the store's statement."""
+    sqlite.register(spark)
+    options = {"path": f"{shared_folder(spark, 'orders')}.db".removeprefix("file://"), "table": "orders"}
+    made = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    sqlite.prepare(options["path"])
+    made.write.format("sqlite").mode("append").options(**options).save()
+    back = spark.read.format("sqlite").options(**options).load().where("o_orderstatus = 'F' and o_totalprice > 50000")
+    return back.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 def hashed_vectors(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select("p_partkey", hashed(F.col("p_name"), 16).alias("v"))
     return rows.select("p_partkey", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 5).alias("norm"), F.size("v").cast("long").alias("n"))
@@ -401,7 +423,7 @@ QUERIES = {f.__name__: f for f in (
     episodes, entity_search, entity_list, concept_search, concept_access, gene_usage, gene_ranking, gene_page, skill_search, gene_by_name, skill_update, skill_install, skill_texts, skill_usage, immune_genes, immune_text, remaining_rows, written_rows,
     skipped_vectors, shared_contexts, field_checks, saved_memories, ingest_counts, ingest_memories, inject_gate, inject_gate_after, memory_ids, tag_filter, name_contains, path_search, vendor_paths, task_list, agent_discovery, tool_list,
     category_list, user_requests, truncation, project_list, project_lookup, inserted_absent, tenant_change, field_update, migrated, dangling_edges, normalized_rows, smell_counts, persisted_nodes, persisted_edges, flow_of_feature,
-    visible_links, flow_chart, flow_edges, flow_scope, call_sequence, analysis_stats, project_summary, entity_types, context_text, session_text, concept_drafts, consolidation, hashed_vectors, reported_staleness, bound_query, unread_sessions,
+    visible_links, flow_chart, flow_edges, flow_scope, call_sequence, analysis_stats, project_summary, entity_types, context_text, session_text, concept_drafts, consolidation, keyed_merge, stored_orders, hashed_vectors, reported_staleness, bound_query, unread_sessions,
 )}
 
 _PR = "n.entity_type IN ('module') AND"
@@ -539,6 +561,9 @@ SQL = {
  AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.30)
  SELECT step, CAST(n AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS error FROM (SELECT 'processed' AS step, count(*) AS n FROM m UNION ALL SELECT 'skipped_vectors', count(*) FROM m WHERE id % 10 = 7 UNION ALL SELECT 'duplicates_removed', count(*) FROM dead
  UNION ALL SELECT 'concepts_made', count(*) FROM c UNION ALL SELECT 'concepts_raised', count(*) FROM c UNION ALL SELECT 'archived', count(*) FROM a4 WHERE st = 'active' AND c2 < 0.10 UNION ALL SELECT 'superseded', count(*) FROM s)""",
+    "keyed_merge": """SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 AND c_custkey % 10 <> 3 THEN 'new' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 8 = 0 AND c_custkey % 10 <> 3 THEN 1 ELSE 0 END AS version
+ FROM customer WHERE c_custkey % 10 <> 4 OR c_custkey % 8 = 0""",
+    "stored_orders": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 50000 GROUP BY o_custkey",
     "hashed_vectors": "SELECT p_partkey, 1.0::DOUBLE AS norm, CAST(16 AS BIGINT) AS n FROM part",
     "reported_staleness": "SELECT user_id AS agent_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s FROM events GROUP BY user_id",
     "bound_query": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 100000.0 GROUP BY o_custkey",
