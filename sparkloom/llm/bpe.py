@@ -32,6 +32,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 STORE = 400_000
 #: Words of more characters don't go into the trie.
 LONG = 256
+#: Words of a trie: sorted ones, so that those with a common start are in one.
+TOGETHER = 4_096
 
 #: A space beside other white space, or at either end of a text.
 TOUCH = re.compile(r" \s|\s |^ | $|\s\Z| \Z").search
@@ -152,13 +154,16 @@ class Bpe:
         return known
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encodings of words, by a walk over their trie. Long ones are paths of their own, which need no nodes."""
-        out: dict[str, bytes] = {}
+        """Encodings of words, by walks over their tries. Long ones are paths of their own, which need no nodes."""
+        out = {word: self.walk(word.encode()) for word in words if len(word) > LONG}
+        ordered = sorted(word for word in words if len(word) <= LONG)
+        for at in range(0, len(ordered), TOGETHER):
+            self._learn(ordered[at : at + TOGETHER], out)
+        return out
+
+    def _learn(self, words: list[str], out: dict[str, bytes]) -> None:
         trie: dict = {}
         for word in words:
-            if len(word) > LONG:
-                out[word] = self.walk(word.encode())
-                continue
             node = trie
             for x in word.encode():
                 nxt = node.get(x)
@@ -190,7 +195,6 @@ class Bpe:
                     out[child] = code
                 else:
                     push((end + 1, y, child, state))
-        return out
 
     def walk(self, data: bytes) -> bytes:
         """The encoding of one long word."""
