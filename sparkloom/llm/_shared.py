@@ -48,6 +48,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps, which it does once the driver's memory has no trace of them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Keys that join_counted() broadcasts at most, and rows that a key may have without being one of them.
 HEAVY, LIGHT = 50_000, 1_000
 

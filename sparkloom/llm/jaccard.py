@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import KEPT_IN_WORKER, discard, in_worker, join_counted, written
+from ._shared import KEPT_IN_WORKER, discard, in_worker, join_counted, release, written
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -270,8 +270,11 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     # of two sets whose first common element is at i and j, each can only link with sizes up to its own largest: what comes before i has no partner
     heads = heads.select("e", "g", "n", F.floor(((100 + threshold) * (F.col("n") - F.col("i")) - threshold * F.col("n")) / threshold).alias("largest"))
     heads = written(heads, "heads")
+    release(heads.sparkSession)
     counts = written(heads.groupBy("e").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     shared = written(join_counted(heads, counts, ["e"], "c"), "shared")
+    discard(heads, counts)
+    release(shared.sparkSession)
     # all pairs of the groups of a rare element; a pair counts once for each common element
     rare = shared.where(F.col("c") <= PAIRED).groupBy("e").agg(F.array_sort(F.collect_list("g")).alias("g"))
     pairs = rare.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", 1, F.col("i"))).alias("b")).where("a <> b")
@@ -280,7 +283,8 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     many = frequent.groupBy("g").agg(F.count("*").alias("many"))
     edges = _possible(pairs, many, sets, threshold).select("a", "b").unionByName(_chains(frequent, threshold))
     comps = components(edges)
-    discard(heads, counts, shared)
+    discard(shared)
+    release(shared.sparkSession)
     joined = named.join(comps, F.col("g") == F.col("node"), "left")
     return joined.where(F.col("component").isNotNull() | (F.col("members") > 1)).select("doc_id", "n", F.coalesce("component", "g").alias("comp"))
 
@@ -422,7 +426,6 @@ def _with_hub(threshold: int):
 
 def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataFrame:
     """Links between the candidates, as a spanning forest of each component."""
-    candidates = written(candidates, "compared")
     sizes = written(candidates.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("elements")).where("m > 1"), "sizes")
     large = (F.col("m") > TOGETHER) | (F.col("elements") > TOGETHER_ELEMENTS)
     sized = written(join_counted(candidates, sizes, ["comp"], "m").withColumn("large", large), "candidates")
@@ -430,6 +433,7 @@ def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataF
     some_large = not sized.where("large").isEmpty()
     if some_large:  # they are read by several steps
         texts = written(texts, "texts")
+        release(texts.sparkSession)
     few = texts.where("not large").select(F.col("comp").alias("key"), "doc_id", "z", F.lit(-1).alias("side"))
     few = few.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_runs(threshold), LINKS)
     if not some_large:
@@ -444,6 +448,7 @@ def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataF
     hubs = hubs.dropDuplicates(["comp", "hub", "hub_z", "c"])
     tried = many.join(hubs, ["comp", "c"]).select("doc_id", "z", "hub", "hub_z").mapInArrow(_with_hub(threshold), "doc_id long, hub long, linked boolean")
     tried = written(tried, "hubs")
+    release(tried.sparkSession)
     rest = many.join(tried.where("not linked").select("doc_id").distinct(), "doc_id", "left_semi")
     counts = written(rest.groupBy("comp").agg(parts(F.count("*"), F.sum("n")).alias("rows"), F.first("m").alias("m")), "rest")
     all_blocks = join_counted(many.drop("m"), counts, ["comp"], "m")
@@ -471,9 +476,13 @@ def jaccard_components(documents: DataFrame, threshold: int = THRESHOLD) -> Data
     same = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     same = written(same.where("copies > 1"), "copies")
     equal = join_counted(some.select("n", "s1", "s2", "doc_id"), same, ["n", "s1", "s2"], "copies").where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    links = _links(documents.where(F.col("doc_id").isNotNull()), _candidates(some, threshold), threshold)
-    found = components(links.unionByName(equal))
-    return sets.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    equal = written(equal, "equal")
+    candidates = written(_candidates(some, threshold), "compared")
+    sizes = written(sets.select("doc_id", F.col("n").alias("n_shingles")), "n_shingles")
+    discard(sets, same)  # the prefixes have done their work, and are the largest table
+    release(documents.sparkSession)
+    found = components(_links(documents.where(F.col("doc_id").isNotNull()), candidates, threshold).unionByName(equal))
+    return sizes.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
