@@ -10,7 +10,8 @@ from ..operators import filters, genes, graph, indexer, memory
 from ..schema import missing_references, normalize
 from ..sources import files, keyed, sqlite
 from ..storage import shared_folder
-from ..streaming import state
+from ..streaming import state, timers
+from ..tenants import set_tenant, tenant_views
 from .frames import ENTITIES, MEMORY, NOW, NOW_S, edges, entities, first_vector, memories, read
 
 MEM = f"m AS (SELECT {MEMORY} FROM embeddings)"
@@ -399,6 +400,20 @@ def stored_orders(spark, sf_dir):
     return back.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+def agent_transitions(spark, sf_dir):
+    """When users came, fell silent for six hours, and came back: the batch form of the stream with timers."""
+    beats = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("agent_id"), F.col("ts").cast("timestamp").alias("at"))
+    return timers.transitions(beats, "2024-02-15 00:00:00", 6 * 3600)
+
+
+def tenant_rows(spark, sf_dir):
+    """Customers of one segment, the session's tenant, in a session of its own, by nation."""
+    session = spark.newSession()
+    tenant_views(session, {"customers_of_tenant": f"{sf_dir}/customer.parquet"}, "c_mktsegment")
+    set_tenant(session, "BUILDING")
+    return session.sql("SELECT c_nationkey, count(*) AS n, count(DISTINCT c_mktsegment) AS segments FROM customers_of_tenant GROUP BY c_nationkey")
+
+
 def hashed_vectors(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select("p_partkey", hashed(F.col("p_name"), 16).alias("v"))
     return rows.select("p_partkey", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 5).alias("norm"), F.size("v").cast("long").alias("n"))
@@ -423,7 +438,7 @@ QUERIES = {f.__name__: f for f in (
     episodes, entity_search, entity_list, concept_search, concept_access, gene_usage, gene_ranking, gene_page, skill_search, gene_by_name, skill_update, skill_install, skill_texts, skill_usage, immune_genes, immune_text, remaining_rows, written_rows,
     skipped_vectors, shared_contexts, field_checks, saved_memories, ingest_counts, ingest_memories, inject_gate, inject_gate_after, memory_ids, tag_filter, name_contains, path_search, vendor_paths, task_list, agent_discovery, tool_list,
     category_list, user_requests, truncation, project_list, project_lookup, inserted_absent, tenant_change, field_update, migrated, dangling_edges, normalized_rows, smell_counts, persisted_nodes, persisted_edges, flow_of_feature,
-    visible_links, flow_chart, flow_edges, flow_scope, call_sequence, analysis_stats, project_summary, entity_types, context_text, session_text, concept_drafts, consolidation, keyed_merge, stored_orders, hashed_vectors, reported_staleness, bound_query, unread_sessions,
+    visible_links, flow_chart, flow_edges, flow_scope, call_sequence, analysis_stats, project_summary, entity_types, context_text, session_text, concept_drafts, consolidation, keyed_merge, stored_orders, agent_transitions, tenant_rows, hashed_vectors, reported_staleness, bound_query, unread_sessions,
 )}
 
 _PR = "n.entity_type IN ('module') AND"
@@ -561,6 +576,10 @@ SQL = {
  AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.30)
  SELECT step, CAST(n AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS error FROM (SELECT 'processed' AS step, count(*) AS n FROM m UNION ALL SELECT 'skipped_vectors', count(*) FROM m WHERE id % 10 = 7 UNION ALL SELECT 'duplicates_removed', count(*) FROM dead
  UNION ALL SELECT 'concepts_made', count(*) FROM c UNION ALL SELECT 'concepts_raised', count(*) FROM c UNION ALL SELECT 'archived', count(*) FROM a4 WHERE st = 'active' AND c2 < 0.10 UNION ALL SELECT 'superseded', count(*) FROM s)""",
+    "agent_transitions": """WITH b AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS agent_id, epoch_us(ts) // 1000 AS ms FROM events), w AS (SELECT *, lag(ms) OVER (PARTITION BY agent_id ORDER BY ms) AS before, lead(ms) OVER (PARTITION BY agent_id ORDER BY ms) AS after FROM b)
+ SELECT agent_id, 'online' AS status, ms AS at_ms FROM w WHERE before IS NULL OR ms > before + 21600000
+ UNION ALL SELECT agent_id, 'offline', ms + 21600000 FROM w WHERE coalesce(after, epoch_ms(TIMESTAMP '2024-02-15')) > ms + 21600000""",
+    "tenant_rows": "SELECT c_nationkey, count(*) AS n, CAST(1 AS BIGINT) AS segments FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey",
     "keyed_merge": """SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 AND c_custkey % 10 <> 3 THEN 'new' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 8 = 0 AND c_custkey % 10 <> 3 THEN 1 ELSE 0 END AS version
  FROM customer WHERE c_custkey % 10 <> 4 OR c_custkey % 8 = 0""",
     "stored_orders": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 50000 GROUP BY o_custkey",
