@@ -44,7 +44,7 @@ PAIRED = 8
 COUNTED = 1 << 20
 #: Members, and elements of their sets, that one task compares in a component; members and elements of a block of larger ones.
 TOGETHER, TOGETHER_ELEMENTS = 1_500, 750_000
-BLOCK, BLOCK_ELEMENTS = 1_000, 500_000
+BLOCK, BLOCK_ELEMENTS = 1_500, 750_000
 
 BASE = 0x9E3779B97F4A7C15
 SLICE = 1 << 20
