@@ -4,32 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder as shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; any others, whatever they are called, are left behind."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which the driver and all executors see.
-
-    Where the setting is missing, a local master gets a temporary folder and a
-    cluster the warehouse, which is shared as well.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="sparkloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return f"{base.rstrip('/')}/sparkloom/{what}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: later steps read it instead of computing it again, and it outlives executors."""
     spark = df.sparkSession
