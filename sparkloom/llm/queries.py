@@ -11,7 +11,7 @@ from .lines import OP13_SQL, op13_line_dedup
 from .pii import op8_pii
 from .quality import op3_quality_classifier
 from .rules import op5_quality_rules
-from .spelling import op11_spelling
+from .spelling import OP11_SQL, op11_spelling
 from .suffix import op7_suffix_dedup
 from .trie import OP12_SQL, op12_prefix_trie
 from .warc import OP9_SQL, op9_warc
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_line_dedup": op13_line_dedup,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op9_warc": OP9_SQL, "op10_ngram_join": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_line_dedup": OP13_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op9_warc": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_spelling": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_line_dedup": OP13_SQL}

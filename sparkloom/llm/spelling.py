@@ -338,3 +338,31 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = written(count_words(table(spark, sf_dir, "documents", "doc_id", "text")), "words")
     return variants(words)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY i) AS steps FROM range(256) AS u(i)
+), g AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+  ) GROUP BY ALL
+), h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))),
+         lambda x, b: xor(x >> 8, steps[xor(x & 255, b) + 1])), 4294967295) AS h FROM g, t
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), v AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM v a JOIN w b ON a.rest = b.word
+), f AS (
+  SELECT w.word, w.n, coalesce(x.n_near, 0) AS n_near, CASE WHEN x.m >= 2 * w.n THEN x.other END AS form, CASE WHEN x.m >= 2 * w.n THEN x.m END AS form_n
+  FROM w LEFT JOIN (SELECT word, count(*) AS n_near, max(m) AS m, first(other ORDER BY m DESC, other) AS other FROM p GROUP BY word) x USING (word)
+), r AS (
+  SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.at AS root FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.at AND e.form IS NULL
+"""

@@ -116,6 +116,12 @@ def test_op11_on_odd_rows(spark, data, texts):
     assert {w: g[1] for w, g in got.items()} == near
 
 
+def test_op11_equals_its_sql(spark, data):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    assert rows(spelling.op11_spelling(spark, data), "word", "n", "n_near", "form", "form_n", "root") == ordered(c.sql(spelling.OP11_SQL).fetchall())
+
+
 def test_op11_words_are_cut_at_most_once():
     assert spelling.document_words(5, "Äb ÄB äB", None) == {"Äb": 2, "äb": 1}
     assert spelling.document_words(None, "") == {}
