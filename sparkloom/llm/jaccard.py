@@ -45,6 +45,8 @@ COUNTED = 1 << 20
 #: Members, and elements of their sets, that one task compares in a component; members and elements of a block of larger ones.
 TOGETHER, TOGETHER_ELEMENTS = 1_500, 750_000
 BLOCK, BLOCK_ELEMENTS = 1_500, 750_000
+#: Candidates that go to the texts (10 MB); of more, the texts go to them.
+TRAVEL = 200_000
 
 BASE = 0x9E3779B97F4A7C15
 SLICE = 1 << 20
@@ -429,7 +431,10 @@ def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataF
     sizes = written(candidates.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("elements")).where("m > 1"), "sizes")
     large = (F.col("m") > TOGETHER) | (F.col("elements") > TOGETHER_ELEMENTS)
     sized = written(join_counted(candidates, sizes, ["comp"], "m").withColumn("large", large), "candidates")
-    texts = _packed(documents).join(sized.select("doc_id"), "doc_id", "left_semi").join(sized, "doc_id")
+    if sized.count() <= TRAVEL:
+        texts = _packed(documents.join(F.broadcast(sized.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(sized), "doc_id")
+    else:
+        texts = _packed(documents).join(sized.select("doc_id"), "doc_id", "left_semi").join(sized, "doc_id")
     some_large = not sized.where("large").isEmpty()
     if some_large:  # they are read by several steps
         texts = written(texts, "texts")
