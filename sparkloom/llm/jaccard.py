@@ -5,8 +5,8 @@
 2. Shingles are ordered by hash, but those that many documents have come last.
    Two sets whose Jaccard similarity reaches the threshold share an element of
    their prefixes, the first |x| - ceil(t |x|) + 1 elements in that order.
-   Frequencies are counted over all documents; the most frequent shingles are
-   a bounded list. The order only decides how much work there is.
+   Frequencies are counted over all documents; the frequent shingles are bits of
+   a bounded table. The order only decides how much work there is.
 3. Documents with the same prefix and size are collapsed into one group. Pairs
    of groups that share a rare prefix element are filtered by their sizes and by
    how much of the prefixes is common. Groups that share a frequent element are
@@ -36,8 +36,10 @@ from ._shared import KEPT_IN_WORKER, discard, in_worker, join_counted, release,
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 80
-#: Prefix elements counted more often than this come last in the order, up to so many of them: the list takes 2 MB.
-FREQUENT, FREQUENT_MOST = 1, 1 << 18
+#: Prefix elements counted more often than this come last in the order.
+FREQUENT = 1
+#: Bits of the table that says which: so many for each of them, as a power of two between these (128 KB and 16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 20, 27
 #: Groups that an element may have for their pairs to be looked at; those of other elements are chained.
 PAIRED = 8
 #: Elements that a task counts at a time (8 MB).
@@ -136,13 +138,22 @@ def prefix_size(n: int, threshold: int) -> int:
     return n - math.ceil(threshold * n / 100) + 1 if n else 0
 
 
+def _often(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether elements come last: the bit of an element's leading digits is set."""
+    slot = s >> np.uint64(62 - len(bits).bit_length())
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
 def _frequent(documents: DataFrame, threshold: int) -> np.ndarray:
-    """The most frequent elements, sorted; counted over the stretch of each set from which prefixes come (twice their size).
+    """A table of bits, one for each beginning of an element, set for frequent ones; counted over the stretch of each set from which prefixes come (twice their size).
 
     All documents are counted. What a task meets once among COUNTED elements is
     not sent: an element with many occurrences is met twice by some tasks, and
-    the order is right whatever the counts are. Of the counts a histogram with
-    a few hundred rows comes to the driver, and then a list of bounded length.
+    the order is right whatever the counts are. Elements that share a bit with a
+    frequent one come last too, one in BITS_EACH of them or so. No frequent one
+    is left out, however many there are: those left among the rare would chain
+    documents that have nothing else in common. Tasks make the table's parts;
+    MOST_BITS bits come to the driver at most.
     """
 
     @in_worker("hashes")
@@ -165,16 +176,27 @@ def _frequent(documents: DataFrame, threshold: int) -> np.ndarray:
             yield twice()
 
     counts = documents.select("text").mapInArrow(stretch, "e long, c long").groupBy("e").agg(F.sum("c").alias("c"))
-    counts = written(counts.where(F.col("c") > FREQUENT).withColumn("step", F.floor(F.log2("c") * 8)), "frequent")
-    room, least = FREQUENT_MOST, None
-    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["step"]
-    found = np.zeros(0, np.int64) if least is None else counts.where(F.col("step") >= least).select("e").toPandas()["e"].to_numpy(np.int64)
+    counts = written(counts.where(F.col("c") > FREQUENT).select("e"), "frequent")
+    power = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, counts.count() * BITS_EACH)))))
+    size = 1 << (LEAST_BITS - 3)
+
+    @in_worker("hashes")
+    def parts(batches):
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - power)
+            for part in np.unique(slots >> np.uint64(LEAST_BITS)):
+                own = (slots[slots >> np.uint64(LEAST_BITS) == part] & np.uint64((1 << LEAST_BITS) - 1)).astype(np.int64)
+                np.bitwise_or.at(made.setdefault(int(part), np.zeros(size, np.uint8)), own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([m.tobytes() for m in made.values()], pa.binary())], names=["part", "bits"])
+
+    bits = np.zeros(1 << (power - 3), np.uint8)
+    by_part = counts.repartitionByRange(1 << (power - LEAST_BITS), "e") if power > LEAST_BITS else counts.coalesce(1)
+    for r in by_part.mapInArrow(parts, "part long, bits binary").toLocalIterator():
+        bits[r["part"] * size : (r["part"] + 1) * size] |= np.frombuffer(r["bits"], np.uint8)
     discard(counts)
-    return np.sort(found.view(np.uint64))
+    return bits
 
 
 SETS = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, last_often boolean, last long, prefix array<long>"
@@ -199,14 +221,10 @@ def shingle_sets(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             for _, s in sets_of(batch.column(1)):
                 n = len(s)
                 size = prefix_size(n, threshold)
-                if len(frequent) and n:
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    often = frequent[at] == s
-                    prefix = np.concatenate([s[~often], s[often]])[:size]
-                else:
-                    prefix = s[:size]
+                often = _often(frequent, s)
+                prefix = np.concatenate([s[~often], s[often]])[:size]
                 end = int(prefix[-1]) if n else 0
-                last_often = bool(n and len(frequent) and frequent[min(np.searchsorted(frequent, prefix[-1]), len(frequent) - 1)] == prefix[-1])
+                last_often = bool(n and size > n - often.sum())
                 rows.append((n, *_sums(s), *_sums(prefix), last_often, end - (1 << 63), prefix.view(np.int64)))
             if rows:
                 *numbers, prefixes = zip(*rows)

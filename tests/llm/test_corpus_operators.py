@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +246,13 @@ def test_pipeline(spark, data, nothing):
         docs = stage(spark, docs, data)
     assert rows(pipeline.run(spark, data), "doc_id", "n_tokens", "ids_sha256") == rows(docs, "doc_id", "n_tokens", "ids_sha256")
     assert pipeline.run(spark, nothing).count() == 0
+
+
+def test_jaccard_knows_every_frequent_shingle(spark):
+    text = " ".join(f"w{i}" for i in range(700_000))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").coalesce(1)
+    bits = jaccard._frequent(docs, 80)
+    (_, s), = jaccard.sets_of(pa.array([text]))
+    counted = s[: 2 * jaccard.prefix_size(len(s), 80)]
+    assert len(counted) > 1 << 18 and jaccard._often(bits, counted).all()
+    assert jaccard._often(bits, s[len(counted) :]).mean() < 0.1
