@@ -54,6 +54,8 @@ def hashed(text: Column, size: int = 64) -> Column:
     """A unit vector of hashed words: a stand-in for a model that needs no network. Null for texts without words."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    length = norm(counts)
-    return F.when(F.size(words) > 0, F.transform(counts, lambda c: (c / length).cast("float")))
+    # an array of one value names it: an expression that a lambda uses is computed anew for each element
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    counted = lambda ps: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(ps, lambda p: p == i)).cast("double"))
+    scaled = lambda counts: once(norm(counts), lambda length: F.transform(counts, lambda c: (c / length).cast("float")))
+    return once(places, lambda ps: F.when(F.size(ps) > 0, once(counted(ps), scaled)))

@@ -1,5 +1,6 @@
 """Operators on literal rows, with values worked out by hand."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -265,3 +266,18 @@ def test_streaming_limit(spark, tmp_path):
     query = state.rate_limit_stream(stream, limit=3).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination()
     assert sorted(values(spark.table("limited"), "event_id", "accepted")) == [(0, True), (1, True), (2, True), (3, False), (4, False)]
+
+
+def test_hashed_computes_its_words_once(spark):
+    from sparkloom.functions.vector import hashed
+
+    texts = ["Red green, red", "", None, "..", "Ä ä b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plan = df.select(hashed(F.col("t"), 8).alias("v"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("xxhash64") == 1
+    place = {r["w"]: r["p"] for r in spark.createDataFrame([(w,) for w in ("red", "green", "ä", "b")], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(8)).alias("p")).collect()}
+    for text, row in zip(texts, plan.collect()):
+        words = [w for w in re.split(r"\W+", (text or "").lower()) if w]
+        counts = [sum(place[w] == i for w in words) for i in range(8)]
+        length = sum(c * c for c in counts) ** 0.5
+        assert row["v"] == (pytest.approx([c / length for c in counts], abs=1e-6) if words else None)
