@@ -34,8 +34,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a checkpoint in the shared folder, made at once."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    """df with its lineage cut: a table in the shared folder, made at once.
+
+    Not a checkpoint: that keeps the size that was estimated for df, and the
+    estimate of a join is its sides' product, so that its digits double in each
+    round of a loop until the driver's memory is full of them. A table has the
+    size of its files.
+    """
+    return written(df, "cut")

@@ -268,6 +268,16 @@ def test_streaming_limit(spark, tmp_path):
     assert sorted(values(spark.table("limited"), "event_id", "accepted")) == [(0, True), (1, True), (2, True), (3, False), (4, False)]
 
 
+def test_a_loop_of_joins_keeps_its_size_estimate(spark):
+    from sparkloom.storage import cut
+
+    labels = spark.range(50).selectExpr("id", "id AS label")
+    for _ in range(8):
+        labels = cut(labels.join(labels.selectExpr("id AS label", "label AS next"), "label").select("id", F.least("label", "next").alias("label")))
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1_000_000
+    assert labels.count() == 50
+
+
 def test_hashed_computes_its_words_once(spark):
     from sparkloom.functions.vector import hashed
 
