@@ -34,3 +34,16 @@ def test_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "id long, t string")
     made = trigrams.build_text_index(df, str(tmp_path / "n"), "id", F.col("t"))
     assert [trigrams.search_text(made, spark, t).collect() for t in ("abc", "ab", "")] == [[], [], []]
+
+
+def test_a_gram_of_a_stretch_of_texts_is_one_row(spark, tmp_path, monkeypatch):
+    texts = [f"common {i}" for i in range(300)] + ["a\U0001f600b\U0001f600" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    made = trigrams.build_text_index(df, str(tmp_path / "one"), "id", F.col("t"), buckets=1)
+    rows = made.table(spark, "lists").where("gram = 'omm'").collect()
+    assert len(rows) == 1 and sorted(rows[0]["keys"]) == list(range(300))
+    assert [r["key"] for r in trigrams.search_text(made, spark, "\U0001f600B\U0001f600a").collect()] == [300]
+    monkeypatch.setattr(trigrams, "TASK_ROWS", 40)
+    many = trigrams.build_text_index(df, str(tmp_path / "many"), "id", F.col("t"), buckets=1)
+    assert len(many.table(spark, "lists").inputFiles()) > 1
+    assert sorted(r["key"] for r in trigrams.search_text(many, spark, "COMMON 29").collect()) == [29, *range(290, 300)]
