@@ -61,8 +61,20 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(spark, sf_dir, ENTITIES, "part")
 
 
+#: Rows that one task makes distinct (100 MB).
+TASK_ROWS = 500_000
+
+
+def distinct_by(rows: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of columns. Rows are dealt by them to tasks of about TASK_ROWS rows before any are held, so that a task's table doesn't grow with the splits of the input."""
+    n = max(1, -(-rows.count() // TASK_ROWS))
+    return rows.select(*columns).repartition(n, *columns).distinct()
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(spark, sf_dir, EDGES, "lineitem")
+    """EDGES, whose numbers are made distinct before they become texts."""
+    pairs = distinct_by(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+    return pairs.selectExpr("'supp:' || cast(l_suppkey AS string) AS source_id", "'part:' || cast(l_partkey AS string) AS target_id", "'call' AS relationship_type", "'t' AS tenant_id")
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:

@@ -291,3 +291,12 @@ def test_hashed_computes_its_words_once(spark):
         counts = [sum(place[w] == i for w in words) for i in range(8)]
         length = sum(c * c for c in counts) ** 0.5
         assert row["v"] == (pytest.approx([c / length for c in counts], abs=1e-6) if words else None)
+
+
+def test_distinct_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from sparkloom.plans import frames
+
+    monkeypatch.setattr(frames, "TASK_ROWS", 100, raising=False)
+    rows = spark.range(0, 1_000, 1, 3).selectExpr("id % 70 AS a", "id % 7 AS b", "id AS c")
+    out = frames.distinct_by(rows, "a", "b")
+    assert out.rdd.getNumPartitions() == 10 and sorted(map(tuple, out.collect())) == [(i, i % 7) for i in range(70)]
