@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, genes, graph, indexer
-from .frames import EDGES, ENTITIES, NOW, edges, entities, first_vector, memories, read
+from .frames import EDGES, ENTITIES, NOW, distinct_by, edges, entities, first_vector, memories, read
 
 G = f"n AS ({ENTITIES}), e AS ({EDGES})"
 
@@ -33,7 +33,7 @@ def dead_code(spark, sf_dir):
 
 def dead_code_unsold(spark, sf_dir):
     """Over whole edges; parts stand for code, also those that no supplier has."""
-    known = read(spark, sf_dir, "lineitem").selectExpr("concat('part:', cast(l_partkey as string)) AS target_id", "'t' AS tenant_id")
+    known = distinct_by(read(spark, sf_dir, "lineitem"), "l_partkey").selectExpr("concat('part:', cast(l_partkey as string)) AS target_id", "'t' AS tenant_id")
     extra = read(spark, sf_dir, "customer").selectExpr("concat('part:', cast(c_custkey * 2 as string)) AS id", "c_name AS entity_name", "'function' AS entity_type", "'src/c.ts' AS file_path", "'t' AS tenant_id")
     return graph.dead_code(entities(spark, sf_dir).unionByName(extra), known)
 
