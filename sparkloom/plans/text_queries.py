@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import capped_json, episode_value, identifier_words, slug, tags_of, tool_request
+from ..functions.text import capped_json, episode_value, identifier_words, js_regex, slug, tags_of, tool_request
 from ..operators import filters, indexer, scanner, transcripts
 from ..operators.memory import keep_latest
 from ..streaming import state
@@ -17,7 +17,7 @@ def transcript_memories(spark, sf_dir):
     words = {"the": "error", "des": "prefer", "der": "always"}
     text = F.col("text")
     for a, b in words.items():
-        text = F.regexp_replace(text, rf"(?i)(?<![\p{{L}}]){a}(?![\p{{L}}])", b)
+        text = F.regexp_replace(text, js_regex(rf"(?i)\b{a}\b"), b)
     return transcripts.classify(transcripts.build(rows.withColumn("text", text))).select("conv_id", "rank", "memory_type", "importance", F.sha2("content", 256).alias("content_sha"))
 
 

@@ -300,3 +300,11 @@ def test_distinct_rows_are_dealt_by_their_number(spark, monkeypatch):
     rows = spark.range(0, 1_000, 1, 3).selectExpr("id % 70 AS a", "id % 7 AS b", "id AS c")
     out = frames.distinct_by(rows, "a", "b")
     assert out.rdd.getNumPartitions() == 10 and sorted(map(tuple, out.collect())) == [(i, i % 7) for i in range(70)]
+
+
+def test_words_of_transcripts_end_where_ascii_words_do(spark, tmp_path):
+    from sparkloom.plans.text_queries import transcript_memories
+
+    texts = [(1, 0, "user", "Nothing of note is said about éthe matters in here today"), (2, 0, "user", "Nothing of note is said about the2 matters in here today")]
+    spark.createDataFrame(texts, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [(r["conv_id"], r["memory_type"]) for r in transcript_memories(spark, str(tmp_path)).collect()] == [(1, "MISTAKE")]
