@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from ..functions.text import blocklist_reason, content_hash, episode_value, nois
 from ..functions.vector import cosine, hashed, literal
 from ..storage import cut
 from .filters import keep_first
-from .rounds import settle_pairs
+from .rounds import settle_apart, settle_pairs
 from .transcripts import build, classify
 
 LEAST, MOST = 0.05, 0.99
@@ -303,13 +303,114 @@ def superseded_ids(df: DataFrame, threshold: float = 0.85, group: Sequence[str]
     return won.groupBy(F.col("earlier").alias("id")).agg(F.min_by("later", F.struct("at2", "later")).alias("superseded_by"))
 
 
+#: Memories of a group that take their turns together, at least, places that are counted at a time (a power of two), and later memories that a task compares with them.
+TURNS, PLACES, LATER = 4_096, 11, 16_384
+
+
+def _in_turn(threshold: float):
+    """Over a group's first memories: those that are left when all had their turns are open, the others are gone."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rank")
+        u, w = _matrix(rows.column("unit").combine_chunks()), rows.column("weight").to_numpy()
+        left = np.ones(len(w), bool)
+        for x in range(len(w)):
+            if not left[x]:
+                continue
+            like = np.flatnonzero((u[x + 1 :] @ u[x] > threshold) & left[x + 1 :]) + x + 1
+            more = like[w[like] > w[x]] if w[x] >= 0 else like[:0]
+            if len(more):
+                left[x] = False
+                like = like[like < more[0]]
+            left[like] = False
+        return pa.table({"rank": rows.column("rank"), "open": pa.array(left)})
+
+    return run
+
+
+def _touched(threshold: float):
+    """Pairs (a, b, up) of memories that had their turn and later ones that they are similar to."""
+
+    def run(later: pa.Table, turned: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        if len(later) and len(turned):
+            (u, r, w), (v, a, x) = ((_matrix(t.column("unit").combine_chunks()), t.column("rank").to_numpy(), t.column("weight").to_numpy()) for t in (later, turned))
+            for low in range(0, len(r), AT_ONCE):
+                i, j = np.nonzero(u[low : low + AT_ONCE] @ v.T > threshold)
+                i += low
+                found.append((a[j], r[i], (w[i] > x[j]) & (x[j] >= 0)))
+        return pa.table(dict(zip(("a", "b", "up"), map(np.concatenate, zip(*found)))))
+
+    return run
+
+
+def _by_turns(df: DataFrame, threshold: float, group: Sequence[str], embedding: str = "embedding") -> DataFrame:
+    """ids that greedy_duplicates removes, by few of all similar pairs.
+
+    The first memories of each group take their turns in a task. Those that are
+    still there, which are unlike each other, are compared with all later ones,
+    and what they leave goes on with its first memories. What is left is unlike
+    all that had their turn, and so is soon little where many are alike: rounds
+    grow with the logarithm of a group then, and comparisons with its size. Where
+    few are alike, the rest is compared in pairs.
+    """
+    keys = [*group, "_size"]
+    known = reduce(lambda a, b: a & b, (F.col(g).isNotNull() for g in group), F.lit(True))
+    rows = df.where(known & (F.size(embedding) > 0)).withColumn("_n", norm_of(embedding)).where("_n > 0")
+    weights = df.select("importance").where("importance is not null").distinct().orderBy("importance").select("importance", F.monotonically_increasing_id().alias("weight"))
+    rows = rows.select(*group, "id", "importance", "created_at", F.transform(embedding, lambda x: x / F.col("_n")).alias("unit")).join(weights, "importance", "left")
+    rows = rows.orderBy("created_at", "id").select(*group, F.size("unit").alias("_size"), "id", F.monotonically_increasing_id().alias("rank"), F.coalesce("weight", F.lit(-1)).alias("weight"), "unit")
+    every = cut(rows)
+    left, removed = every.drop("id"), []
+    place = F.shiftright("rank", PLACES)
+    while True:
+        counted = left.groupBy(*keys, place.alias("_place")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        last = F.max(F.when(F.col("before") < TURNS, F.col("_place"))).alias("_last")
+        places = cut(counted.withColumn("before", before).groupBy(*keys).agg(last, F.sum(F.when(F.col("before") >= TURNS, F.col("n")).otherwise(0)).alias("later"), F.sum("n").alias("n")))
+        n, later = places.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("later"), F.lit(0))).first()
+        if not n:
+            break
+        located = left.join(places.withColumn("_parts", F.ceil(F.col("later") / LATER).cast("int")).drop("n", "later"), keys)
+        first = located.where(place <= F.col("_last"))
+        turned = cut(first.select(*keys, "rank", "weight", "unit").groupBy(*keys).applyInArrow(_in_turn(threshold), "rank long, open boolean"))
+        removed.append(turned.where("not open").select(F.col("rank").alias("node")))
+        if not later:
+            break
+        parts = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
+        stay = cut(first.where("_parts > 0").join(turned.where("open").select("rank"), "rank", "left_semi").select(*keys, "_parts", "rank", "weight", "unit"))
+        stay = stay.select(*keys, parts, "rank", "weight", "unit")
+        rest = located.where(place > F.col("_last"))
+        dealt = rest.select(*keys, F.pmod(F.xxhash64("rank"), "_parts").cast("int").alias("_part"), "rank", "weight", "unit")
+        pairs = dealt.groupBy(*keys, "_part").cogroup(stay.groupBy(*keys, "_part")).applyInArrow(_touched(threshold), "a long, b long, up boolean")
+        gone = cut(settle_apart(pairs))
+        removed.append(gone)
+        left = cut(rest.join(gone.select(F.col("node").alias("rank")), "rank", "left_anti").select(*left.columns))
+        if left.count() > 0.75 * n and 2 * turned.where("open").count() > n - later:
+            pairs = similar_pairs(left, group, ("rank",), threshold, "unit", "rank")
+            removed.append(settle_pairs(_with_up(pairs, left.select("rank", "weight")))[0])
+            break
+    if not removed:
+        return every.select("id")
+    return every.join(reduce(DataFrame.unionByName, removed).distinct().select(F.col("node").alias("rank")), "rank", "left_semi").select("id")
+
+
+def _with_up(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(a, b, up) of (earlier, later), which are ranks: up where the later one weighs more; -1 weighs nothing that is known."""
+    a, b = ranked.selectExpr("rank as a", "weight as w1"), ranked.selectExpr("rank as b", "weight as w2")
+    both = pairs.selectExpr("earlier as a", "later as b").join(a, "a").join(b, "b")
+    return both.select("a", "b", F.expr("w1 >= 0 and w1 < w2").alias("up"))
+
+
 def greedy_duplicates(df: DataFrame, threshold: float = 0.85, group: Sequence[str] = ("tenant_id", "project"), pairs_of=similar_pairs) -> DataFrame:
     """ids to remove: in order of (created_at, id) each kept memory removes later similar ones of no more importance, and is itself removed by the first of more.
 
-    Similar pairs are found as a join, and settled in rounds: a memory takes its
-    turn as soon as nothing earlier can still touch it or those it is similar to.
-    Jobs run while this is called.
+    With another function for pairs than similar_pairs, those are found as a join,
+    and settled in rounds: a memory takes its turn as soon as nothing earlier can
+    still touch it or those it is similar to. Jobs run while this is called.
     """
+    if pairs_of is similar_pairs:
+        return _by_turns(df, threshold, list(group))
     pairs = cut(pairs_of(df, group, ("created_at",), threshold))
     ends = pairs.select(F.col("earlier").alias("id")).union(pairs.select(F.col("later").alias("id"))).distinct()
     facts = df.join(ends, "id", "left_semi").select("id", "importance", "created_at")

@@ -6,6 +6,8 @@ lineage in every round. They run jobs while they are called.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-#: Edges that one task settles by itself when strong components are sought; more go through rounds.
+#: Edges that one task settles by itself when strong components are sought, or pairs when they are walked; more go through rounds.
 TOGETHER = 1 << 18
 
 
@@ -156,18 +158,37 @@ def first_in_first_out(nodes: DataFrame, edges: DataFrame, group: str = "project
     return numbered(ordered, [group], ["_open", "level", "rank", "place"]).select(group, "id", "position", (~F.col("_open")).alias("ordered"))
 
 
+def _walked(pairs: DataFrame) -> DataFrame:
+    """v, the nodes that go when one task walks the pairs by a and b."""
+
+    def run(frames):
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["a", "b"])
+        gone = set()
+        for a, b, up in zip(rows["a"].tolist(), rows["b"].tolist(), rows["up"].tolist()):
+            if a not in gone and b not in gone:
+                gone.add(a if up else b)
+        yield pd.DataFrame({"v": list(gone)})
+
+    return cut(pairs.coalesce(1).mapInPandas(run, f"v {dict(pairs.dtypes)['a']}"))
+
+
 def settle_pairs(pairs: DataFrame) -> tuple[DataFrame, int]:
     """(removed: node; rounds) of pairs (a < b, up): each a in turn removes its b's, unless one with up, which stays and removes a; what was removed removes nothing.
 
     A node takes its turn as soon as no pair of a smaller node is left that
     touches it or one of its own pairs; many do so in each round. Pairs with a
-    removed node, and those of nodes that had their turn, are gone. There are at
-    most as many rounds as the longest chain of nodes that wait for each other.
+    removed node, and those of nodes that had their turn, are gone. One task walks
+    the last TOGETHER pairs. There are at most as many rounds as the longest chain
+    of nodes that wait for each other.
     """
     left = cut(pairs.select("a", "b", "up").distinct())
     removed, rounds = None, 0
-    while not left.isEmpty():
+    while n := left.count():
         rounds += 1
+        if n <= TOGETHER:
+            gone = _walked(left)
+            removed = gone if removed is None else removed.union(gone)
+            break
         touching = left.select(F.col("a").alias("v"), "a").union(left.select(F.col("b").alias("v"), "a"))
         first = cut(touching.groupBy("v").agg(F.min("a").alias("first")))
         at_b = left.join(first.select(F.col("v").alias("b"), F.col("first").alias("first_b")), "b")
@@ -181,3 +202,30 @@ def settle_pairs(pairs: DataFrame) -> tuple[DataFrame, int]:
     if removed is None:
         removed = pairs.select(F.col("a").alias("v")).limit(0)
     return removed.select(F.col("v").alias("node")), rounds
+
+
+def settle_apart(pairs: DataFrame) -> DataFrame:
+    """node, as settle_pairs removes them, of distinct pairs of which no b is an a of others.
+
+    An a stops at the latest at its first b with up that no smaller a touches, and
+    touches nothing beyond. If smaller ones touch no b with up before that, it is
+    settled: its b's end there, whatever happened to them earlier, and larger a's
+    don't meet them. Each round settles the smallest a's at least, which wait for
+    none; one task walks the last TOGETHER pairs.
+    """
+    left = cut(pairs.select("a", "b", "up"))
+    removed = []
+    while (n := left.count()) > TOGETHER:
+        first = left.groupBy("b").agg(F.min("a").alias("first"))
+        known = cut(left.join(first, "b"))
+        stops = known.where("up and a = first").groupBy("a").agg(F.min("b").alias("stop"))
+        reach = cut(known.join(stops, "a", "left").where("stop is null or b <= stop"))
+        turn = cut(reach.groupBy("a").agg(F.max(F.expr("up and a <> first")).alias("waits"), F.max("stop").alias("stop")).where("not waits").select("a", "stop"))
+        ends = cut(reach.where("not up").join(turn.select("a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("end")))
+        removed += [ends.select(F.col("b").alias("v")), turn.where("stop is not null").select(F.col("a").alias("v"))]
+        left = cut(reach.join(turn.select("a"), "a", "left_anti").join(ends, "b", "left").where("end is null or a < end").select("a", "b", "up"))
+    if n:
+        removed.append(_walked(left))
+    if not removed:
+        return left.select(F.col("a").alias("node"))
+    return reduce(DataFrame.union, removed).distinct().select(F.col("v").alias("node"))

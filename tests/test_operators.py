@@ -87,6 +87,59 @@ def test_greedy_duplicates_is_idempotent(spark):
     assert memory.greedy_duplicates(kept).count() == 0
 
 
+def _greedy(rows, threshold):
+    """ids that a plain walk over (id, tenant, importance, at, vector) removes."""
+    import numpy as np
+
+    rows = sorted((r for r in rows if r[1] is not None and r[4] is not None and any(r[4])), key=lambda r: (r[3], r[0]))
+    unit = [np.float32(r[4]).astype(float) / np.linalg.norm(np.float32(r[4]).astype(float)) for r in rows]
+    gone = set()
+    for x, a in enumerate(rows):
+        for y in range(x + 1, len(rows)):
+            b = rows[y]
+            if a[0] in gone:
+                break
+            if b[0] not in gone and a[1] == b[1] and len(a[4]) == len(b[4]) and unit[x] @ unit[y] > threshold:
+                gone.add(a[0] if a[2] is not None and b[2] is not None and a[2] < b[2] else b[0])
+    return gone
+
+
+def test_greedy_duplicates_forms_few_of_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from sparkloom.operators import rounds
+
+    r = np.random.default_rng(5)
+    rows = [(f"k{i:04}", f"t{i % 3}", None if i % 31 == 0 else float(r.integers(1, 6)), datetime(2024, 1, 1) + timedelta(hours=i // 2), [float(x) for x in r.normal(size=3 if i % 41 == 0 else 5)]) for i in range(450)]
+    rows += [("n0", None, 1.0, NOW, rows[0][4]), ("n1", "t0", 1.0, NOW, None), ("n2", "t0", 1.0, NOW, []), ("n3", "t0", 1.0, NOW, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, importance double, created_at timestamp, embedding array<float>").repartition(3)
+    want = _greedy(rows, 0.5)
+
+    def settle(pairs):
+        raise AssertionError("all similar pairs were formed")
+
+    monkeypatch.setattr(memory, "settle_pairs", settle)
+    assert sorted(x[0] for x in memory.greedy_duplicates(df, 0.5, ["tenant_id"]).collect()) == sorted(want)
+    for name, value in {"TURNS": 32, "PLACES": 3, "LATER": 50}.items():
+        monkeypatch.setattr(memory, name, value)
+    monkeypatch.setattr(rounds, "TOGETHER", 100)
+    assert sorted(x[0] for x in memory.greedy_duplicates(df, 0.5, ["tenant_id"]).collect()) == sorted(want)
+
+
+def test_greedy_duplicates_where_few_are_alike_and_without_a_group(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    rows = [(f"k{i:04}", "t", float(r.integers(1, 6)), datetime(2024, 1, 1) + timedelta(hours=i), [float(x) for x in r.normal(size=12)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, importance double, created_at timestamp, embedding array<float>")
+    for name, value in {"TURNS": 16, "PLACES": 3, "LATER": 50}.items():
+        monkeypatch.setattr(memory, name, value)
+    calls, settle = [], memory.settle_pairs
+    monkeypatch.setattr(memory, "settle_pairs", lambda pairs: calls.append(1) or settle(pairs))
+    assert sorted(x[0] for x in memory.greedy_duplicates(df, 0.6, []).collect()) == sorted(_greedy(rows, 0.6))
+    assert calls == [1]
+
+
 def test_superseded(spark):
     df = _vectors(spark, [("a", 5, 0.3, 1, [1.0, 0.0]), ("b", 5, 0.6, 2, [1.0, 0.01]), ("c", 5, 0.3, 3, [1.0, 0.0])]).withColumn("status", F.lit(None).cast("string"))
     assert values(memory.superseded_ids(df), "id", "superseded_by") == [("a", "b")]

@@ -109,6 +109,27 @@ def test_settle_pairs(spark):
     assert n == 0 and removed.collect() == []
 
 
+def test_settle_pairs_in_rounds_and_in_one_walk(spark, monkeypatch):
+    r = random.Random(4)
+    weight = [r.randrange(3) for _ in range(40)]
+    rows = [(a, b, weight[a] < weight[b]) for a in range(40) for b in range(a + 1, 40) if r.random() < 0.1]
+    for together in (0, 12, rounds.TOGETHER):
+        monkeypatch.setattr(rounds, "TOGETHER", together)
+        removed, n = rounds.settle_pairs(spark.createDataFrame(rows, "a long, b long, up boolean"))
+        assert sorted(x[0] for x in removed.collect()) == sorted(_walk(rows))
+    assert n == 1  # no chain of nodes that wait for each other
+
+
+def test_settle_apart(spark, monkeypatch):
+    for share, heavy, together in ((0.2, 0.3, 0), (0.5, 0.1, 30), (0.5, 0.8, 30), (0.5, 0.3, rounds.TOGETHER)):
+        r = random.Random(together)
+        rows = [(a, b, r.random() < heavy) for a in range(12) for b in range(12, 80) if r.random() < share]
+        monkeypatch.setattr(rounds, "TOGETHER", together)
+        got = [x[0] for x in rounds.settle_apart(spark.createDataFrame(rows, "a long, b long, up boolean")).collect()]
+        assert sorted(got) == sorted(_walk(rows))
+    assert rounds.settle_apart(spark.createDataFrame([], "a long, b long, up boolean")).collect() == []
+
+
 def test_numbered(spark):
     df = spark.range(50).select((F.col("id") % 3).alias("g"), (50 - F.col("id")).alias("o"))
     got = rounds.numbered(df.repartition(4), ["g"], ["o"]).collect()
