@@ -102,6 +102,19 @@ def test_consolidation(spark):
     assert memory.run_consolidation(df.limit(0), "2024-03-01 00:00:00").memories.count() == 0
 
 
+def test_consolidation_forms_no_pairs_of_a_dense_group(spark, monkeypatch):
+    def settle(pairs):
+        raise AssertionError("all similar pairs were formed")
+
+    monkeypatch.setattr(memory, "settle_pairs", settle)
+    df = spark.range(200).selectExpr("cast(id as string) id", "array(1D, id / 1000) embedding", "0.5D confidence", "cast(1 + id % 7 as int) importance", "timestamp_seconds(1704067200 + id) created_at")
+    df = df.withColumns({"tenant_id": F.lit("t"), "project": F.lit("p"), "memory_type": F.lit("PATTERN"), "content": F.col("id"), "status": F.lit("active"), "evidence_count": F.lit(1), "access_count": F.lit(0), "last_accessed_at": F.lit(None).cast("timestamp")})
+    done = memory.run_consolidation(df, "2024-03-01 00:00:00")
+    assert rows(done.memories, "id") == [("6",)]  # the first of those that weigh most
+    report = {r["step"]: (r["n"], r["error"]) for r in done.report.collect()}
+    assert report["duplicates_removed"] == (199, None) and report["superseded"] == (0, None)
+
+
 def test_a_step_that_fails_is_reported_and_the_others_run(spark):
     made = [("a", [1.0, 0.0], 0.5, datetime(2024, 1, 1)), ("b", [0.0, 1.0], 0.5, datetime(2024, 1, 2)), ("c", None, 0.5, datetime(2024, 1, 3))]
     df = spark.createDataFrame(made, "id string, embedding array<double>, confidence double, created_at timestamp")
