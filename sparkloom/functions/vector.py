@@ -21,6 +21,16 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), of which value is computed once a row: an expression that a lambda uses is computed anew for each element, unless an array of one value names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unit(a: Column) -> Column:
+    """A vector over its length, as doubles; null where it has none."""
+    return once(norm(a), lambda length: F.when(length > 0, F.transform(a, lambda x: x / length)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where a vector is null or empty, has no length, or another size than the other."""
     na, nb = norm(a), norm(b)
@@ -54,8 +64,6 @@ def hashed(text: Column, size: int = 64) -> Column:
     """A unit vector of hashed words: a stand-in for a model that needs no network. Null for texts without words."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    # an array of one value names it: an expression that a lambda uses is computed anew for each element
-    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     counted = lambda ps: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(ps, lambda p: p == i)).cast("double"))
     scaled = lambda counts: once(norm(counts), lambda length: F.transform(counts, lambda c: (c / length).cast("float")))
     return once(places, lambda ps: F.when(F.size(ps) > 0, once(counted(ps), scaled)))

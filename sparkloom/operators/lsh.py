@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vector import unit
 from ..storage import cut
 
 #: Vectors that a key should have on average, the most bands, and vectors of a key that a task holds at a time.
@@ -118,14 +119,12 @@ def similar_pairs_hashed(df: DataFrame, group: Sequence[str], order: Sequence[st
     called.
     """
     group = list(group)
-    squares = F.aggregate(embedding, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = df.where(F.size(embedding) > 0).withColumn("_n", F.sqrt(squares)).where("_n > 0")
-    unit = rows.select(*group, *order, F.col(key).alias("_k"), F.transform(embedding, lambda x: (x / F.col("_n")).cast("float")).alias("_u"))
-    unit = unit.orderBy(*order, "_k").select(*group, "_k", "_u", F.monotonically_increasing_id().alias("_r"))
-    unit = cut(unit)
-    signs, bands = bands_for(unit.count(), threshold, recall)
-    schema = T.StructType([*unit.schema.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])
-    signed = cut(unit.mapInArrow(_signed(signs, bands, unit.schema, "_u"), schema))
+    rows = df.where(F.size(embedding) > 0).select(*group, *order, F.col(key).alias("_k"), F.col(embedding).alias("_v"))
+    placed = rows.orderBy(*order, "_k").select(*group, "_k", unit(F.col("_v")).cast("array<float>").alias("_u"), F.monotonically_increasing_id().alias("_r"))
+    units = cut(placed.where("_u is not null"))
+    signs, bands = bands_for(units.count(), threshold, recall)
+    schema = T.StructType([*units.schema.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])
+    signed = cut(units.mapInArrow(_signed(signs, bands, units.schema, "_u"), schema))
     keyed = signed.select("_r", F.to_json(F.struct(*group, F.size("_u"))).alias("_g"), F.posexplode("codes").alias("band", "code")).select("_r", F.concat_ws(":", "_g", "band", "code").alias("_bucket"), "band")
     counts = keyed.groupBy("_bucket").agg(F.count("*").alias("n")).where("n > 1").select("_bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = keyed.join(counts, "_bucket").groupBy("_r").agg(F.collect_list(F.struct("_bucket", "band", "blocks")).alias("_m"))  # a row's bands at most

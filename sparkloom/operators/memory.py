@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blocklist_reason, content_hash, episode_value, noise_reason
-from ..functions.vector import cosine, hashed, literal
+from ..functions.vector import cosine, hashed, literal, unit
 from ..storage import cut
 from .filters import keep_first
 from .rounds import settle_apart, settle_pairs
@@ -259,14 +259,14 @@ def similar_pairs(df: DataFrame, group: Sequence[str], order: Sequence[str], thr
     unlike sizes, are like none; neither are those of a null group.
     """
     group = list(group)
-    rows = df.where(F.size(embedding) > 0).withColumn("_n", norm_of(embedding)).where("_n > 0")
-    unit = rows.select(*group, *(c for c in order if c not in group), F.col(key).alias("_k"), F.transform(embedding, lambda x: x / F.col("_n")).alias("_u"))
-    # places in the order: numbers that grow with it, by a sort by range
-    unit = cut(unit.orderBy(*order, "_k").select(*group, F.monotonically_increasing_id().alias("_r"), "_k", "_u"))
+    rows = df.where(F.size(embedding) > 0).select(*group, *(c for c in order if c not in group), F.col(key).alias("_k"), F.col(embedding).alias("_v"))
+    # places in the order: numbers that grow with it, by a sort by range; lengths are computed behind it, as it reads its input twice
+    placed = rows.orderBy(*order, "_k").select(*group, F.monotonically_increasing_id().alias("_r"), "_k", unit(F.col("_v")).alias("_u"))
+    units = cut(placed.where("_u is not null"))
     by_size: dict[int, list] = {}
-    for r in unit.select("_u").orderBy(F.xxhash64("_k"), "_k").limit(PIVOTS).collect():
+    for r in units.select("_u").orderBy(F.xxhash64("_k"), "_k").limit(PIVOTS).collect():
         by_size.setdefault(len(r["_u"]), []).append(r["_u"])
-    placed = cut(_placed(unit, {n: np.array(vs) for n, vs in by_size.items()}).withColumn("_size", F.size("_u")))
+    placed = cut(_placed(units, {n: np.array(vs) for n, vs in by_size.items()}).withColumn("_size", F.size("_u")))
     homes = placed.groupBy(*group, "_size", "home").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     in_group = homes.groupBy(*group, "_size").agg(F.collect_list(F.struct("home", "radius", parts.alias("blocks"))).alias("homes"), F.ceil(F.sum("n") / VISITORS).cast("int").alias("salts"))
@@ -286,10 +286,6 @@ def similar_pairs(df: DataFrame, group: Sequence[str], order: Sequence[str], thr
     return ordered.mapInArrow(_compare_blocks(threshold, both.schema, group), made)
 
 
-def norm_of(embedding: str) -> Column:
-    return F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
 def superseded_ids(df: DataFrame, threshold: float = 0.85, group: Sequence[str] = ("tenant_id", "project", "memory_type"), pairs_of=similar_pairs) -> DataFrame:
     """(id, superseded_by) of active memories with a later, similar and more confident one; of several the first.
 
@@ -356,11 +352,12 @@ def _by_turns(df: DataFrame, threshold: float, group: Sequence[str], embedding:
     """
     keys = [*group, "_size"]
     known = reduce(lambda a, b: a & b, (F.col(g).isNotNull() for g in group), F.lit(True))
-    rows = df.where(known & (F.size(embedding) > 0)).withColumn("_n", norm_of(embedding)).where("_n > 0")
+    rows = df.where(known & (F.size(embedding) > 0))
     weights = df.select("importance").where("importance is not null").distinct().orderBy("importance").select("importance", F.monotonically_increasing_id().alias("weight"))
-    rows = rows.select(*group, "id", "importance", "created_at", F.transform(embedding, lambda x: x / F.col("_n")).alias("unit")).join(weights, "importance", "left")
-    rows = rows.orderBy("created_at", "id").select(*group, F.size("unit").alias("_size"), "id", F.monotonically_increasing_id().alias("rank"), F.coalesce("weight", F.lit(-1)).alias("weight"), "unit")
-    every = cut(rows)
+    rows = rows.select(*group, "id", "importance", "created_at", F.col(embedding).alias("_v")).join(weights, "importance", "left")
+    # lengths are computed behind the sort, which reads its input twice
+    rows = rows.orderBy("created_at", "id").select(*group, F.size("_v").alias("_size"), "id", F.monotonically_increasing_id().alias("rank"), F.coalesce("weight", F.lit(-1)).alias("weight"), unit(F.col("_v")).alias("unit"))
+    every = cut(rows.where("unit is not null"))
     left, removed = every.drop("id"), []
     place = F.shiftright("rank", PLACES)
     while True:

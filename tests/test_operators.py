@@ -156,6 +156,20 @@ def test_similar_pairs_match_all_pairs(spark):
     assert {frozenset((r["earlier"], r["later"])) for r in memory.similar_pairs(df, ["project"], ["created_at"], 0.6).collect()} == want
 
 
+def test_the_length_of_a_vector_is_computed_once(spark, monkeypatch):
+    from sparkloom.operators import lsh
+
+    plans, cut = [], memory.cut
+    for module in (memory, lsh):
+        monkeypatch.setattr(module, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    df = _vectors(spark, [("a", 5, 0.5, 1, [3.0, 4.0]), ("b", 5, 0.5, 2, [0.0, 0.0]), ("c", 5, 0.5, 3, [6.0, 8.0]), ("d", 5, 0.5, 4, []), ("e", 5, 0.5, 5, None), ("f", 5, 0.5, 6, [-1.0, 0.0])])
+    for pairs in (memory.similar_pairs, lsh.similar_pairs_hashed):
+        assert [(*x[:2], pytest.approx(1)) for x in values(pairs(df, ["project"], ["created_at"], 0.9), "earlier", "later", "similarity")] == [("a", "c", 1)]
+    assert values(memory.greedy_duplicates(df, 0.9, ["project"]), "id") == [("c",)]
+    counts = [p.count("aggregate(") for p in plans]
+    assert max(counts) == 1 and sum(counts) == 3
+
+
 def test_upsert_merge(spark):
     schema = "project string, memory_type string, content_hash string, tenant_id string, id string, importance double, confidence double, evidence_count long, scope string, created_at long"
     old = spark.createDataFrame([("p", "K", "h", "t", "old", 3.0, 0.9, 2, "auth", 1), ("p", "K", "g", "t", "other", 1.0, 0.1, 1, None, 1)], schema)
