@@ -71,7 +71,7 @@ def ascii_lower(column):
 KEPT_IN_WORKER: dict[str, dict] = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: Arrow's, and what the C library holds between live blocks."""
     pa.default_memory_pool().release_unused()
     try:
@@ -80,6 +80,20 @@ def _give_back() -> None:
         pass
 
 
+def let_go(owner: str) -> None:
+    """Empties what other operators than owner have kept in this worker.
+
+    A function of the module, which workers import: one that is made in another
+    travels with a copy of the values that it names, here of an empty dict.
+    """
+    others = [kept for name, kept in KEPT_IN_WORKER.items() if name != owner and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+        give_back()
+
+
 def in_worker(owner: str):
     """For functions over batches: lets go of what other operators have kept in this worker, and gives memory back after the task.
 
@@ -89,16 +103,11 @@ def in_worker(owner: str):
 
     def wrap(run):
         def wrapped(batches):
-            others = [kept for name, kept in KEPT_IN_WORKER.items() if name != owner and kept]
-            for kept in others:
-                kept.clear()
-            if others:
-                gc.collect()
-                _give_back()
+            let_go(owner)
             try:
                 yield from run(batches)
             finally:
-                _give_back()
+                give_back()
 
         return wrapped
 

@@ -24,12 +24,14 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import KEPT_IN_WORKER, in_worker
+from ._shared import KEPT_IN_WORKER, give_back, in_worker
 
 #: How byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A worker's store of encoded words is emptied beyond this many; it only saves time.
-STORE = 400_000
+#: Words in a worker's store of encoded ones, which only saves time. Half of them are those of the latest texts; of the other half, which stood before, what is met again moves over and the rest goes.
+STORE = 300_000
+#: Pairs of tokens in a worker's store of those that may follow each other; it is emptied beyond.
+FOLLOWING = 400_000
 #: Words of more characters don't go into the trie.
 LONG = 256
 #: Words of a trie: sorted ones, so that those with a common start are in one.
@@ -85,6 +87,8 @@ class Bpe:
         self.store: dict[str, bytes] = {}
         #: Encodings of a space and what stands up to the next one.
         self.spaced: dict[str, bytes] = {}
+        #: The stores before these.
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _merge(self, out: list[int], made: dict[int, int]) -> list[int]:
         """Plain ranked merging, for short strings."""
@@ -142,7 +146,7 @@ class Bpe:
 
         Of equal merges the left one goes first, so the left side needs a lower rank to be taken, the right side none that is higher.
         """
-        if len(self.may_follow) > STORE:
+        if len(self.may_follow) > FOLLOWING:
             self.may_follow.clear()
         known, rank, left = True, self.rank, self._end(b, 0)
         for x, x_until in self._end(a, 1):
@@ -234,16 +238,19 @@ class Bpe:
         Where no other white space touches a space, text can be cut before each
         space, and what follows is looked up whole; other texts are cut by the pattern.
         """
-        if len(self.store) + len(self.spaced) > STORE:
-            self.store.clear()
-            self.spaced.clear()
+        if len(self.store) + len(self.spaced) > STORE // 2:
+            self.older, self.store, self.spaced = (self.store, self.spaced), {}, {}
         store, spaced = self.store, self.spaced
         plain = [not TOUCH(t) and not any(s in t for s in self.special) for t in texts]
         cut = [t.split(" ") if p else self.pieces(t) for t, p in zip(texts, plain)]
         heads = [self.words(words[0]) if p else () for words, p in zip(cut, plain)]
         unseen = set().union(*(words for words, p in zip(cut, plain) if p)).difference(spaced)
-        unseen = {w: self.words(" " + w) for w in unseen}
         kept = {w for words, p in zip(cut, plain) if not p for w in words if type(w) is str}.union(*heads).difference(store)
+        for words, now, older in zip((kept, unseen), (store, spaced), self.older):
+            again = {w: older[w] for w in words if w in older}
+            words.difference_update(again)
+            now.update(again)
+        unseen = {w: self.words(" " + w) for w in unseen}
         new = kept.union(*unseen.values())
         if new:
             found = self.learn(new)
@@ -268,6 +275,7 @@ class Bpe:
 def load(path: str) -> Bpe:
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
+        give_back()
     return _LOADED[path]
 
 

@@ -407,3 +407,35 @@ def test_warc_reads_what_is_selected(spark, monkeypatch, tmp_path):
     ids = re.findall(r"WARC-Record-ID: (\S+)", "".join(texts))
     assert len(files) > 8 and all(t.startswith("WARC/1.1\r\nWARC-Type: warcinfo") for t in texts)
     assert len(ids) == len(set(ids)) == 200 + len(files)
+
+
+def test_workers_let_go_of_what_others_kept(monkeypatch):
+    import pickle
+
+    from pyspark import cloudpickle
+
+    from sparkloom.llm import _shared
+
+    mine, theirs = {"a": 1}, {"b": 2}
+    monkeypatch.setitem(_shared.KEPT_IN_WORKER, "mine", mine)
+    monkeypatch.setitem(_shared.KEPT_IN_WORKER, "theirs", theirs)
+    run = pickle.loads(cloudpickle.dumps(_shared.in_worker("mine")(lambda batches: batches)))  # as a worker gets it
+    assert list(run([1, 2])) == [1, 2]
+    assert mine == {"a": 1} and theirs == {}
+
+
+def test_words_that_are_met_again_stay_in_the_store(monkeypatch):
+    from sparkloom.llm import bpe
+
+    one = bpe.Bpe(bpe.default_tokenizer())
+    texts = [f"the common word{i} and\n more{i} tabs\t {i}" for i in range(60)]
+    want = one.encode_batch(texts)
+    monkeypatch.setattr(bpe, "STORE", 24)
+    two, learned = bpe.Bpe(bpe.default_tokenizer()), []
+    learn = two.learn
+    monkeypatch.setattr(two, "learn", lambda words: learned.extend(words) or learn(words))
+    got = []
+    for text in texts:
+        got += two.encode_batch([text])
+        assert sum(map(len, (two.store, two.spaced, *two.older))) <= 48
+    assert got == want and learned.count(" common") == 1
