@@ -5,8 +5,9 @@
 2. Shingles are ordered by hash, but those that many documents have come last.
    Two sets whose Jaccard similarity reaches the threshold share an element of
    their prefixes, the first |x| - ceil(t |x|) + 1 elements in that order.
-   Frequencies are counted over all documents; the frequent shingles are bits of
-   a bounded table. The order only decides how much work there is.
+   Frequencies are counted over all documents, in packed lists of four bytes an
+   element; the frequent shingles are bits of a bounded table. The order only
+   decides how much work there is.
 3. Documents with the same prefix and size are collapsed into one group. Pairs
    of groups that share a rare prefix element are filtered by their sizes and by
    how much of the prefixes is common. Groups that share a frequent element are
@@ -17,7 +18,8 @@
 4. Groups are expanded, and the members of a component are verified on their
    whole sets, in one task if they are few. A large component is first compared
    with its smallest member; what that leaves is compared with all others in
-   blocks of bounded size, a task for each pair of blocks.
+   blocks of bounded size, a task for each pair of blocks. The pairs take turns,
+   so that no more texts are on the way at once than a few times the candidates'.
 
 Links come out as a spanning forest; its components are the classes.
 """
@@ -36,8 +38,10 @@ from ._shared import KEPT_IN_WORKER, discard, in_worker, join_counted, release,
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 80
-#: Prefix elements counted more often than this come last in the order.
+#: Elements that a task meets more often than this among COUNTED of them come last in the order, and those met more than PAIRED times in all.
 FREQUENT = 1
+#: Lists by the leading bits of elements, in which they are counted by the SLOT bits that follow.
+LISTS, SLOT = 10, 32
 #: Bits of the table that says which: so many for each of them, as a power of two between these (128 KB and 16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 20, 27
 #: Groups that an element may have for their pairs to be looked at; those of other elements are chained.
@@ -49,6 +53,8 @@ TOGETHER, TOGETHER_ELEMENTS = 1_500, 750_000
 BLOCK, BLOCK_ELEMENTS = 1_500, 750_000
 #: Candidates that go to the texts (10 MB); of more, the texts go to them.
 TRAVEL = 200_000
+#: Texts that are on the way to pairs of blocks at once, as times all candidates' texts, by their elements.
+MOVED = 2
 
 BASE = 0x9E3779B97F4A7C15
 SLICE = 1 << 20
@@ -147,36 +153,52 @@ def _often(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
 def _frequent(documents: DataFrame, threshold: int) -> np.ndarray:
     """A table of bits, one for each beginning of an element, set for frequent ones; counted over the stretch of each set from which prefixes come (twice their size).
 
-    All documents are counted. What a task meets once among COUNTED elements is
-    not sent: an element with many occurrences is met twice by some tasks, and
-    the order is right whatever the counts are. Elements that share a bit with a
-    frequent one come last too, one in BITS_EACH of them or so. No frequent one
-    is left out, however many there are: those left among the rare would chain
-    documents that have nothing else in common. Tasks make the table's parts;
-    MOST_BITS bits come to the driver at most.
+    All documents are counted. What a task meets more than FREQUENT times among
+    COUNTED elements is frequent at once. All else is counted over all tasks, as
+    elements of more than PAIRED groups are chained if they stand early: the more
+    tasks there are, the more of those does no task meet twice, and their chains
+    would grow into each other until most documents are one component. Tasks
+    send packed lists of slots. Elements that share a slot or a bit with a
+    frequent one come last too, one in BITS_EACH of them or so; the order is right
+    whatever the counts are. Tasks make the table's parts; MOST_BITS bits come to
+    the driver at most.
     """
+    often, most = FREQUENT, PAIRED + 1
 
     @in_worker("hashes")
     def stretch(batches):
         held, size = [], 0
 
-        def twice():
-            e, c = np.unique(np.concatenate(held), return_counts=True)
-            more = c > 1
-            return pa.RecordBatch.from_arrays([pa.array(e[more].view(np.int64)), pa.array(c[more].astype(np.int64))], names=["e", "c"])
+        def lists():
+            slots, c = np.unique(np.concatenate(held) >> np.uint64(64 - LISTS - SLOT), return_counts=True)
+            slots = np.repeat(slots, np.where(c > often, most, np.minimum(c, most)))
+            cut = np.searchsorted(slots, np.arange(1 << LISTS, dtype=np.uint64) << np.uint64(SLOT))
+            packed = np.split(slots.astype(np.uint32), cut[1:])
+            own = [i for i, x in enumerate(packed) if len(x)]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([packed[i].tobytes() for i in own], pa.binary())], names=["list", "slots"])
 
         for batch in batches:
             for _, s in sets_of(batch.column(0)):
                 held.append(s[: 2 * prefix_size(len(s), threshold)])
                 size += len(held[-1])
                 if size >= COUNTED:
-                    yield twice()
+                    yield lists()
                     held, size = [], 0
         if held:
-            yield twice()
+            yield lists()
 
-    counts = documents.select("text").mapInArrow(stretch, "e long, c long").groupBy("e").agg(F.sum("c").alias("c"))
-    counts = written(counts.where(F.col("c") > FREQUENT).select("e"), "frequent")
+    @in_worker("hashes")
+    def frequent(batches):
+        for table in _blocks_of_rows(batches, 0):
+            keys, packed = table.column(0).to_numpy(), table.column(1).to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                slots, c = np.unique(np.frombuffer(b"".join(packed[a:b]), np.uint32), return_counts=True)
+                found = (np.uint64(keys[a]) << np.uint64(SLOT) | slots[c >= most].astype(np.uint64)) << np.uint64(64 - LISTS - SLOT)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["e"])
+
+    counts = documents.select("text").mapInArrow(stretch, "list long, slots binary").repartition("list").sortWithinPartitions("list")
+    counts = written(counts.mapInArrow(frequent, "e long"), "frequent")
     power = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, counts.count() * BITS_EACH)))))
     size = 1 << (LEAST_BITS - 3)
 
@@ -473,14 +495,23 @@ def _links(documents: DataFrame, candidates: DataFrame, threshold: int) -> DataF
     tried = written(tried, "hubs")
     release(tried.sparkSession)
     rest = many.join(tried.where("not linked").select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = written(rest.groupBy("comp").agg(parts(F.count("*"), F.sum("n")).alias("rows"), F.first("m").alias("m")), "rest")
-    all_blocks = join_counted(many.drop("m"), counts, ["comp"], "m")
-    right = all_blocks.select("comp", "doc_id", "z", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "c")
-    left = all_blocks.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
-    left = left.select("comp", "doc_id", "z", F.lit(0).alias("side"), block("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
+    counts = rest.groupBy("comp").agg(parts(F.count("*"), F.sum("n")).alias("rows"), F.first("m").alias("m"), (F.first("elements") * (F.first("cols") + F.col("rows"))).alias("moved"))
+    counts = written(counts, "rest")
+    turns = math.ceil((counts.agg(F.sum("moved")).first()[0] or 0) / (MOVED * sizes.agg(F.sum("elements")).first()[0]))
+    again = rest.select("doc_id").distinct().withColumn("again", F.lit(True))
+    blocks = join_counted(many.drop("m"), counts.drop("moved"), ["comp"], "m").join(again, "doc_id", "left")
+    blocks = written(blocks.select("comp", "doc_id", "z", "rows", "cols", "c", F.coalesce("again", F.lit(False)).alias("again")), "blocks")
+    release(blocks.sparkSession)
+    right = blocks.select("comp", "doc_id", "z", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "c")
+    left = blocks.where("again").select("comp", "doc_id", "z", F.lit(0).alias("side"), block("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
     pairs = right.unionByName(left).select(F.xxhash64("comp", "r", "c").alias("key"), "doc_id", "z", "side")
-    pairs = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_runs(threshold), LINKS)
-    return few.unionByName(pairs.where("a <> b")).unionByName(tried.where("linked and doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    out = few.unionByName(tried.where("linked and doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    for turn in range(turns):
+        own = pairs.where(F.pmod("key", F.lit(turns)) == turn).repartition("key").sortWithinPartitions("key").mapInArrow(_verify_runs(threshold), LINKS)
+        out = out.unionByName(written(own.where("a <> b"), "links"))
+        release(blocks.sparkSession)
+    discard(blocks)
+    return out
 
 
 def jaccard_components(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -256,3 +256,28 @@ def test_jaccard_knows_every_frequent_shingle(spark):
     counted = s[: 2 * jaccard.prefix_size(len(s), 80)]
     assert len(counted) > 1 << 18 and jaccard._often(bits, counted).all()
     assert jaccard._often(bits, s[len(counted) :]).mean() < 0.1
+
+
+def test_jaccard_counts_shingles_over_all_tasks(spark):
+    """Shingles that no task meets twice are frequent, too, if more than PAIRED texts have them."""
+    n = jaccard.PAIRED + 1
+    both = [f"both{i}" for i in range(200)]
+    texts = [" ".join([*both, *(f"own{d}x{i}" for i in range(200))]) for d in range(n)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), n), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == n
+    sets = [s for _, s in jaccard.sets_of(pa.array([*texts, " ".join(both)]))]
+    everywhere = [np.isin(s[: 2 * jaccard.prefix_size(len(s), 80)], sets[-1]) for s in sets[:-1]]
+    shared = set.intersection(*({*s[: len(e)][e].tolist()} for s, e in zip(sets, everywhere)))
+    often = jaccard._often(jaccard._frequent(docs, 80), np.array(sorted(shared), np.uint64))
+    assert len(shared) > 20 and often.all()
+    assert jaccard._often(jaccard._frequent(docs.where(f"doc_id < {n - 1}"), 80), np.array(sorted(shared), np.uint64)).mean() < 0.1
+
+
+def test_jaccard_moves_texts_of_large_components_in_turns(spark, monkeypatch):
+    for name, value in (("TOGETHER", 3), ("BLOCK", 7), ("PAIRED", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    made, tables, real = near_copies(n=120, seed=3), [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, what: tables.append(what) or real(df, what))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    assert rows(jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(made)
+    assert tables.count("links") > 2
