@@ -27,6 +27,7 @@ Links come out as a spanning forest; its components are the classes.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ LISTS, SLOT = 10, 32
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 20, 27
 #: Groups that an element may have for their pairs to be looked at; those of other elements are chained.
 PAIRED = 8
+#: Rows of prefix elements that are matched at once, as long as TURNS turns are enough.
+MATCHED, TURNS = 1 << 23, 4
 #: Elements that a task counts at a time (8 MB).
 COUNTED = 1 << 20
 #: Members, and elements of their sets, that one task compares in a component; members and elements of a block of larger ones.
@@ -313,10 +316,17 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     heads = heads.select("e", "g", "n", F.floor(((100 + threshold) * (F.col("n") - F.col("i")) - threshold * F.col("n")) / threshold).alias("largest"))
     heads = written(heads, "heads")
     release(heads.sparkSession)
-    counts = written(heads.groupBy("e").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    shared = written(join_counted(heads, counts, ["e"], "c"), "shared")
-    discard(heads, counts)
-    release(shared.sparkSession)
+    turns = min(TURNS, 1 + heads.count() // MATCHED)
+    matched = []
+    for turn in range(turns):  # so that only a part of the elements is on its way at a time
+        own = heads.where(F.pmod("e", F.lit(turns)) == turn)
+        counts = written(own.groupBy("e").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+        release(heads.sparkSession)
+        matched.append(written(join_counted(own, counts, ["e"], "c"), "shared"))
+        discard(counts)
+        release(heads.sparkSession)
+    discard(heads)
+    shared = reduce(DataFrame.unionByName, matched)
     # all pairs of the groups of a rare element; a pair counts once for each common element
     rare = shared.where(F.col("c") <= PAIRED).groupBy("e").agg(F.array_sort(F.collect_list("g")).alias("g"))
     pairs = rare.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", 1, F.col("i"))).alias("b")).where("a <> b")
@@ -325,7 +335,7 @@ def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
     many = frequent.groupBy("g").agg(F.count("*").alias("many"))
     edges = _possible(pairs, many, sets, threshold).select("a", "b").unionByName(_chains(frequent, threshold))
     comps = components(edges)
-    discard(shared)
+    discard(*matched)
     release(shared.sparkSession)
     joined = named.join(comps, F.col("g") == F.col("node"), "left")
     return joined.where(F.col("component").isNotNull() | (F.col("members") > 1)).select("doc_id", "n", F.coalesce("component", "g").alias("comp"))

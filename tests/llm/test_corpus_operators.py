@@ -281,3 +281,12 @@ def test_jaccard_moves_texts_of_large_components_in_turns(spark, monkeypatch):
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
     assert rows(jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(made)
     assert tables.count("links") > 2
+
+
+def test_jaccard_matches_elements_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MATCHED", 500)
+    made, tables, real = near_copies(n=120, seed=4), [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, what: tables.append(what) or real(df, what))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert rows(jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(made)
+    assert tables.count("shared") == jaccard.TURNS
